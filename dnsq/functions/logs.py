@@ -12,13 +12,15 @@ QNAME_PATTERNS = [
     r"(?i)QNAME\s+([A-Za-z0-9._-]+)\.",
     r"(?i)\b([A-Za-z0-9._-]+)\.\s+[A-Z]{1,10}\s+IN\b",
 ]
+# Lower-case text without which the pattern of the same position cannot match; a cheap test first.
+_NEEDED = ["query[", "query:", "qname", "in"]
 CLIENT_PATTERN = r"(\d+\.\d+\.\d+\.\d+)"
 EPOCH_PATTERN = r"\[(\d+(?:\.\d+)?)\]"
 
 
 def first_group(text: Column, pattern: str) -> Column:
     """First capture group of the first match, NULL when nothing matches."""
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    return F.get(F.filter(F.array(F.regexp_extract(text, pattern, 1)), lambda m: m != ""), F.lit(0))
 
 
 def normalise_domain(name: Column) -> Column:
@@ -28,8 +30,23 @@ def normalise_domain(name: Column) -> Column:
 
 def qname(line: Column) -> Column:
     """Query name of a log line. A name that is only dots counts as no name."""
-    raw = F.coalesce(*[first_group(line, p) for p in QNAME_PATTERNS])
-    return F.nullif(normalise_domain(raw), F.lit(""))
+    lowered = F.lower(line)
+    tries = [
+        F.when(F.contains(lowered, F.lit(need)), _extract(line, p))
+        for need, p in zip(_NEEDED, QNAME_PATTERNS)
+    ]
+    # A pattern that does not match gives the empty text; the first other one counts.
+    raw = F.get(F.filter(F.array(*tries), lambda t: t != ""), F.lit(0))
+    return F.get(F.filter(F.array(_normalised_match(raw)), lambda t: t != ""), F.lit(0))
+
+
+def _extract(line: Column, pattern: str) -> Column:
+    return F.regexp_extract(line, pattern, 1)
+
+
+def _normalised_match(name: Column) -> Column:
+    """`normalise_domain` of a matched name, which holds no white space."""
+    return F.rtrim(F.lower(name), F.lit("."))
 
 
 def client(line: Column) -> Column:

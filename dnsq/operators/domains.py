@@ -10,16 +10,19 @@ from ..functions import logs as L
 
 def parse_queries(lines: DataFrame, need_client: bool = True) -> DataFrame:
     """Log lines (`value`) to `client`, `qname`, `logged_at`, `value`; other lines are dropped."""
-    parsed = lines.select(
+    fields = F.struct(
         L.client(F.col("value")).alias("client"),
         L.qname(F.col("value")).alias("qname"),
         L.log_time(F.col("value")).alias("logged_at"),
-        "value",
+        F.col("value"),
     )
-    kept = F.col("qname").isNotNull()
-    if need_client:
-        kept = kept & F.col("client").isNotNull()
-    return parsed.filter(kept)
+
+    def kept(q):
+        return q["qname"].isNotNull() & q["client"].isNotNull() if need_client else q["qname"].isNotNull()
+
+    # Filtering inside a one-element array instead of after the projection keeps the optimizer from
+    # evaluating the expressions twice, once for the filter and once for the columns.
+    return lines.select(F.inline(F.filter(F.array(fields), kept)))
 
 
 def domain_counts(queries: DataFrame, base: bool = False, min_count: int = 1) -> DataFrame:

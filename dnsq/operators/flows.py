@@ -39,7 +39,7 @@ def with_protocol(packets: DataFrame) -> DataFrame:
     return packets.withColumn("protocol", P.app_protocol(F.col("src_port"), F.col("dst_port")))
 
 
-def _keyed(packets: DataFrame, limits: FlowLimits) -> DataFrame:
+def _keyed(packets: DataFrame, limits: FlowLimits, slot_us: int) -> DataFrame:
     app = P.app_protocol(F.col("src_port"), F.col("dst_port"))
     dns = F.col("protocol") == "DNS"
     ends = (~dns) & (F.col("transport") == "TCP") & F.lit(limits.teardown)
@@ -49,7 +49,7 @@ def _keyed(packets: DataFrame, limits: FlowLimits) -> DataFrame:
         .withColumn("flow_key", P.flow_key(
             F.col("protocol"), F.col("src_ip"), F.col("dst_ip"), F.col("src_port"),
             F.col("dst_port"), F.col("txid"), limits.dns_key))
-        .withColumn("slot", F.expr(f"ts_us div {limits.slot_seconds * 1_000_000}"))
+        .withColumn("slot", F.expr(f"ts_us div {slot_us}"))
         .withColumn("_idle_us", F.when(dns, int(limits.dns_activity_timeout * 1_000_000))
                     .otherwise(int(limits.activity_timeout * 1_000_000)).cast("bigint"))
         .withColumn("_fin", F.when(ends & P.has_flag(F.col("tcp_flags"), P.FIN), 1).otherwise(0))
@@ -57,9 +57,12 @@ def _keyed(packets: DataFrame, limits: FlowLimits) -> DataFrame:
     )
 
 
+# What later packets need to know of the packet that opened their flow.
+ORIGIN = ("pkt_no", "ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "txid")
+
+
 def _origin() -> Column:
-    """What later packets need to know of the packet that opened their flow."""
-    return F.struct("pkt_no", "ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "txid")
+    return F.struct(*ORIGIN)
 
 
 def assign_flows(packets: DataFrame, limits: FlowLimits = FlowLimits()) -> DataFrame:
@@ -70,27 +73,32 @@ def assign_flows(packets: DataFrame, limits: FlowLimits = FlowLimits()) -> DataF
     unique. Rules: a new flow starts after an idle gap, after a reset, after every second FIN
     (not for DNS), and when a packet is later than the flow's start by more than the maximum
     duration.
+
+    Without the last rule a flow depends on gaps, resets and FIN counts alone (`_runs`). A
+    look at the slot rows tells which keys hold a flow that may outlive the limit; as a rule none
+    does, and the rest is lazy. See `_split_long_flows` for those that do.
     """
-    runs = _runs(packets, limits)
-    span = packets.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    if span["a"] is None or (span["b"] - span["a"]).total_seconds() <= limits.max_flow_duration:
-        # No flow can outlive the limit within this input.
+    limit_us = int(limits.max_flow_duration * 1_000_000)
+    slot_us = int(min(limits.slot_seconds, limits.max_flow_duration) * 1_000_000)
+    df = _in_slots(_keyed(packets, limits, max(slot_us, 1)))
+    slots = cut_lineage(_slot_rows(df))
+    runs = _runs(df, slots)
+    suspects = slots.filter(F.col("end_us") - F.col("origin_in.ts_us") > limit_us).select("flow_key").distinct()
+    n = suspects.count()
+    if n == 0:
         return runs.drop("_run", "_fins")
-    return _split_long_flows(runs, limits)
+    return _split_long_flows(runs, suspects, n, limit_us)
 
 
-def _runs(packets: DataFrame, limits: FlowLimits) -> DataFrame:
-    """Flows by idle gap, reset and FIN count, all of which are decided without the flow's start.
+def _in_slots(df: DataFrame) -> DataFrame:
+    """What can be told within a slot, for an even and for an odd number of FINs brought into it.
 
     A run is what lies between idle gaps and resets. Within it, FINs are counted, and a flow
-    starts after every second one. Columns added: `flow_uid`, `origin`, `_run` (number of the
-    run's first packet) and `_fins` (FINs of the run before this packet).
+    starts after every second one.
     """
     slot = Window.partitionBy("flow_key", "slot").orderBy("ts_us", "pkt_no")
     before = slot.rowsBetween(Window.unboundedPreceding, -1)
     upto = slot.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    df = _keyed(packets, limits)
     df = (
         df.withColumn("_prev", F.lag(F.struct("ts_us", "_fin", "_rst")).over(slot))
         .withColumn("_seen", F.coalesce(F.sum("_fin").over(before), F.lit(0)))
@@ -108,9 +116,17 @@ def _runs(packets: DataFrame, limits: FlowLimits) -> DataFrame:
         carried = F.when(F.col("_base").isNull(), F.lit(parity)).otherwise(F.lit(0))
         return F.col("_gap") | (after_fin & (F.pmod(count + carried, F.lit(2)) == 0))
 
-    df = df.withColumn("_open0", F.last(F.when(opens(0), _origin()), True).over(upto)) \
-        .withColumn("_open1", F.last(F.when(opens(1), _origin()), True).over(upto))
+    return df.withColumns({
+        f"_open{k}": F.last(F.when(opens(k), _origin()), True).over(upto) for k in (0, 1)})
+
 
+def _slot_rows(df: DataFrame) -> DataFrame:
+    """One row per (key, slot): what is open when the slot begins.
+
+    `offset`: FINs of the key before the slot; `run_in`: first packet of the run the slot begins in
+    and the FINs of the key before that; `parity`: FINs of that run before the slot, modulo 2;
+    `origin_in`: first packet of the flow the slot begins in; `end_us`: last packet time.
+    """
     order = F.struct("ts_us", "pkt_no")
     slots = df.groupBy("flow_key", "slot").agg(
         F.min(F.struct("ts_us", "pkt_no", "src_ip", "src_port", "dst_ip", "dst_port", "txid")).alias("first"),
@@ -123,7 +139,7 @@ def _runs(packets: DataFrame, limits: FlowLimits) -> DataFrame:
     )
     by_slot = Window.partitionBy("flow_key").orderBy("slot")
     earlier = by_slot.rowsBetween(Window.unboundedPreceding, -1)
-    slots = (
+    return (
         slots.withColumn("prior", F.lag("last").over(by_slot))
         .withColumn("offset", F.coalesce(F.sum("fins").over(earlier), F.lit(0)))
         .withColumn("head_gap", F.col("prior").isNull()
@@ -139,15 +155,19 @@ def _runs(packets: DataFrame, limits: FlowLimits) -> DataFrame:
         .withColumn("parity", F.pmod(F.col("offset") - F.col("run_in.fins"), F.lit(2)))
         .withColumn("head_origin", F.when(
             F.col("head_gap") | ((F.col("prior._fin") == 1) & (F.col("parity") == 0)),
-            F.struct(*[F.col(f"first.{c}").alias(c) for c in
-                       ("pkt_no", "ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "txid")])))
+            F.struct(*[F.col(f"first.{c}").alias(c) for c in ORIGIN])))
         .withColumn("tail_origin", F.coalesce(
             F.when(F.col("parity") == 0, F.col("open0")).otherwise(F.col("open1")), F.col("head_origin")))
         .withColumn("origin_in", F.coalesce("head_origin", F.last("tail_origin", True).over(earlier)))
-        .select("flow_key", "slot", "offset", "run_in", "parity", "origin_in")
+        .select("flow_key", "slot", "offset", "run_in", "parity", "origin_in", F.col("last.ts_us").alias("end_us"))
     )
+
+
+def _runs(df: DataFrame, slots: DataFrame) -> DataFrame:
+    """Packets with `flow_uid` and `origin` (maximum duration left aside), `_run` (number of the
+    run's first packet) and `_fins` (FINs of the run before this packet)."""
     return (
-        df.join(slots, ["flow_key", "slot"])
+        df.join(slots.drop("end_us"), ["flow_key", "slot"])
         .withColumn("origin", F.coalesce(
             F.when(F.col("parity") == 0, F.col("_open0")).otherwise(F.col("_open1")), F.col("origin_in")))
         .withColumn("flow_uid", F.col("origin.pkt_no"))
@@ -159,32 +179,22 @@ def _runs(packets: DataFrame, limits: FlowLimits) -> DataFrame:
     )
 
 
-def _split_long_flows(runs: DataFrame, limits: FlowLimits) -> DataFrame:
-    """Apply the maximum duration.
+def _split_long_flows(runs: DataFrame, suspects: DataFrame, n: int, limit_us: int) -> DataFrame:
+    """Apply the maximum duration to the runs of the suspect keys (`n` of them).
 
-    Only runs that hold a flow longer than the limit change. For those, the first late packet of
-    a run restarts its FIN count; this repeats per restart, for all runs at once, with plain
-    aggregations, so a busy run is never gathered in one task. Restarts of a run are more than the
-    limit apart, which bounds the number of rounds by time span / limit. The rounds see a few
-    columns of the packets of such runs only.
+    The first packet of a run that is too late for its flow restarts the run's FIN count there. This
+    repeats per restart, for all runs at once, with plain aggregations over a few columns, so a
+    busy run is never gathered in one task. Restarts of a run are more than the limit apart,
+    which bounds the number of rounds by time span / limit.
     """
-    limit_us = int(limits.max_flow_duration * 1_000_000)
     plain = runs.drop("_run", "_fins")
-    long_runs = cut_lineage(
-        runs.groupBy("flow_uid")
-        .agg(F.min("_run").alias("_run"), F.min("ts_us").alias("a"), F.max("ts_us").alias("b"))
-        .filter(F.col("b") - F.col("a") > limit_us)
-        .select("_run").distinct()
-    )
-    n = long_runs.count()
-    if n == 0:
-        return plain
-
     at = F.struct("ts_us", "pkt_no")
     narrow = cut_lineage(attach(
-        runs.select("_run", "ts_us", "pkt_no", "_fins", _origin().alias("me")), long_runs, ["_run"], rows=n))
-    heads = narrow.groupBy("_run").agg(F.min(F.struct("ts_us", "pkt_no", "_fins")).alias("head"))
+        runs.select("flow_key", "_run", "ts_us", "pkt_no", "_fins", _origin().alias("me")),
+        suspects, ["flow_key"], rows=n).drop("flow_key"))
+    heads = cut_lineage(narrow.groupBy("_run").agg(F.min(F.struct("ts_us", "pkt_no", "_fins")).alias("head")))
     restarts = None
+    n = heads.count()
     while n > 0:
         live = (
             attach(narrow, heads, ["_run"], rows=n)
@@ -204,14 +214,18 @@ def _split_long_flows(runs: DataFrame, limits: FlowLimits) -> DataFrame:
             .groupBy("_run").agg(F.min(F.struct("ts_us", "pkt_no", "_fins")).alias("head"))
         )
         n = heads.count()
-        restarts = heads if restarts is None else restarts.unionByName(heads)
+        if n > 0:
+            restarts = heads if restarts is None else restarts.unionByName(heads)
+    if restarts is None:
+        return plain
 
     # At most span / limit restarts per run, so the array stays short.
     cuts = cut_lineage(restarts.groupBy("_run").agg(F.array_sort(F.collect_list("head")).alias("_cuts")))
+    cut_rows = cuts.count()
 
     def cut_up(df: DataFrame, how: str) -> DataFrame:
         return (
-            attach(df, cuts, ["_run"], how)
+            attach(df, cuts, ["_run"], how, rows=cut_rows)
             .withColumn("_cut", F.try_element_at(
                 F.filter("_cuts", lambda c: F.struct(c["ts_us"], c["pkt_no"]) <= at), F.lit(-1)))
             .withColumn("_part", F.expr("(_fins - coalesce(_cut._fins, 0)) div 2"))
@@ -219,9 +233,9 @@ def _split_long_flows(runs: DataFrame, limits: FlowLimits) -> DataFrame:
         )
 
     parts = ["_run", "_cut", "_part"]
-    starts = cut_up(narrow, "inner").groupBy(*parts).agg(F.min_by("me", at).alias("_start"))
+    starts = cut_lineage(cut_up(narrow, "inner").groupBy(*parts).agg(F.min_by("me", at).alias("_start")))
     return (
-        attach(cut_up(runs, "left"), cut_lineage(starts), parts, "left")
+        attach(cut_up(runs, "left"), starts, parts, "left")
         .withColumn("origin", F.coalesce("_start", "origin"))
         .withColumn("flow_uid", F.col("origin.pkt_no"))
         .select(*plain.columns)

@@ -114,23 +114,23 @@ def _flow_rows(assigned):
 
 
 def flow_assign_idle(spark, d):
-    return _flow_rows(FL.assign_flows(X.packets(spark, d), X.IDLE_ONLY))
+    return _flow_rows(FL.assign_flows(X.packets(spark, d, sections=False), X.IDLE_ONLY))
 
 
 def flow_assign_default(spark, d):
-    return _flow_rows(FL.assign_flows(X.packets(spark, d)))
+    return _flow_rows(FL.assign_flows(X.packets(spark, d, sections=False)))
 
 
 def flow_assign_full(spark, d):
-    return FL.assign_flows(X.packets(spark, d), X.LIMITS).select("pkt_no", "flow_uid")
+    return FL.assign_flows(X.packets(spark, d, sections=False), X.LIMITS).select("pkt_no", "flow_uid")
 
 
 def flow_orientation(spark, d):
-    return FL.flow_orientation(FL.assign_flows(X.packets(spark, d), X.LIMITS))
+    return FL.flow_orientation(FL.assign_flows(X.packets(spark, d, sections=False), X.LIMITS))
 
 
 def _features(spark, d, names, places=4, special=None):
-    return _rounded(FF.packet_features(FL.assign_flows(X.packets(spark, d), X.LIMITS), names), places, special)
+    return _rounded(FF.packet_features(FL.assign_flows(X.packets(spark, d, sections=False), X.LIMITS), names), places, special)
 
 
 def flow_counts_rates(spark, d):

@@ -35,22 +35,24 @@ def _micros(ts: str) -> F.Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({ts} AS TIMESTAMP_NTZ))")
 
 
-def events(spark, sf_dir) -> DataFrame:
+def events(spark, sf_dir, hosts: bool = True) -> DataFrame:
     """Events with their time and the host of the page they fall on."""
-    pages = hosts_by_page(spark, sf_dir)
-    n = pages.count()
     ev = table(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", "value", "props", F.timestamp_micros(_micros("ts")).alias("ts"))
-    return ev.withColumn("page_id", F.col("event_id") % n).join(pages, "page_id")
+    if not hosts:
+        return ev.withColumn("host", F.lit(None).cast("string"))
+    pages = hosts_by_page(spark, sf_dir)
+    return ev.withColumn("page_id", F.col("event_id") % pages.count()).join(pages, "page_id")
 
 
 def _client() -> F.Column:
     return F.expr("concat('10.0.', user_id div 256, '.', user_id % 256)")
 
 
-def packets(spark, sf_dir, keep_type: bool = False) -> DataFrame:
-    """X1 and X1b: one packet per event."""
-    ev = events(spark, sf_dir)
+def packets(spark, sf_dir, keep_type: bool = False, sections: bool = True) -> DataFrame:
+    """X1 and X1b: one packet per event. Without `sections` the DNS sections are NULL and the join
+    of the page hosts is saved."""
+    ev = events(spark, sf_dir, hosts=sections)
     to_srv = F.col("event_type").isin("view", "click", "signup")
     cport = (40000 + F.col("user_id") % 1000).cast("int")
     kind = F.col("user_id") % 4
@@ -66,6 +68,8 @@ def packets(spark, sf_dir, keep_type: bool = False) -> DataFrame:
     answers = F.when(dns, F.when(to_srv, F.array().cast(
         "array<struct<name:string,ttl:bigint,type:int,cls:int>>")).otherwise(
         F.transform(F.sequence(F.lit(0), (e % 3).cast("int")), answer)))
+    if not sections:
+        answers = F.lit(None).cast("array<struct<name:string,ttl:bigint,type:int,cls:int>>")
     extra = F.struct(F.lit(41).alias("type"), F.lit(1).alias("cls"))
     return ev.select(
         e.alias("pkt_no"), "ts", *(["event_type"] if keep_type else []), F.lit(4).alias("ip_version"),
@@ -91,7 +95,7 @@ def handshake_packets(spark, sf_dir) -> DataFrame:
     """X1 with flags and sequence numbers that sometimes make a handshake."""
     e = F.col("pkt_no")
     t = F.col("event_type")
-    return packets(spark, sf_dir, keep_type=True).withColumns({
+    return packets(spark, sf_dir, keep_type=True, sections=False).withColumns({
         "tcp_flags": F.when(F.col("transport") == "UDP", 0).when(t == "signup", P.SYN)
         .when(t == "click", P.SYN | P.ACK).otherwise(P.ACK),
         "seq": e % 2, "ack": F.expr("(pkt_no div 2) % 2 + 1"),
