@@ -1,11 +1,12 @@
-"""Features of a (target, query) pair of domain names, and the similarity ratio."""
+"""Features of a (target, query) pair of domain names."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import chars, kept_length, let, ngrams, occurrences, ratio
+from .similarity import jaro
+from .text import kept_length, let, ngrams, occurrences, ratio
 
 # The classes of the labelled pair set.
 PAIR_CLASSES = [
@@ -18,8 +19,6 @@ PAIR_CLASSES = [
     "homoglyph",
 ]
 
-_TAKEN = "\x01"  # stands for an already matched character; never part of a name
-
 
 def jaccard(a: Column, b: Column, n: int = 3) -> Column:
     """Jaccard similarity of the n-gram sets; 0 when either set is empty."""
@@ -35,63 +34,6 @@ def jaccard(a: Column, b: Column, n: int = 3) -> Column:
         F.struct(F.array_distinct(ngrams(a, n)).alias("l"), F.array_distinct(ngrams(b, n)).alias("r")), of_sets)
 
 
-def jaro(a: Column, b: Column) -> Column:
-    """Jaro similarity: 1 for equal texts, 0 when one is empty or nothing matches.
-
-    One fold over the characters of `a`. The state is `b` with matched characters blanked out
-    and the matched characters of `a` in order; both are short strings, so a step copies little.
-    """
-
-    def of_pair(p: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            def place(w: Column) -> Column:
-                return F.when(
-                    w["at"] > 0,
-                    F.struct(
-                        F.concat(
-                            F.left(state["rest"], w["start"] + w["at"] - 2),
-                            F.lit(_TAKEN),
-                            F.substr(state["rest"], w["start"] + w["at"], p["lb"]),
-                        ).alias("rest"),
-                        F.concat(state["hit"], w["c"]).alias("hit"),
-                    ),
-                ).otherwise(state)
-
-            def find(w: Column) -> Column:
-                window = F.substr(state["rest"], w["start"], i + p["reach"] - w["start"] + 1)
-                return let(F.struct(w["start"], w["c"], F.instr(window, w["c"]).alias("at")), place)
-
-            start = F.struct(
-                F.greatest(i - p["reach"], F.lit(1)).alias("start"), F.substr(p["a"], i, F.lit(1)).alias("c"))
-            return F.when(i - p["reach"] > p["lb"], state).otherwise(let(start, find))
-
-        def score(state: Column) -> Column:
-            hit_b = F.concat_ws("", F.transform(
-                F.filter(F.sequence(F.lit(1), p["lb"]), lambda j: F.substr(state["rest"], j, F.lit(1)) == _TAKEN),
-                lambda j: F.substr(p["b"], j, F.lit(1))))
-
-            def of_hits(h: Column) -> Column:
-                crossed = F.size(F.filter(
-                    F.sequence(F.lit(1), h["m"]),
-                    lambda k: F.substr(h["a"], k, F.lit(1)) != F.substr(h["b"], k, F.lit(1))))
-                return (h["m"] / p["la"] + h["m"] / p["lb"] + (h["m"] - F.floor(crossed / 2)) / h["m"]) / 3
-
-            return F.when(state["hit"] == "", 0.0).otherwise(let(
-                F.struct(state["hit"].alias("a"), hit_b.alias("b"), F.char_length(state["hit"]).alias("m")), of_hits))
-
-        longest = F.greatest(p["la"], p["lb"])
-        begin = F.struct(p["b"].alias("rest"), F.lit("").alias("hit"))
-        # With one-character texts the reach of the definition is -1: nothing can match.
-        return (
-            F.when(p["a"] == p["b"], 1.0)
-            .when((p["la"] == 0) | (p["lb"] == 0) | (longest < 2), 0.0)
-            .otherwise(F.aggregate(F.sequence(F.lit(1), p["la"]), begin, step, score)))
-
-    la, lb = F.char_length(a), F.char_length(b)
-    reach = F.greatest((F.floor(F.greatest(la, lb) / 2) - 1).cast("int"), F.lit(0))
-    return let(F.struct(a.alias("a"), b.alias("b"), la.alias("la"), lb.alias("lb"), reach.alias("reach")), of_pair)
-
-
 def pair_features(target: Column, query: Column) -> dict[str, Column]:
     """The eleven features of the multi-class pair model, in model order."""
     distance = F.levenshtein(target, query)
@@ -158,75 +100,3 @@ BINARY_PAIR_FEATURES = [
     "digit_ratio",
     "hyphen_count",
 ]
-
-WORD_BITS = 62  # positions that fit one BIGINT without overflow of a sum
-
-
-def char_masks(text: Column) -> Column:
-    """Map of character to the bit set of its positions, for texts of up to WORD_BITS characters."""
-    cs = chars(text)
-    return F.map_from_entries(
-        F.transform(
-            F.array_distinct(cs),
-            lambda c: F.struct(
-                c.alias("key"),
-                F.aggregate(
-                    F.transform(cs, lambda d, i: F.when(d == c, i).otherwise(-1)),
-                    F.lit(0).cast("bigint"),
-                    lambda acc, i: acc + F.when(i >= 0, F.pow(F.lit(2), i).cast("bigint")).otherwise(0),
-                ).alias("value"),
-            ),
-        )
-    )
-
-
-def _lcs_by_bits(masks: Column, width: Column, other: Column) -> Column:
-    """Longest common subsequence with one machine word per step (bit-parallel form)."""
-    zero = F.lit(0).cast("bigint")
-
-    def of_word(w: Column) -> Column:
-        def step(v: Column, c: Column) -> Column:
-            return let(
-                v.bitwiseAND(F.coalesce(w["masks"][c], zero)),
-                lambda u: (v + u).bitwiseOR(v - u).bitwiseAND(w["full"]))
-
-        return w["width"] - F.bit_count(F.aggregate(chars(w["other"]), w["full"], step))
-
-    full = F.pow(F.lit(2), width).cast("bigint") - 1
-    return let(F.struct(masks.alias("masks"), width.alias("width"), full.alias("full"), other.alias("other")), of_word)
-
-
-def _lcs_by_rows(a: Column, b: Column) -> Column:
-    """Longest common subsequence row by row, for names longer than one machine word."""
-    zero_row = F.array_repeat(F.lit(0), F.char_length(b) + 1)
-    bs = chars(b)
-
-    def next_row(row: Column, c: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.char_length(b)),
-            F.array(F.lit(0)),
-            lambda acc, j: F.concat(
-                acc,
-                F.array(
-                    F.greatest(
-                        F.element_at(acc, F.lit(-1)),
-                        F.get(row, j),
-                        F.get(row, j - 1) + F.when(F.get(bs, j - 1) == c, 1).otherwise(0),
-                    )
-                ),
-            ),
-        )
-
-    return F.aggregate(chars(a), zero_row, next_row, lambda row: F.element_at(row, F.lit(-1)))
-
-
-def similarity_ratio(target: Column, query: Column, masks: Column | None = None) -> Column:
-    """2 * LCS / (sum of lengths); 1 for two empty texts. `masks` are those of the target."""
-    masks = char_masks(target) if masks is None else masks
-    len_t, len_q = F.char_length(target), F.char_length(query)
-    lcs = (
-        F.when((len_t == 0) | (len_q == 0), F.lit(0))
-        .when(len_t <= WORD_BITS, _lcs_by_bits(masks, len_t, query))
-        .otherwise(_lcs_by_rows(target, query))
-    )
-    return ratio(2 * lcs, len_t + len_q, 1.0)

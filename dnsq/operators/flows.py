@@ -28,6 +28,8 @@ class FlowLimits:
     teardown: bool = True
     dns_key: str = "txid"
     slot_seconds: int = 600
+    # Packets up to which a run that needs the maximum duration is folded within one task.
+    fold_packets: int = 100_000
 
 
 def keep_transport_packets(packets: DataFrame) -> DataFrame:
@@ -87,7 +89,7 @@ def assign_flows(packets: DataFrame, limits: FlowLimits = FlowLimits()) -> DataF
     n = suspects.count()
     if n == 0:
         return runs.drop("_run", "_fins")
-    return _split_long_flows(runs, suspects, n, limit_us)
+    return _split_long_flows(runs, suspects, n, limit_us, limits.fold_packets)
 
 
 def _in_slots(df: DataFrame) -> DataFrame:
@@ -179,49 +181,41 @@ def _runs(df: DataFrame, slots: DataFrame) -> DataFrame:
     )
 
 
-def _split_long_flows(runs: DataFrame, suspects: DataFrame, n: int, limit_us: int) -> DataFrame:
+def _split_long_flows(runs: DataFrame, suspects: DataFrame, n: int, limit_us: int, fold_packets: int) -> DataFrame:
     """Apply the maximum duration to the runs of the suspect keys (`n` of them).
 
-    The first packet of a run that is too late for its flow restarts the run's FIN count there. This
-    repeats per restart, for all runs at once, with plain aggregations over a few columns, so a
-    busy run is never gathered in one task. Restarts of a run are more than the limit apart,
-    which bounds the number of rounds by time span / limit.
+    The first packet of a run that is too late for its flow restarts the run's FIN count there. A
+    run of up to `fold_packets` packets is folded in order (`_folded_cuts`); larger ones are cut
+    by rounds of plain aggregations (`_cuts_by_rounds`), so no run is ever gathered in one task.
     """
     plain = runs.drop("_run", "_fins")
     at = F.struct("ts_us", "pkt_no")
     narrow = cut_lineage(attach(
         runs.select("flow_key", "_run", "ts_us", "pkt_no", "_fins", _origin().alias("me")),
         suspects, ["flow_key"], rows=n).drop("flow_key"))
-    heads = cut_lineage(narrow.groupBy("_run").agg(F.min(F.struct("ts_us", "pkt_no", "_fins")).alias("head")))
-    restarts = None
-    n = heads.count()
-    while n > 0:
-        live = (
-            attach(narrow, heads, ["_run"], rows=n)
-            .filter(at >= F.struct("head.ts_us", "head.pkt_no"))
-            .withColumn("part", F.expr("(_fins - head._fins) div 2"))
-        )
-        late = (
-            live.groupBy("_run", "part")
-            .agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
-            .filter(F.col("end_us") - F.col("start_us") > limit_us)
-            .groupBy("_run").agg(F.min(F.struct("part", "start_us")).alias("late"))
-        )
-        heads = cut_lineage(
-            attach(live, late, ["_run"], rows=n)
-            .filter((F.col("part") == F.col("late.part"))
-                    & (F.col("ts_us") - F.col("late.start_us") > limit_us))
-            .groupBy("_run").agg(F.min(F.struct("ts_us", "pkt_no", "_fins")).alias("head"))
-        )
-        n = heads.count()
-        if n > 0:
-            restarts = heads if restarts is None else restarts.unionByName(heads)
-    if restarts is None:
+    sizes = cut_lineage(
+        narrow.groupBy("_run").agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("a"), F.max("ts_us").alias("b"))
+        .filter(F.col("b") - F.col("a") > limit_us).select("_run", (F.col("n") <= fold_packets).alias("small")))
+    count = sizes.groupBy().agg(F.count_if("small"), F.count_if(~F.col("small"))).first()
+    packets = narrow.drop("me")
+    found = []
+    if count[0]:
+        small = attach(packets, sizes.filter("small").drop("small"), ["_run"], rows=count[0])
+        found.append(_folded_cuts(small, limit_us))
+    if count[1]:
+        large = attach(packets, sizes.filter(~F.col("small")).drop("small"), ["_run"], rows=count[1])
+        found += _cuts_by_rounds(large, limit_us)
+    if not found:
         return plain
+    restarts = found[0]
+    for more in found[1:]:
+        restarts = restarts.unionByName(more)
 
-    # At most span / limit restarts per run, so the array stays short.
+    # Restarts of a run are more than the limit apart: at most span / limit of them, a short array.
     cuts = cut_lineage(restarts.groupBy("_run").agg(F.array_sort(F.collect_list("head")).alias("_cuts")))
     cut_rows = cuts.count()
+    if cut_rows == 0:
+        return plain
 
     def cut_up(df: DataFrame, how: str) -> DataFrame:
         return (
@@ -242,6 +236,62 @@ def _split_long_flows(runs: DataFrame, suspects: DataFrame, n: int, limit_us: in
     )
 
 
+def _folded_cuts(packets: DataFrame, limit_us: int) -> DataFrame:
+    """Restarts (`_run`, `head`) of runs of bounded size: one ordered fold per run."""
+    packet = F.struct("ts_us", "pkt_no", "_fins")
+    runs = packets.groupBy("_run").agg(F.array_sort(F.collect_list(packet)).alias("p"))
+    first = F.get("p", F.lit(0))
+    begin = F.struct(
+        F.lit(0).cast("bigint").alias("base"), F.lit(0).cast("bigint").alias("part"), first["ts_us"].alias("start"),
+        F.array().cast("array<struct<ts_us:bigint,pkt_no:bigint,_fins:bigint>>").alias("cuts"))
+
+    def step(s: Column, p: Column) -> Column:
+        part = F.floor((p["_fins"] - s["base"]) / 2)
+        return (
+            F.when(part != s["part"], F.struct(
+                s["base"].alias("base"), part.alias("part"), p["ts_us"].alias("start"), s["cuts"].alias("cuts")))
+            .when(p["ts_us"] - s["start"] > limit_us, F.struct(
+                p["_fins"].alias("base"), F.lit(0).cast("bigint").alias("part"), p["ts_us"].alias("start"),
+                F.concat(s["cuts"], F.array(p)).alias("cuts")))
+            .otherwise(s))
+
+    return runs.select("_run", F.explode(F.aggregate("p", begin, step, lambda s: s["cuts"])).alias("head"))
+
+
+def _cuts_by_rounds(packets: DataFrame, limit_us: int) -> list[DataFrame]:
+    """Restarts (`_run`, `head`) of runs of any size, one per run and round, for all runs at once.
+
+    Every step is an aggregation with map-side partial results. The number of rounds is the largest
+    number of restarts of a run, at most time span / limit.
+    """
+    at = F.struct("ts_us", "pkt_no")
+    heads = cut_lineage(packets.groupBy("_run").agg(F.min(F.struct("ts_us", "pkt_no", "_fins")).alias("head")))
+    n = heads.count()
+    found = []
+    while n > 0:
+        live = (
+            attach(packets, heads, ["_run"], rows=n)
+            .filter(at >= F.struct("head.ts_us", "head.pkt_no"))
+            .withColumn("part", F.expr("(_fins - head._fins) div 2"))
+        )
+        late = (
+            live.groupBy("_run", "part")
+            .agg(F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"))
+            .filter(F.col("end_us") - F.col("start_us") > limit_us)
+            .groupBy("_run").agg(F.min(F.struct("part", "start_us")).alias("late"))
+        )
+        heads = cut_lineage(
+            attach(live, late, ["_run"], rows=n)
+            .filter((F.col("part") == F.col("late.part"))
+                    & (F.col("ts_us") - F.col("late.start_us") > limit_us))
+            .groupBy("_run").agg(F.min(F.struct("ts_us", "pkt_no", "_fins")).alias("head"))
+        )
+        n = heads.count()
+        if n > 0:
+            found.append(heads)
+    return found
+
+
 def with_direction(assigned: DataFrame) -> DataFrame:
     """`is_recv` and `is_send`, both seen from the flow's destination; both hold when the ips are equal."""
     return assigned.withColumn("is_recv", F.col("dst_ip") == F.col("origin.dst_ip")).withColumn(

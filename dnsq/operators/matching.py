@@ -10,29 +10,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pairs import PAIR_CLASSES, char_masks, jaccard, jaro, similarity_ratio
+from ..functions.pairs import PAIR_CLASSES, jaccard
+from ..functions.similarity import jaro_to_each, ratio_to_each
 from ..functions.text import let, ratio
 from ..session import SALTS
 
 SLICE = 256
-# Slices up to which the list may be broadcast: 64 x 256 names, some megabytes.
+# Slices up to which the list may be broadcast: 64 x 256 names, well under one megabyte.
 BROADCAST_SLICES = 64
 
-# A scorer gives, for a target and a query, an array of structs (class, score).
-Scorer = Callable[[Column, Column], Column]
+# A scorer gives, for a target, a query and their Jaro similarity, an array of structs (class, score).
+Scorer = Callable[[Column, Column, Column], Column]
 
 
-def linear_scorer(target: Column, query: Column) -> Column:
+def linear_scorer(target: Column, query: Column, jaro: Column) -> Column:
     """Scores of the single-edit classes from similarities and the length difference.
 
     Stands in for a fitted model where a result must be reproducible on any engine.
     """
     longest = F.greatest(F.char_length(target), F.char_length(query))
     near = (
-        F.lit(0.5) * jaro(target, query)
+        F.lit(0.5) * jaro
         + F.lit(0.2) * jaccard(target, query)
         + F.lit(0.3) * (F.lit(1.0) - ratio(F.levenshtein(target, query), longest, 0.0))
     )
@@ -53,32 +54,23 @@ def linear_scorer(target: Column, query: Column) -> Column:
 
 
 def protected_slices(protected: DataFrame) -> tuple[DataFrame, int]:
-    """`domain`, `position` (0-based, dense) to rows (`slice`, `names`) and the number of slices."""
-    rows = protected.agg(F.max("position").alias("m")).first()["m"]
-    if rows is None:
+    """`domain`, `position` (0-based) to rows (`slice`, `names`) and the number of slices."""
+    last = protected.agg(F.max("position").alias("m")).first()["m"]
+    if last is None:
         raise ValueError("the list of protected domains is empty")
-    count = int(rows) // SLICE + 1
-    name = F.col("domain")
-    slices = protected.withColumn("slice", F.expr(f"position div {SLICE}")).withColumn(
-        "masks", F.when(F.char_length(name) <= 62, char_masks(name))
-    ).groupBy("slice").agg(F.array_sort(F.collect_list(
-        F.struct("position", "domain"))).alias("names"), F.map_from_entries(F.collect_list(
-            F.struct("position", "masks"))).alias("masks"))
-    return slices, count
+    slices = protected.withColumn("slice", F.expr(f"position div {SLICE}")).groupBy("slice").agg(
+        F.array_sort(F.collect_list(F.struct("position", "domain"))).alias("names"))
+    return slices, int(last) // SLICE + 1
 
 
 def _meet(queries: DataFrame, protected: DataFrame) -> tuple[DataFrame, int]:
-    """Distinct names, each with every slice of the list."""
+    """Distinct names, each with every slice of the list: `qname`, `names`."""
     slices, count = protected_slices(protected)
-    # Scoring is heavy per row, so the names keep a full set of partitions: a stated number is not
-    # merged away as the few bytes of a name would suggest.
+    # Scoring is heavy per row, so the names keep a full set of partitions: an evenly dealt, stated
+    # number is not merged away as the few bytes of a name would suggest.
     tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = queries.select("qname").distinct().repartition(tasks, "qname")
-    if count == 1:
-        names = names.withColumn("slice", F.lit(0).cast("bigint"))
-    else:
-        names = names.withColumn("slice", F.explode(F.sequence(
-            F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))))
+    names = queries.select("qname").distinct().repartition(tasks).withColumn(
+        "slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))))
     if count <= BROADCAST_SLICES:
         return names.join(F.broadcast(slices), "slice"), count
     # Many slices: both sides are salted, so one slice number is not one task.
@@ -93,13 +85,10 @@ def top_candidates(queries: DataFrame, protected: DataFrame, n: int = 50) -> Dat
     Columns `qname`, `target`, `position`, `ratio`, `cand_no`. Equal ratios keep list order.
     """
     met, count = _meet(queries, protected)
-
-    def scored(p: Column) -> Column:
-        return F.struct(
-            (-similarity_ratio(p["domain"], F.col("qname"), F.col("masks")[p["position"]])).alias("neg"),
-            p["position"].alias("position"), p["domain"].alias("target"))
-
-    best = met.select("qname", F.slice(F.array_sort(F.transform("names", scored)), 1, n).alias("best"))
+    met = met.withColumn("ratios", ratio_to_each("qname", F.col("names.domain")))
+    ranked = F.array_sort(F.transform("names", lambda p, i: F.struct(
+        (-F.get("ratios", i)).alias("neg"), p["position"].alias("position"), p["domain"].alias("target"))))
+    best = met.select("qname", F.slice(ranked, 1, n).alias("best"))
     if count > 1:
         # n per slice are merged per name: a fixed number of rows per name.
         merged = best.groupBy("qname").agg(F.flatten(F.collect_list("best")).alias("best"))
@@ -125,9 +114,9 @@ def best_match(queries: DataFrame, protected: DataFrame, scorer: Scorer = linear
     the earlier class wins; a score of 0 is no match.
     """
     met, count = _meet(queries, protected)
-    pairs = met.select("qname", F.array_max(F.transform(
-        "names", lambda p: _best_of(scorer(p["domain"], F.col("qname")), p["domain"], p["position"]),
-    )).alias("b"))
+    met = met.withColumn("jaros", jaro_to_each("qname", F.col("names.domain")))
+    pairs = met.select("qname", F.array_max(F.transform("names", lambda p, i: _best_of(
+        scorer(p["domain"], F.col("qname"), F.get("jaros", i)), p["domain"], p["position"]))).alias("b"))
     if count > 1:
         pairs = pairs.groupBy("qname").agg(F.max("b").alias("b"))
     hit = F.col("b.score") > 0

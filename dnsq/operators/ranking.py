@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def seeded_hash(seed: int | str, *parts: Column) -> Column:
     """md5 text of the seed and the parts: a fixed pseudo-random order, the same on every engine."""
@@ -50,7 +52,8 @@ def pick_ranks(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame
     round sends at most 2^20 counts per share through a window, whatever the input size.
     One row per share: `name`, `value`, `n`.
     """
-    values = df.select(F.col(value).cast("bigint").alias("v")).filter(F.col("v").isNotNull())
+    # Four scans follow; one number per row is kept for them.
+    values = cut_lineage(df.select(F.col(value).cast("bigint").alias("v")).filter(F.col("v").isNotNull()))
     # One row, one entry per share: the broadcast sides below never hold more than len(shares) rows.
     targets = values.agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select(
         F.lit(0).cast("bigint").alias("prefix"),

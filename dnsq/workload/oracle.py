@@ -210,10 +210,10 @@ FLOW_ROWS = " select flow_uid, count(*) as packets, min(ts_us) as start_us, max(
 
 
 def _stats_sql(head: str, long_parts: list[str], measures: dict[str, tuple[str, float]], empty: float = 0.0,
-               places: int = 4, var_places: int | None = None, every: str = "select distinct flow_uid from a",
+               places: int = 4, special: dict[str, int] | None = None, every: str = "select distinct flow_uid from a",
                extra: str = "", extra_join: str = "") -> str:
     """All nine statistics per measure; `measures`: name pattern with %s for the statistic -> (tag, scale)."""
-    var_places = places if var_places is None else var_places
+    special = special or {}
     cols = []
     for pattern, (tag, scale) in measures.items():
         for s in STATS:
@@ -221,7 +221,7 @@ def _stats_sql(head: str, long_parts: list[str], measures: dict[str, tuple[str,
                 "min": f"mn / {scale}", "max": f"mx / {scale}", "mean": f"mu / {scale}", "mode": f"mo / {scale}",
                 "variance": f"vr / {scale * scale}", "standard_deviation": f"sd / {scale}", "median": f"md / {scale}",
                 "skewness": "sk", "coefficient_of_variation": "sd / nullif(mu, 0)"}[s]
-            p = var_places if s == "variance" else places
+            p = special.get(s, places)
             cols.append(
                 f"case when max(case when m = '{tag}' then n end) is null then {empty} "
                 f"else {_r(f'max(case when m = {chr(39)}{tag}{chr(39)} then {expr} end)', p)} end as {pattern % s}")
@@ -257,9 +257,10 @@ DELTA_LEN_SQL = _stats_sql(FULL, _lagged("len"), {
     "%s_receiving_packets_delta_len": ("recv", 1), "%s_sending_packets_delta_len": ("send", 1)})
 DELTA_TIME_SQL = _stats_sql(FULL, _lagged("ts_us"), {
     "%s_receiving_packets_delta_time": ("recv", 1000000), "%s_sending_packets_delta_time": ("send", 1000000)},
-    var_places=0).replace("select every.flow_uid, ", """select every.flow_uid,
+    places=7, special={"mean": 9, "variance": 0, "standard_deviation": 4, "skewness": 6, "coefficient_of_variation": 6},
+).replace("select every.flow_uid, ", """select every.flow_uid,
   case when max(case when m = 'recv' then n end) is null then 0
-    else round(max(case when m = 'recv' then sk end), 4) + 0.0 end as skewness_sreceiving_packets_delta_time, """)
+    else round(max(case when m = 'recv' then sk end), 6) + 0.0 end as skewness_sreceiving_packets_delta_time, """)
 
 DNS_LONG = """
 ans as (

@@ -11,6 +11,7 @@ from ..operators import (
     alerts as A, datasets as D, delays as DL, domains as DO, enrich, flow_features as FF, flows as FL,
     matching as M, metrics as ME,
 )
+from ..session import cut_lineage
 from . import tables as X
 
 AS_OF = "2024-06-30"
@@ -146,7 +147,8 @@ def flow_delta_len_stats(spark, d):
 
 
 def flow_delta_time_stats(spark, d):
-    return _features(spark, d, FF.delta_time_names(), 4, {"variance": 0})
+    return _features(spark, d, FF.delta_time_names(), 7, {
+        "mean": 9, "variance": 0, "standard_deviation": 4, "skewness": 6, "coefficient": 6})
 
 
 def flow_handshake(spark, d):
@@ -256,7 +258,8 @@ TUNNEL_COLUMNS = ["packets_numbers", "total_bytes", "ttl_values_max", "not_in_ta
 
 
 def tunnel_alerts(spark, d):
-    assigned = FL.assign_flows(X.packets(spark, d), X.LIMITS)
+    # Four aggregations follow, so the assignment is kept.
+    assigned = cut_lineage(FL.assign_flows(X.packets(spark, d), X.LIMITS))
     flows = (
         FF.packet_features(assigned, ["packets_numbers", "total_bytes"])
         .join(FF.flow_header(assigned), "flow_uid")
