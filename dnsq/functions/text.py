@@ -43,7 +43,7 @@ def ngrams(text: Column, n: int) -> Column:
     """Consecutive n-grams in order, empty when the text is shorter than n."""
     last = F.char_length(text) - (n - 1)
     grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
-    return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
+    return F.when(last >= 1, grams).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def char_counts(text: Column) -> Column:

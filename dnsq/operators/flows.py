@@ -44,13 +44,15 @@ def with_protocol(packets: DataFrame) -> DataFrame:
 def _keyed(packets: DataFrame, limits: FlowLimits, slot_us: int) -> DataFrame:
     app = P.app_protocol(F.col("src_port"), F.col("dst_port"))
     dns = F.col("protocol") == "DNS"
+    key = P.flow_key(F.col("protocol"), F.col("src_ip"), F.col("dst_ip"), F.col("src_port"),
+                     F.col("dst_port"), F.col("txid"), limits.dns_key)
+    if "chunk" in packets.columns:  # files that are to be taken one by one
+        key = F.concat_ws("|", "chunk", key)
     ends = (~dns) & (F.col("transport") == "TCP") & F.lit(limits.teardown)
     return (
         packets.withColumn("protocol", app)
         .withColumn("ts_us", P.micros(F.col("ts")))
-        .withColumn("flow_key", P.flow_key(
-            F.col("protocol"), F.col("src_ip"), F.col("dst_ip"), F.col("src_port"),
-            F.col("dst_port"), F.col("txid"), limits.dns_key))
+        .withColumn("flow_key", key)
         .withColumn("slot", F.expr(f"ts_us div {slot_us}"))
         .withColumn("_idle_us", F.when(dns, int(limits.dns_activity_timeout * 1_000_000))
                     .otherwise(int(limits.activity_timeout * 1_000_000)).cast("bigint"))

@@ -583,7 +583,37 @@ _DGA_DBL = ["ratio_of_letters_of_domain_name", "ratio_of_numbers_of_domain_name"
 
 _RANKED = "row_number() over (partition by p_type order by md5('42|' || p_partkey), p_partkey) - 1"
 
+# Flows that a later packet of their key closes, or whose idle limit the watermark (one hour behind the
+# last packet) has passed.
+STREAM_FLOWS_SQL = f"""with recursive {FULL},
+f as (select flow_key, flow_uid, min(ts_us) as start_us, max(ts_us) as end_us, count(*) as packets,
+  cast(sum(len) as bigint) as bytes from a group by flow_key, flow_uid),
+n as (select *, lead(start_us) over (partition by flow_key order by start_us, flow_uid) as next_us from f)
+select flow_uid, start_us, end_us, packets, bytes, case when next_us is null or next_us - end_us > {DAY} then 'idle'
+  when next_us - start_us > {5 * DAY} then 'duration' else 'teardown' end as closed_by
+from n where next_us is not null or end_us + {DAY} < (select max(ts_us) from a) - 3600000000"""
+
+STREAM_ALERTS_SQL = TYPO_ALERTS_SQL[:TYPO_ALERTS_SQL.index("select 'TYPOSQUATTING'")] + """
+select q.qname as domain, round(round(score, 9), 4) as score, target, predicted_class, logged_us
+from q join best on best.qname = q.qname where round(score, 9) >= 0.8 and target is not null"""
+
+STREAM_SCORES_SQL = f"""with recursive {FULL},
+s as (select flow_uid, round(cast(least(1.0, count(*) * 0.05 + sum(len) * 0.0001) as double), 9) as s from a group by flow_uid)
+select flow_uid as row_index, round(s, 4) as score from s where s >= 0.5"""
+
+SESSIONS_SQL = f"""with recursive {_flows(86400, 86400, 1e9, False)}
+select case when any_value(protocol) = 'DNS' then 'txid|' || any_value(txid) else any_value(protocol) || '|' || any_value(cli)
+    || '|192.0.2.53|' || any_value(sport) || '|' || any_value(cport) end as flow_key,
+  min(ts_us) as start_us, max(ts_us) as end_us, count(*) as packets, cast(sum(len) as bigint) as bytes
+from a group by flow_uid"""
+
 ORACLE = {
+    "stream_log_alerts": STREAM_ALERTS_SQL,
+    "stream_flows": STREAM_FLOWS_SQL,
+    "stream_flow_scores": STREAM_SCORES_SQL,
+    "stream_chunks": f"with recursive {FULL} select flow_uid, count(*) as packets, cast(sum(len) as bigint) as bytes "
+                     "from a group by flow_uid",
+    "idle_sessions": SESSIONS_SQL,
     "log_parse": f"with {LINES} select client, qname, {BASE} as base, logged_us from q",
     "log_totals": f"with {LINES} select count(*) as lines_total, count(*) filter (where client is not null and qname is not null "
                   "and epoch is not null) as queries_with_time from parsed",

@@ -35,9 +35,9 @@ def _micros(ts: str) -> F.Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({ts} AS TIMESTAMP_NTZ))")
 
 
-def events(spark, sf_dir, hosts: bool = True) -> DataFrame:
-    """Events with their time and the host of the page they fall on."""
-    ev = table(spark, sf_dir, "events").select(
+def events(spark, sf_dir, hosts: bool = True, source: DataFrame | None = None) -> DataFrame:
+    """Events (the table, or a stream of it) with their time and the host of the page they fall on."""
+    ev = (table(spark, sf_dir, "events") if source is None else source).select(
         "event_id", "user_id", "event_type", "value", "props", F.timestamp_micros(_micros("ts")).alias("ts"))
     if not hosts:
         return ev.withColumn("host", F.lit(None).cast("string"))
@@ -49,10 +49,11 @@ def _client() -> F.Column:
     return F.expr("concat('10.0.', user_id div 256, '.', user_id % 256)")
 
 
-def packets(spark, sf_dir, keep_type: bool = False, sections: bool = True) -> DataFrame:
+def packets(spark, sf_dir, keep_type: bool = False, sections: bool = True,
+            ev: DataFrame | None = None) -> DataFrame:
     """X1 and X1b: one packet per event. Without `sections` the DNS sections are NULL and the join
     of the page hosts is saved."""
-    ev = events(spark, sf_dir, hosts=sections)
+    ev = events(spark, sf_dir, hosts=sections) if ev is None else ev
     to_srv = F.col("event_type").isin("view", "click", "signup")
     cport = (40000 + F.col("user_id") % 1000).cast("int")
     kind = F.col("user_id") % 4
@@ -102,13 +103,13 @@ def handshake_packets(spark, sf_dir) -> DataFrame:
     }).drop("event_type")
 
 
-def log_lines(spark, sf_dir) -> DataFrame:
+def log_lines(spark, sf_dir, source: DataFrame | None = None) -> DataFrame:
     """X3: resolver log lines, one in five of them noise."""
     k = F.col("event_id") % 5
     tail = (F.when(k == 0, F.concat("host", F.lit(". A IN"))).when(k == 1, F.concat(F.lit("query: "), "host", F.lit(". x")))
             .when(k == 2, F.concat(F.lit("query[A] "), "host", F.lit(". x")))
             .when(k == 3, F.concat(F.lit("QNAME "), "host", F.lit(". x"))).otherwise("noise"))
-    return events(spark, sf_dir).select(F.concat(
+    return events(spark, sf_dir, True, source).select(F.concat(
         F.lit("["), F.floor(F.unix_micros("ts") / 1_000_000).cast("string"),
         F.lit("] unbound[7:0] info: "), _client(), F.lit(" "), tail).alias("value"))
 
