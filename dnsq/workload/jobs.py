@@ -183,7 +183,7 @@ def stream_flow_scores(spark, d):
         return batch.select(F.col("flow_uid").cast("bigint").alias("row_index"), F.round(s, 4).alias("score")).filter(s >= 0.5)
 
     SJ.start(rows, handle, f"{where}/out", f"{where}/checkpoint", None, "parquet").awaitTermination()
-    return spark.read.schema("row_index bigint, score double").parquet(f"{where}/out")
+    return spark.read.schema("row_index bigint, score double").parquet(f"{where}/out").select("row_index", "score")
 
 
 def stream_chunks(spark, d):
