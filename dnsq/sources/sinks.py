@@ -39,7 +39,7 @@ def as_csv_rows(flows: DataFrame, places: int | None = None) -> DataFrame:
         if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
             col = F.to_json(col)
         elif isinstance(field.dataType, T.DoubleType) and places is not None:
-            col = F.format_string(f"%.{places}f", col)
+            col = F.when(col.isNotNull(), F.format_string(f"%.{places}f", col))
         col = col.cast("string")
         if field.name in dns and "protocol" in flows.columns:
             col = F.when(F.col("protocol") != "DNS", NOT_DNS).otherwise(col)
