@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.pairs import PAIR_CLASSES
 from ..functions.text import chars
-from .ranking import hash_rank, seeded_hash
+from ..session import attach
+from .ranking import hash_rank
 
 # Own tables of the variant generator: neighbours on a QWERTY keyboard and look-alike characters.
 KEY_ROWS = ["1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm"]
@@ -216,7 +217,7 @@ def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.
     """`is_test` for the first round(share * n) rows of every label in seeded order."""
     ranked = hash_rank(df, [label], key, seed, out="_rank")
     sizes = df.groupBy(label).agg(F.round(F.count(F.lit(1)) * F.lit(test_share)).cast("bigint").alias("_tests"))
-    return ranked.join(F.broadcast(sizes), label).withColumn(
+    return attach(ranked, sizes, [label]).withColumn(
         "is_test", F.col("_rank") < F.col("_tests")).drop("_rank", "_tests")
 
 
@@ -243,7 +244,7 @@ def label_codes(df: DataFrame, label: str) -> DataFrame:
 
 def label_encode(df: DataFrame, label: str, out: str = "code") -> DataFrame:
     codes = label_codes(df, label).withColumnRenamed("code", out)
-    return df.join(codes, label)
+    return attach(df, codes, [label])
 
 
 def standard_scale(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:

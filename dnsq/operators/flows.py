@@ -28,6 +28,8 @@ class FlowLimits:
     teardown: bool = True
     dns_key: str = "txid"
     slot_seconds: int = 600
+    # Packets of a key and slot above which the slot is cut into shorter ones.
+    slot_packets: int = 2_000_000
     # Packets up to which a run that needs the maximum duration is folded within one task.
     fold_packets: int = 100_000
 
@@ -84,7 +86,8 @@ def assign_flows(packets: DataFrame, limits: FlowLimits = FlowLimits()) -> DataF
     """
     limit_us = int(limits.max_flow_duration * 1_000_000)
     slot_us = int(min(limits.slot_seconds, limits.max_flow_duration) * 1_000_000)
-    df = _in_slots(_keyed(packets, limits, max(slot_us, 1)))
+    slot_us = max(slot_us, 1)
+    df = _in_slots(_shorter_slots(_keyed(packets, limits, slot_us), slot_us, limits.slot_packets))
     slots = cut_lineage(_slot_rows(df))
     runs = _runs(df, slots)
     suspects = slots.filter(F.col("end_us") - F.col("origin_in.ts_us") > limit_us).select("flow_key").distinct()
@@ -94,6 +97,29 @@ def assign_flows(packets: DataFrame, limits: FlowLimits = FlowLimits()) -> DataF
     return _split_long_flows(runs, suspects, n, limit_us, limits.fold_packets)
 
 
+_SHORT = 1 << 20  # most parts of a slot
+
+
+def _shorter_slots(df: DataFrame, slot_us: int, most: int) -> DataFrame:
+    """Slots of a busy key cut into parts, so that a (key, slot) group stays within a task.
+
+    Counts per key and slot are partial aggregations. A slot with k times too many packets is cut
+    into 4 k parts of equal length, as packets need not be spread evenly. N packets have at most
+    N / `most` such slots.
+    """
+    if df.count() <= most:
+        return df
+    full = cut_lineage(
+        df.groupBy("flow_key", "slot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+        .select("flow_key", "slot", F.least(F.ceil(F.col("n") / most) * 4, F.lit(_SHORT)).alias("_parts")))
+    n = full.count()
+    if n == 0:
+        return df
+    part = F.expr(f"((ts_us - slot * {slot_us}) * _parts) div {slot_us}")
+    return attach(df, full, ["flow_key", "slot"], "left", rows=n).withColumn(
+        "slot", F.col("slot") * _SHORT + F.coalesce(part, F.lit(0))).drop("_parts")
+
+
 def _in_slots(df: DataFrame) -> DataFrame:
     """What can be told within a slot, for an even and for an odd number of FINs brought into it.
 

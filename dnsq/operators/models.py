@@ -14,6 +14,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import attach, cut_lineage
 from .alerts import attack_class, hard_label_score
 from .datasets import class_weights
 from .metrics import METRICS, binary_metrics
@@ -99,7 +100,7 @@ def fit(train: DataFrame, label: str, columns: list[str], kind: str, balanced: b
         "code", (F.array_position(names, F.col(label).cast("string")) - 1).cast("double"))
     if balanced:
         weights = class_weights(train, label).select(label, "weight")
-        rows = rows.join(F.broadcast(weights), label)  # one row per class
+        rows = attach(rows, weights, [label], rows=len(labels))
     keep = ["features", "code", *(["weight"] if balanced else [])]
     rows = rows.select(*keep).persist()
     try:
@@ -155,6 +156,12 @@ def score_names(queries: DataFrame, bundle: Bundle, features) -> DataFrame:
     return score(names.withColumns(features(F.col("qname"))), bundle).select("qname", "predicted_label", "scores")
 
 
+def join_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """Queries with the scored names they ask for. `hits` (unique on `qname`) is kept, so nothing is
+    scored twice; a name may be behind a large share of the queries."""
+    return attach(queries, cut_lineage(hits), ["qname"])
+
+
 def score_flows(flows: DataFrame, bundle: Bundle, batch: bool = True) -> DataFrame:
     """Flows with `predicted_label` and `malicious_score`.
 

@@ -31,18 +31,29 @@ def dga_detection(lines: DataFrame, bundle: MO.Bundle, detected_at: Column | Non
                   threshold: float = A.DGA_THRESHOLD) -> DataFrame:
     """Query log to alerts on generated names; a name is scored once however often it is queried."""
     queries = DO.parse_queries(lines)
-    scored = MO.score_names(queries, bundle, lexical.dga_features)
-    return A.dga_alerts(queries.join(scored, "qname"), detected_at if detected_at is not None else F.current_timestamp(), threshold)
+    hits = MO.score_names(queries, bundle, lexical.dga_features).filter(F.col("scores")["dga"] >= threshold)
+    at = F.current_timestamp() if detected_at is None else detected_at
+    return A.dga_alerts(MO.join_hits(queries, hits), at, threshold)
+
+
+def model_matches(queries: DataFrame, protected: DataFrame, bundle: MO.Bundle, top_n: int | None = None) -> DataFrame:
+    """Best protected name per query by the pair model: all names of the list, or the `top_n` most
+    similar ones of a longer list."""
+    n = top_n or protected.count()
+    candidates = M.top_candidates(queries, protected, n)
+    if top_n is None:
+        candidates = candidates.withColumn("cand_no", F.col("position") + 1)  # ties keep list order
+    featured = candidates.withColumns(pairs.pair_features(F.col("target"), F.col("qname")))
+    return M.best_scored(MO.score(featured, bundle).select("qname", "target", "cand_no", "scores"))
 
 
 def typo_detection(lines: DataFrame, protected: DataFrame, bundle: MO.Bundle | None = None, top_n: int | None = None,
                    detected_at: Column | None = None, threshold: float = A.TYPO_THRESHOLD) -> DataFrame:
     """Query log to alerts on look-alike names."""
-    from ..streaming.jobs import model_matches
-
     queries = DO.parse_queries(lines)
     best = model_matches(queries, protected, bundle, top_n) if bundle else M.best_match(queries, protected)
-    return A.typo_alerts(queries.join(best, "qname"), detected_at if detected_at is not None else F.current_timestamp(), threshold)
+    at = F.current_timestamp() if detected_at is None else detected_at
+    return A.typo_alerts(MO.join_hits(queries, best.filter(F.col("score") >= threshold)), at, threshold)
 
 
 def tunnel_scoring(flows: DataFrame, bundle: MO.Bundle, threshold: float = A.TUNNEL_THRESHOLD) -> dict:

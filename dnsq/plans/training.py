@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexical, pairs
 from ..operators import datasets as D, metrics as ME, models as MO
 from ..session import cut_lineage
-from .jobs import dga_dataset, pair_model_rows
+from .jobs import pair_model_rows
 
 # Settings of the established models.
 DGA_SPECS = {
@@ -46,9 +46,8 @@ def train_dga(labelled: DataFrame, specs: dict[str, dict] | None = None, folds:
     """
     specs = specs or DGA_SPECS
     columns = lexical.DGA_FEATURES
-    data = dga_dataset(labelled.withColumn("class", F.lower("class")))
-    keys = labelled.select("row_key", "Domain", F.lower("class").alias("domain_class"))
-    rows = cut_lineage(keys.join(data.drop("domain_class").dropDuplicates(["Domain"]), "Domain"))
+    rows = cut_lineage(labelled.select("row_key", "Domain", F.lower("class").alias("domain_class")).withColumns(
+        lexical.dga_features(F.col("Domain"))))
     train, test = _split(rows, "domain_class")
     folded = D.kfold(rows, "domain_class", "row_key", folds) if folds else None
     bundles, tr, te, cv = {}, [], [], []

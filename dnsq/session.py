@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # Rows up to which a side of a join may be broadcast. The sides concerned have
 # narrow rows (a key and a few numbers), so this stays well under 100 MB.
 BROADCAST_ROWS = 200_000
+# Rows of one key from which a join treats the key as hot. N rows have at most N / HOT_ROWS hot keys,
+# so the list of them is short for any N.
+HOT_ROWS = 5_000_000
 SALTS = 32
 
 
@@ -32,18 +35,18 @@ def build_session(app: str = "dnsq", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a fresh local one only where none is named (tests)."""
+    """The shared folder the session names; a fresh local one only for a local master (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(named)
         return named
-    current = sc.getCheckpointDir()
-    if current is None:
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="dnsq-checkpoint-"))
-        current = sc.getCheckpointDir()
-    return current
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -58,13 +61,19 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
 
     `rows` is an upper bound of the small side where the caller knows one; else at most
     BROADCAST_ROWS + 1 of its rows are counted. Up to that limit it is broadcast, so the big side
-    does not move. Beyond it, both sides get a salt: a hot key of `big` is spread over SALTS tasks.
+    does not move. Beyond it, the hot keys of `big` are looked up first (a partial aggregation);
+    rows with a hot key get a salt, and only those keys of the small side are repeated per salt.
     """
     if rows is None:
         rows = small.limit(BROADCAST_ROWS + 1).count()
     if rows <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hot = cut_lineage(
+        big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS)
+        .select(*on, F.lit(True).alias("_hot")))
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salted = small.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
     # The salt is taken from the row itself, so a task that runs again salts the same way.
-    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    spread = big.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
     return spread.join(salted, [*on, "_salt"], how).drop("_salt")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,18 +61,23 @@ def read_domain_list(spark: SparkSession, path: str) -> DataFrame:
 def read_protected_list(spark: SparkSession, path: str) -> DataFrame:
     """A domain list with its 0-based line order as `position`.
 
-    The list is a configuration file: one file read as a single piece keeps its line order.
+    Lines are numbered within each block of a file; the blocks' sizes, one row per block, give
+    the offsets.
     """
-    lines = spark.read.option("wholetext", True).text(path)
-    rows = lines.select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    named = rows.select("line", F.lower(F.trim("value")).alias("domain")).filter(F.col("domain") != "")
+    block = ["file", "start"]
+    lines = spark.read.text(path).select(
+        F.lower(F.trim("value")).alias("domain"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"),
+    ).filter(F.col("domain") != "")
+    blocks = lines.groupBy(*block).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(
+        F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(*block).orderBy("line")) - 1
+    named = lines.withColumn("place", place).join(blocks, block).select(
+        "domain", (F.col("before") + F.col("place")).alias("position"))
     if named.isEmpty():
         raise ValueError(f"no domains in {path}")
-    from pyspark.sql import Window
-
-    # One file is one row above, so this window sees what one task has already held.
-    return named.select("domain", (F.row_number().over(
-        Window.partitionBy(F.lit(0)).orderBy("line")) - 1).cast("bigint").alias("position"))
+    return named
 
 
 def read_ranked_list(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import lexical, logs as L, pairs
-from ..operators import alerts as A, domains as DO, matching as M, models as MO
+from ..functions import logs as L
+from ..operators import alerts as A, domains as DO, models as MO
 from ..operators.flows import FlowLimits, assign_flows
+from ..plans.jobs import dga_detection, typo_detection
 
 
 def start(rows: DataFrame, handle: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
@@ -34,34 +35,13 @@ def start(rows: DataFrame, handle: Callable[[DataFrame], DataFrame], out: str, c
 # Handlers for `start`: micro-batch in, alerts out. A batch is scored per distinct name.
 
 def dga_handler(bundle: MO.Bundle, threshold: float = A.DGA_THRESHOLD) -> Callable[[DataFrame], DataFrame]:
-    def handle(lines: DataFrame) -> DataFrame:
-        queries = DO.parse_queries(lines)
-        scored = MO.score_names(queries, bundle, lexical.dga_features)
-        return A.dga_alerts(queries.join(scored, "qname"), F.current_timestamp(), threshold)
-
-    return handle
+    return lambda lines: dga_detection(lines, bundle, threshold=threshold)
 
 
 def typo_handler(bundle: MO.Bundle | None, protected: DataFrame, threshold: float = A.TYPO_THRESHOLD,
                  top_n: int | None = None) -> Callable[[DataFrame], DataFrame]:
     """With a bundle the model scores the candidates, else `matching.linear_scorer` does."""
-    def handle(lines: DataFrame) -> DataFrame:
-        queries = DO.parse_queries(lines)
-        best = model_matches(queries, protected, bundle, top_n) if bundle else M.best_match(queries, protected)
-        return A.typo_alerts(queries.join(best, "qname"), F.current_timestamp(), threshold)
-
-    return handle
-
-
-def model_matches(queries: DataFrame, protected: DataFrame, bundle: MO.Bundle, top_n: int | None = None) -> DataFrame:
-    """Best protected name per query by the pair model: all names of the list, or the `top_n` most
-    similar ones of a longer list."""
-    n = top_n or protected.count()
-    candidates = M.top_candidates(queries, protected, n)
-    if top_n is None:
-        candidates = candidates.withColumn("cand_no", F.col("position") + 1)  # ties keep list order
-    featured = candidates.withColumns(pairs.pair_features(F.col("target"), F.col("qname")))
-    return M.best_scored(MO.score(featured, bundle).select("qname", "target", "cand_no", "scores"))
+    return lambda lines: typo_detection(lines, protected, bundle, top_n, threshold=threshold)
 
 
 def tunnel_handler(bundle: MO.Bundle, threshold: float = A.TUNNEL_THRESHOLD) -> Callable[[DataFrame], DataFrame]:

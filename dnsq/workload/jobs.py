@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import datasets as D, domains as DO, flow_features as FF, flows as FL, matching as M, models as MO
 from ..plans import training as TR
-from ..plans.jobs import dga_detection, flow_feature_table
+from ..plans.jobs import dga_detection, flow_feature_table, model_matches
 from ..session import cut_lineage, shared_dir
 from ..sources import readers
 from ..streaming import flows as SF, jobs as SJ
@@ -98,7 +98,7 @@ def dga_model_alerts(spark, d):
 def typo_model_matches(spark, d):
     """Best protected name by a fitted pair model, among the five most similar names."""
     bundle = TR.train_pairs(_labelled_pairs(spark, d), trees=5, depth=6).bundles["Random Forest"]
-    return SJ.model_matches(X.queried_names(spark, d), X.protected(spark, d), bundle, 5)
+    return model_matches(X.queried_names(spark, d), X.protected(spark, d), bundle, 5)
 
 
 def flow_feature_rows(spark, d):
@@ -148,7 +148,8 @@ def stream_log_alerts(spark, d):
     def handle(batch):
         q = DO.parse_queries(batch)
         best = M.best_match(q, protected)
-        return q.join(best.withColumn("score", F.round("score", 9)).filter("score >= 0.8"), "qname").select(
+        hits = best.withColumn("score", F.round("score", 9)).filter("score >= 0.8")
+        return MO.join_hits(q, hits).select(
             F.col("qname").alias("domain"), F.round("score", 4).alias("score"), "target", "predicted_class",
             F.unix_micros("logged_at").alias("logged_us"))
 

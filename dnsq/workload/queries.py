@@ -11,6 +11,7 @@ from ..operators import (
     alerts as A, datasets as D, delays as DL, domains as DO, enrich, flow_features as FF, flows as FL,
     matching as M, metrics as ME,
 )
+from ..operators.models import join_hits, missing_columns, numeric
 from ..session import cut_lineage
 from . import tables as X
 
@@ -241,7 +242,7 @@ def dga_alerts(spark, d):
     names = q.select("qname").distinct().withColumn(
         "s", F.round(dga_linear_score(lexical.dga_features(F.col("qname"))), 9))
     names = names.withColumn("scores", F.create_map(F.lit("dga"), "s", F.lit("legit"), 1 - F.col("s")))
-    hits = A.dga_alerts(q.join(names, "qname"), _later(3), threshold=0.5)
+    hits = A.dga_alerts(join_hits(q, names.filter("s >= 0.5")), _later(3), threshold=0.5)
     return hits.select("detector", "domain", "score", r(F.col("scores")["legit"]).alias("legit"),
                        "unbound_logged_at", "detected_at", r("detection_delay_seconds", 6).alias("delay"))
 
@@ -249,7 +250,7 @@ def dga_alerts(spark, d):
 def typo_alerts(spark, d):
     q = DO.parse_queries(X.log_lines(spark, d))
     best = M.best_match(q, X.protected(spark, d)).withColumn("score", F.round("score", 9))
-    hits = A.typo_alerts(q.join(best, "qname"), _later(2), threshold=0.8)
+    hits = A.typo_alerts(join_hits(q, best.filter("score >= 0.8")), _later(2), threshold=0.8)
     return hits.select("detector", "domain", "score", "target", "predicted_class", "unbound_logged_at",
                        "detected_at", r("detection_delay_seconds", 6).alias("delay"))
 
@@ -265,8 +266,6 @@ def tunnel_alerts(spark, d):
         .join(FF.flow_header(assigned), "flow_uid")
         .join(FF.dns_records(assigned).select("flow_uid", "dns_domain_name"), "flow_uid", "left")
         .join(FF.ttl_stats(assigned).select("flow_uid", "ttl_values_max"), "flow_uid", "left"))
-    from ..operators.models import missing_columns, numeric
-
     missing = missing_columns(TUNNEL_COLUMNS, flows.columns)
     x = {c: numeric(flows, c) for c in TUNNEL_COLUMNS}
     s = F.least(F.lit(1.0), x["packets_numbers"] * 0.05 + x["total_bytes"] * 0.0001

@@ -148,6 +148,7 @@ def test_binary_metrics_without_hits(spark):
 def test_salted_join_equals_broadcast(spark, monkeypatch):
     from dnsq import session
 
+    monkeypatch.setattr(session, "HOT_ROWS", 20)
     big = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "k bigint, v bigint")
     small = spark.createDataFrame([(i, i * 10) for i in range(0, 300, 2)] + [(1, 11)], "k bigint, w bigint")
     for how in ("inner", "left", "left_semi", "left_anti"):

@@ -50,9 +50,9 @@ def expected(rows, idle, dns_idle, longest):
     return out
 
 
-@pytest.mark.parametrize("slot,fold", [(5, 100_000), (1000, 100_000), (5, 0), (37, 3)])
-def test_random_packets(spark, slot, fold):
-    """Small and large slots; long runs folded in a task, or cut by rounds."""
+@pytest.mark.parametrize("slot,fold,most", [(5, 100_000, 10**6), (1000, 100_000, 10**6), (5, 0, 10**6), (37, 3, 10**6), (600, 100_000, 20)])
+def test_random_packets(spark, slot, fold, most):
+    """Small and large slots, crowded ones cut up; long runs folded in a task, or cut by rounds."""
     rng = random.Random(7)
     rows, now = [], 0.0
     for no in range(1500):
@@ -67,7 +67,7 @@ def test_random_packets(spark, slot, fold):
                 a, b = "10.0.0.9", "10.0.0.8"
             rows.append(packet(no, now, a, b, s, d, flags=rng.choice([16] * 12 + [1, 17, 17, 4])))
     got = assign(spark, rows, activity_timeout=30, dns_activity_timeout=40, max_flow_duration=60, slot_seconds=slot,
-                 fold_packets=fold)
+                 fold_packets=fold, slot_packets=most)
     assert got == expected(rows, 30, 40, 60)
     assert len(got) == len(rows)
 
