@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pairs import PAIR_CLASSES
 from ..functions.text import chars
-from ..session import attach
+from ..session import attach, cut_lineage
 from .ranking import hash_rank
 
 # Own tables of the variant generator: neighbours on a QWERTY keyboard and look-alike characters.
@@ -136,7 +136,7 @@ def negative_pairs(domains: DataFrame, n: int = 1000, seed: int = 42) -> DataFra
     is (i, i + s mod m) with i = r mod m and s = r div m + 1, which names every unordered pair
     once, and numbers are visited with a step that has no common divisor with their count.
     """
-    names = numbered(domains, seed)
+    names = cut_lineage(numbered(domains, seed))
     m = names.count()
     total = m * (m - 1) // 2
     if total < n:
@@ -160,14 +160,14 @@ def negative_samples(targets: DataFrame, domains: DataFrame, variants: DataFrame
     which visits every other domain once. It takes as many steps as it needs: `per_target` plus
     the number of its variants that are themselves listed, which are then left out.
     """
-    names = numbered(domains, seed)
+    names = cut_lineage(numbered(domains, seed))
     m = names.count()
     if m < 2:
         raise ValueError("negatives need at least two domains")
     step = _stride(seed, m - 1)
     listed = names.select(F.col("domain").alias("query_domain"), F.col("idx").alias("j"))
-    taken = variants.select("target_domain", "query_domain").join(
-        listed.select("query_domain"), "query_domain", "left_semi")
+    taken = cut_lineage(variants.select("target_domain", "query_domain").join(
+        listed.select("query_domain"), "query_domain", "left_semi"))
     clashes = taken.groupBy("target_domain").agg(F.count(F.lit(1)).alias("clashes"))
     steps = (
         targets.select(F.col("domain")).distinct().join(names, "domain")

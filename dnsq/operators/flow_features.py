@@ -113,8 +113,7 @@ def delta_time_names() -> list[str]:
     return list(_delta_time_stats())
 
 
-def packet_features(assigned: DataFrame, names: list[str]) -> DataFrame:
-    """The named packet features, one row per flow."""
+def _packet_features(assigned: DataFrame, names: list[str], extra: list[Column]) -> DataFrame:
     df = with_direction(assigned)
     if any("_delta_" in n for n in names):
         df = with_previous(df)
@@ -122,20 +121,25 @@ def packet_features(assigned: DataFrame, names: list[str]) -> DataFrame:
     for n in names:
         if n not in built:
             built[n] = PACKET_FEATURES[n]()
-    return df.groupBy("flow_uid").agg(*[built[n].alias(n) for n in names])
+    return df.groupBy("flow_uid").agg(*extra, *[built[n].alias(n) for n in names])
+
+
+def packet_features(assigned: DataFrame, names: list[str]) -> DataFrame:
+    """The named packet features, one row per flow: one aggregation for all of them."""
+    return _packet_features(assigned, names, [])
 
 
-def flow_header(assigned: DataFrame) -> DataFrame:
-    """Identifying columns of a flow."""
-    df = assigned.groupBy("flow_uid").agg(
-        F.min("origin").alias("o"), F.min("protocol").alias("protocol"))
-    ts = F.timestamp_micros("o.ts_us")
-    dns_id = F.when(F.col("protocol") == "DNS", F.col("o.txid"))
+def flow_header(assigned: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Identifying columns of a flow, and the named packet features from the same aggregation."""
+    names = names or []
+    df = _packet_features(assigned, names, [F.min("origin").alias("_o"), F.min("protocol").alias("protocol")])
+    ts = F.timestamp_micros("_o.ts_us")
+    dns_id = F.when(F.col("protocol") == "DNS", F.col("_o.txid"))
     return df.select(
         "flow_uid",
-        P.flow_id_text(ts, F.col("o.src_ip"), F.col("o.src_port"), F.col("o.dst_ip"),
-                       F.col("o.dst_port"), dns_id).alias("flow_id"),
-        ts.alias("timestamp"), "o.src_ip", "o.src_port", "o.dst_ip", "o.dst_port", "protocol")
+        P.flow_id_text(ts, F.col("_o.src_ip"), F.col("_o.src_port"), F.col("_o.dst_ip"),
+                       F.col("_o.dst_port"), dns_id).alias("flow_id"),
+        ts.alias("timestamp"), "_o.src_ip", "_o.src_port", "_o.dst_ip", "_o.dst_port", "protocol", *names)
 
 
 def handshakes(assigned: DataFrame) -> DataFrame:
@@ -287,10 +291,8 @@ def flow_features(assigned: DataFrame, allow: list[str] | None = None, ignore: l
     def wanted(names) -> list[str]:
         return [n for n in names if (allow is None or n in allow) and n not in ignored]
 
-    table = flow_header(assigned)
-    packet = wanted([*_counts(), *_length_stats(), *_delta_len_stats(), *_delta_time_stats(), *PACKET_FEATURES])
-    if packet:
-        table = table.join(packet_features(assigned, packet), "flow_uid")
+    table = flow_header(assigned, wanted(
+        [*_counts(), *_length_stats(), *_delta_len_stats(), *_delta_time_stats(), *PACKET_FEATURES]))
     if wanted(["handshake_duration", "delta_start", "handshake_status"]):
         table = table.join(handshakes(assigned), "flow_uid", "left")
     name = F.col("dns_domain_name")

@@ -27,7 +27,7 @@ class FlowLimits:
     max_flow_duration: float = 120000
     teardown: bool = True
     dns_key: str = "txid"
-    slot_seconds: int = 600
+    slot_seconds: int = 86400
     # Packets of a key and slot above which the slot is cut into shorter ones.
     slot_packets: int = 2_000_000
     # Packets up to which a run that needs the maximum duration is folded within one task.
@@ -82,12 +82,19 @@ def assign_flows(packets: DataFrame, limits: FlowLimits = FlowLimits()) -> DataF
 
     Without the last rule a flow depends on gaps, resets and FIN counts alone (`_runs`). A
     look at the slot rows tells which keys hold a flow that may outlive the limit; as a rule none
-    does, and the rest is lazy. See `_split_long_flows` for those that do.
+    does, and the result is lazy. See `_split_long_flows` for those that do.
     """
     limit_us = int(limits.max_flow_duration * 1_000_000)
     slot_us = int(min(limits.slot_seconds, limits.max_flow_duration) * 1_000_000)
     slot_us = max(slot_us, 1)
-    df = _in_slots(_shorter_slots(_keyed(packets, limits, slot_us), slot_us, limits.slot_packets))
+    keyed = _keyed(packets, limits, slot_us)
+    size = keyed.agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("a"), F.max("ts_us").alias("b")).first()
+    if size["n"] > limits.slot_packets:
+        keyed = _shorter_slots(keyed, slot_us, limits.slot_packets)
+    df = _in_slots(keyed)
+    if size["n"] == 0 or size["b"] - size["a"] <= limit_us:
+        # No flow of this input can outlive the limit: one lazy plan.
+        return _runs(df, _slot_rows(df)).drop("_run", "_fins")
     slots = cut_lineage(_slot_rows(df))
     runs = _runs(df, slots)
     suspects = slots.filter(F.col("end_us") - F.col("origin_in.ts_us") > limit_us).select("flow_key").distinct()
@@ -107,8 +114,6 @@ def _shorter_slots(df: DataFrame, slot_us: int, most: int) -> DataFrame:
     into 4 k parts of equal length, as packets need not be spread evenly. N packets have at most
     N / `most` such slots.
     """
-    if df.count() <= most:
-        return df
     full = cut_lineage(
         df.groupBy("flow_key", "slot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
         .select("flow_key", "slot", F.least(F.ceil(F.col("n") / most) * 4, F.lit(_SHORT)).alias("_parts")))

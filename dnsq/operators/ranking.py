@@ -55,12 +55,12 @@ def pick_ranks(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame
     # Four scans follow; one number per row is kept for them.
     values = cut_lineage(df.select(F.col(value).cast("bigint").alias("v")).filter(F.col("v").isNotNull()))
     # One row, one entry per share: the broadcast sides below never hold more than len(shares) rows.
-    targets = values.agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select(
+    targets = cut_lineage(values.agg(F.count(F.lit(1)).alias("n")).filter("n > 0").select(
         F.lit(0).cast("bigint").alias("prefix"),
         F.array(*[
             F.struct(F.lit(name).alias("name"), F.col("n"),
                      F.floor((F.col("n") - 1) * F.lit(p)).cast("bigint").alias("left"))
-            for name, p in shares.items()]).alias("wants"))
+            for name, p in shares.items()]).alias("wants")))
     for level in (2, 1, 0):
         step = 1 << (level * _DIGIT_BITS)
         counts = (

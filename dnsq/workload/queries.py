@@ -259,11 +259,10 @@ TUNNEL_COLUMNS = ["packets_numbers", "total_bytes", "ttl_values_max", "not_in_ta
 
 
 def tunnel_alerts(spark, d):
-    # Four aggregations follow, so the assignment is kept.
+    # Three aggregations follow, so the assignment is kept.
     assigned = cut_lineage(FL.assign_flows(X.packets(spark, d), X.LIMITS))
     flows = (
-        FF.packet_features(assigned, ["packets_numbers", "total_bytes"])
-        .join(FF.flow_header(assigned), "flow_uid")
+        FF.flow_header(assigned, ["packets_numbers", "total_bytes"])
         .join(FF.dns_records(assigned).select("flow_uid", "dns_domain_name"), "flow_uid", "left")
         .join(FF.ttl_stats(assigned).select("flow_uid", "ttl_values_max"), "flow_uid", "left"))
     missing = missing_columns(TUNNEL_COLUMNS, flows.columns)

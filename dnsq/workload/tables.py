@@ -11,9 +11,9 @@ from ..operators.flows import FlowLimits
 
 # Limits under which the sparse stand-in packets form flows that exercise every rule.
 LIMITS = FlowLimits(activity_timeout=86400, dns_activity_timeout=86400, max_flow_duration=5 * 86400,
-                    slot_seconds=6 * 3600)
+                    slot_seconds=86400)
 IDLE_ONLY = FlowLimits(activity_timeout=86400, dns_activity_timeout=86400, max_flow_duration=10**9,
-                       teardown=False, slot_seconds=6 * 3600)
+                       teardown=False, slot_seconds=86400)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
