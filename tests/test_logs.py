@@ -1,3 +1,6 @@
+import re
+
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from dnsq.functions import logs as L, times
@@ -66,3 +69,39 @@ def test_times(spark):
     got = row.select(times.delay_seconds(F.col("a"), F.col("b")), times.delay_seconds(F.col("b"), F.col("a")),
                      times.delay_seconds(F.col("a"), F.col("n"))).first()
     assert list(got) == [None, 1.0, None]
+
+
+pieces = st.lists(st.sampled_from(["a", "B-", "x.", ".", "..", " ", "  ", "\t", "A", "IN", "in", "info", "1", "10.", "2.3", "_", "[", "é", ":"]), max_size=14)
+
+
+@settings(max_examples=3000, deadline=None)
+@given(pieces)
+def test_fast_patterns_match_the_same(parts):
+    line = "".join(parts)
+
+    def normalised(pattern):
+        m = re.search(pattern, line, re.ASCII)
+        return m and m.group(1).lower().rstrip(".")
+
+    assert normalised(L._FAST_QNAME[3]) == normalised(L.QNAME_PATTERNS[3])
+    assert normalised(L._FAST_CLIENT) == normalised(L.CLIENT_PATTERN)
+
+
+def test_many_lines_as_by_hand(spark):
+    """The four patterns one after the other over mixed lines."""
+    import random
+
+    rng = random.Random(3)
+    bits = ["query[A] a.b. ", "query: c.d. ", "QNAME e.f. ", "g.h. A IN ", "10.0.0.1 ", "noise ", "i.j ", "query:k. ", "info: ", "... A IN "]
+    lines = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+
+    def by_hand(line):
+        for p in L.QNAME_PATTERNS:
+            m = re.search(p, line)
+            if m:
+                return m.group(1).lower().rstrip(".") or None
+        return None
+
+    df = spark.createDataFrame([(x,) for x in lines], "value string").select("value", L.qname(F.col("value")).alias("q"))
+    for r in df.collect():
+        assert r.q == by_hand(r.value), r.value
