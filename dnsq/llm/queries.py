@@ -5,8 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup
-from .common import bound_batches, read
+from . import decontaminate, line_dedup
+from .common import read
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.build_index(read(spark, sf_dir, "documents"))
+    found = decontaminate.find(spark, index, read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +26,41 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op7_line_dedup": op7_line_dedup,
 }
 
 ORACLE = {
+    "op1_decontaminate": r"""
+        with lowered as (
+            select 'd' as kind, doc_id as id, coalesce(text, '') as text from documents
+            union all select 'b', item_id, coalesce(text, '') from benchmark),
+        listed as (
+            select kind, id, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from lowered),
+        phrases as (
+            select id as item_id, least(13, len(w)) as n,
+                   unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1),
+                                         lambda i: array_to_string(w[i:i + least(13, len(w)) - 1], ' '))) as phrase
+            from listed where kind = 'b' and len(w) > 0),
+        sizes as (select distinct n from phrases),
+        places as (
+            select id as doc_id, n, w, unnest(range(1, len(w) - n + 2)) as spot from listed, sizes
+            where kind = 'd' and len(w) >= n),
+        hits as (
+            select distinct doc_id, p.n, spot, item_id from places join phrases p
+            on p.n = places.n and p.phrase = array_to_string(w[spot:spot + places.n - 1], ' ')),
+        covered as (select doc_id, count(distinct spot + k) as n_hit
+                    from (select doc_id, spot, unnest(range(0, n)) as k from hits) group by doc_id),
+        named as (select doc_id, count(distinct item_id) as n_items,
+                         string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids
+                  from hits group by doc_id)
+        select l.id as doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+               coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+               coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+        from listed l left join covered c on c.doc_id = l.id left join named m on m.doc_id = l.id
+        where kind = 'd'""",
     "op7_line_dedup": r"""
         with lines as (
             select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,11 +38,19 @@ _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=2)
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, _U(base))
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """base^0 to base^(n-1), or more of them; those of ordinary chunks are kept by the worker."""
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        out = np.full(n, _U(base))
+        out[0] = 1
+        out = np.cumprod(out, dtype=np.uint64)
+        if n > _CHUNK:
+            return out
+        _POWERS[base] = out
+    return _POWERS[base]
 
 
 def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
