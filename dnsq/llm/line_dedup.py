@@ -136,6 +136,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = written(suspects.groupBy("key", "id", "row_hash").agg(F.collect_set("pos").alias("pos")), "suspects")
     confirmed = (places.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("keeper"))
                  .filter(F.col("docs") >= min_docs).select("key", "keeper"))
+    # Written, so that the join below deals both sides anew and a key that many documents hold can be split.
+    confirmed = written(confirmed, "repeated-keys")
     return (places.join(confirmed, "key").filter(~F.col("id").eqNullSafe(F.col("keeper")))
             .select("id", "row_hash", F.explode("pos").alias("pos")))
 
