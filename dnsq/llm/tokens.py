@@ -86,7 +86,7 @@ class Words:
         split = pc.ascii_split_whitespace(texts)
         before_row = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         word = coded.indices.to_numpy().astype(np.int64)
         if len(distinct) == 0:
             return (np.empty(0, dtype=np.uint32), np.zeros(len(column) + 1, dtype=np.int64),
@@ -96,7 +96,7 @@ class Words:
         flat = _gather(np.frombuffer(self.table.flat, dtype=np.uint32), start[number], np.diff(start)[number])
         closed = np.cumsum(np.diff(start)[number])[number == 0]
         size = np.diff(closed, prepend=0)
-        closes = np.fromiter((w[-1:] in ".!?" and w != "" for w in distinct), dtype=bool, count=len(distinct))
+        closes = pc.match_substring_regex(coded.dictionary, "[.!?]$").to_numpy(zero_copy_only=False)
         ends = np.cumsum(size[word])
         starts = np.concatenate(([0], ends))[before_row]
         return _gather(flat, (closed - size)[word], size[word]), starts, ends, closes[word]
