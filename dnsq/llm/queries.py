@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing
-from .common import read
+from . import decontaminate, jaccard_join, language, line_dedup, packing
+from .common import held_out, read
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,10 +38,23 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.train(docs.filter(~held_out("doc_id")))
+    return language.predict(docs, model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "shares")
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked_groups(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op5_packing": op5_packing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_language": op8_language,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE = {

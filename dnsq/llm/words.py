@@ -113,8 +113,8 @@ def shingles(hashes: np.ndarray, before: np.ndarray, k: int) -> list[np.ndarray]
             s = np.sort(full[a : b - k + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         elif b > a:
-            whole = (hashes[a:b] * (factors[: b - a] | _U(1))).sum(dtype=np.uint64) + factors[k + b - a]
-            out.append(mix(np.array([whole], dtype=np.uint64)))
+            whole = (hashes[a:b] * (factors[: b - a] | _U(1))).sum(dtype=np.uint64, keepdims=True)
+            out.append(mix(whole + factors[k + b - a : k + b - a + 1]))
         else:
             out.append(np.empty(0, dtype=np.uint64))
     return out
