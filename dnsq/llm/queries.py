@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, line_dedup, packing
+from . import decontaminate, jaccard_join, language, line_dedup, packing, pii, quality_rules
 from .common import held_out, read
 
 
@@ -18,6 +18,24 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontaminate.contaminated().alias("contaminated"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def number(kind: str) -> F.Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[number(k) for k in pii.KINDS],
+                        F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = quality_rules.train_sample(docs, read(spark, sf_dir, "labels"))
+    rules = quality_rules.learn(quality_rules.with_counts(sample))
+    return quality_rules.judge(docs, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def tokenizer_path() -> str:
     """The public vocabulary that the contracts name; operators take any such path."""
     import public_tokenizers
@@ -51,6 +69,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_pii": op2_pii,
+    "op3_quality_rules": op3_quality_rules,
     "op5_packing": op5_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_language": op8_language,
