@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, line_dedup, packing, pii, quality_rules
+from . import decontaminate, hosts, jaccard_join, language, line_dedup, materialise, packing, pii, quality_rules
 from .common import held_out, read
 
 
+ORDER_KEY = 20_240_607  # a training run's own; any number
+
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.build_index(read(spark, sf_dir, "documents"))
     found = decontaminate.find(spark, index, read(spark, sf_dir, "benchmark"))
@@ -43,6 +49,11 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = materialise.materialise(read(spark, sf_dir, "documents"), tokenizer_path(), key=ORDER_KEY)
+    return rows
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
@@ -63,6 +74,11 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "shares")
 
 
+def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return hosts.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_groups(read(spark, sf_dir, "documents"))
 
@@ -71,9 +87,11 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
+    "op4_training_order": op4_training_order,
     "op5_packing": op5_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_language": op8_language,
+    "op9_url_reputation": op9_url_reputation,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
@@ -125,4 +143,42 @@ ORACLE = {
         select doc_id, count(*)::bigint as n_lines, count(*) filter (dropped)::bigint as n_dropped,
                sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) as kept_sha256
         from judged group by doc_id""",
+    "op9_url_reputation": r"""
+        with parts as (
+            select page_id, url,
+                   case when contains(url, '://') then regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') else '' end as raw_host,
+                   case when contains(url, '://') then regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) else '' end as path
+            from pages),
+        cut as (select page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path from parts),
+        rules(what, h, p) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                              ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        fitting as (
+            select page_id, max_by(h || p, length(h || p)) as rule, max_by(what, length(h || p)) as what
+            from cut join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id),
+        judged as (select c.*, f.rule, f.what from cut c left join fitting f using (page_id)),
+        per_host as (
+            select host, count(what)::double as n, (count(*) filter (what = 'block'))::double as bad,
+                   case when len(string_split(host, '.')) >= 2 then array_to_string(string_split(host, '.')[-2:], '.') else host end as domain,
+                   string_split(host, '.')[-1] as suffix
+            from judged group by host),
+        per_domain as (select domain, suffix, sum(n) as n, sum(bad) as bad from per_host group by all),
+        per_suffix as (select suffix, sum(n) as n, sum(bad) as bad from per_domain group by all),
+        total as (select case when sum(n) > 0 then (sum(bad) + 1) / (sum(n) + 2) else 0.5 end as c from per_suffix),
+        moments as (
+            select 'host' as level, count(*) as k, sum(n) as n, sum(n * n) as nn, sum(bad * bad / n) as s from per_host where n > 0
+            union all select 'domain', count(*), sum(n), sum(n * n), sum(bad * bad / n) from per_domain where n > 0
+            union all select 'suffix', count(*), sum(n), sum(n * n), sum(bad * bad / n) from per_suffix where n > 0),
+        strength as (
+            select level, 1 / least(0.5, greatest(0.01,
+                case when k > 1 and c > 0 and c < 1 and c * (1 - c) * (n - nn / n - (k - 1)) > 0
+                     then (s - n * c * c - c * (1 - c) * (k - 1)) / (c * (1 - c) * (n - nn / n - (k - 1)))
+                     else 0.5 end)) - 1 as m
+            from moments, total),
+        s as (select suffix, (m * c + bad) / (m + n) as mean from per_suffix, total, strength where level = 'suffix'),
+        d as (select domain, suffix, (m * mean + bad) / (m + n) as mean from per_domain join s using (suffix), strength where level = 'domain'),
+        h as (select host, m * mean + bad as a, m * (1 - mean) + n - bad as b
+              from per_host join d using (domain, suffix), strength where level = 'host'),
+        bounds as (select host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as low from h)
+        select page_id, host, path, rule, coalesce(what, case when low > 0.5 then 'block' else 'allow' end) as verdict
+        from judged join bounds using (host)""",
 }
