@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hosts, jaccard_join, language, line_dedup, materialise, packing, pii, quality_rules
+from . import decontaminate, hosts, jaccard_join, language, line_dedup, materialise, packing, pii, quality_rules, toxicity
 from .common import held_out, read
 
 
@@ -60,6 +60,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    known = read(spark, sf_dir, "labels").filter(~held_out("doc_id"))
+    scored = toxicity.score(docs, toxicity.train(docs, known))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return line_dedup.drop_repeated_lines(docs).select(
@@ -89,6 +97,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_training_order": op4_training_order,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_language": op8_language,
     "op9_url_reputation": op9_url_reputation,
