@@ -4,17 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dnsq.llm import line_dedup
-from dnsq.llm.common import read, written
+from dnsq.llm import decontaminate, jaccard_join, language, line_dedup, packing
+from dnsq.llm.common import held_out, read, written
+from dnsq.llm.queries import tokenizer_path
 
 
-def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which some language holds a fair share stay; those without letters go."""
+    model = language.train(docs.filter(~held_out("doc_id")))
+    return language.identified(docs, model)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents repeat stay in one of them."""
     return line_dedup.drop_repeated_lines(docs).select(docs.columns)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return jaccard_join.one_of_each_group(docs)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat passages of the benchmark go."""
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token windows of what is left, one row per piece of a document."""
+    return packing.pack(docs, tokenizer_path())
+
+
 STAGES = [
-    ("line dedup", drop_lines),
+    ("language ID", known_language),
+    ("line dedup", without_repeated_lines),
+    ("n-gram Jaccard join", without_near_copies),
+    ("benchmark decontamination", without_benchmarks),
+    ("packing", packed),
 ]
 
 

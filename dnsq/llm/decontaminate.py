@@ -27,18 +27,19 @@ from .words import ALPHANUMERIC, binaries, text_buffer, word_hashes
 GAP = 64  # free places between documents of a segment
 SEGMENT_WORDS = 2_000_000
 ITEMS_PER_GROUP = 20_000
-_INDEX = "kind string, seg long, term long, n long, places binary, ids array<long>, words array<long>"
+_INDEX = "kind string, seg long, term long, n long, places binary, ids array<long>, hashes array<long>, words array<long>"
 
 
 def _segments(batches):
-    """Batches (id, text) to the rows of the index: the documents and the postings of each segment."""
+    """Batches (id, row hash, text) to the rows of the index: the documents and the postings of each segment."""
     part, number = TaskContext.get().partitionId(), 0
-    ids, counts, terms, places, base, held = [], [], [], [], 0, 0
+    ids, hashes, counts, terms, places, base, held = [], [], [], [], [], 0, 0
 
     def flush():
         seg = (part << 32) + number
         yield pa.RecordBatch.from_pylist(
-            [{"kind": "d", "seg": seg, "term": None, "n": len(ids), "places": None, "ids": ids, "words": counts}],
+            [{"kind": "d", "seg": seg, "term": None, "n": len(ids), "places": None, "ids": ids, "hashes": hashes,
+              "words": counts}],
             schema=schema)
         t, p = np.concatenate(terms), np.concatenate(places)
         if len(t) == 0:
@@ -50,25 +51,26 @@ def _segments(batches):
         n = len(first)
         yield pa.RecordBatch.from_arrays([
             pa.repeat("t", n), pa.repeat(seg, n), pa.array(t[first].view(np.int64)), pa.array(np.diff(edges)),
-            binaries(p, edges), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], schema=schema)
+            binaries(p, edges), pa.nulls(n, longs), pa.nulls(n, longs), pa.nulls(n, longs)], schema=schema)
 
     longs = pa.list_(pa.int64())
     schema = pa.schema([("kind", pa.string()), ("seg", pa.int64()), ("term", pa.int64()), ("n", pa.int64()),
-                        ("places", pa.binary()), ("ids", longs), ("words", longs)])
+                        ("places", pa.binary()), ("ids", longs), ("hashes", longs), ("words", longs)])
     for b in batches:
         if b.num_rows == 0:
             continue
-        h, before = word_hashes(*text_buffer(b.column(1)), ALPHANUMERIC)
+        h, before = word_hashes(*text_buffer(b.column(2)), ALPHANUMERIC)
         n = np.diff(before)
         starts = base + np.concatenate(([0], np.cumsum(n + GAP)))
         terms.append(h)
         places.append(np.arange(len(h)) + np.repeat(starts[:-1] - before[:-1], n))
         ids += b.column(0).to_pylist()
+        hashes += b.column(1).to_pylist()
         counts += n.tolist()
         base, held = int(starts[-1]), held + len(h)
         if held >= SEGMENT_WORDS:
             yield from flush()
-            ids, counts, terms, places, base, held, number = [], [], [], [], 0, 0, number + 1
+            ids, hashes, counts, terms, places, base, held, number = [], [], [], [], [], 0, 0, number + 1
     if ids:
         yield from flush()
 
@@ -77,7 +79,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Writes the index of all documents into the shared folder and returns its path."""
     bound_batches(docs.sparkSession)
     path = fresh_path(docs.sparkSession, "postings")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col), F.col(text_col).alias("text"))
     rows.mapInArrow(_segments, _INDEX).write.partitionBy("kind").option("compression", "zstd").parquet(path)
     return path
 
@@ -170,7 +172,7 @@ def _covered() -> F.Column:
 
 def find(spark, index: str, items: DataFrame, length: int = 13, slop: int = 0, item_col: str = "item_id",
          text_col: str = "text") -> DataFrame:
-    """Per document (row of the indexed table): doc_id, n_words, n_hit, item_ids.
+    """Per document (row of the indexed table): doc_id, row_hash (of its text), n_words, n_hit, item_ids.
 
     A phrase is each window of `length` consecutive words of an item; an item of fewer words, but not none, is
     one phrase. n_hit counts the document's words inside any occurrence, item_ids lists (as sorted distinct
@@ -218,13 +220,24 @@ def find(spark, index: str, items: DataFrame, length: int = 13, slop: int = 0, i
         _covered().alias("n_hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")), "hits")
     named = (hits.select("seg", "slot", F.explode("items").alias("item")).join(numbered.select("item", "item_id"), "item")
              .groupBy("seg", "slot").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")))
-    listed = documents.select("seg", "ids", F.posexplode("words").alias("pos", "n_words"))
-    listed = listed.select("seg", F.col("pos").cast("long").alias("slot"), F.get("ids", "pos").alias("doc_id"), "n_words")
+    listed = documents.select("seg", "ids", "hashes", F.posexplode("words").alias("pos", "n_words"))
+    listed = listed.select("seg", F.col("pos").cast("long").alias("slot"), F.get("ids", "pos").alias("doc_id"),
+                           F.get("hashes", "pos").alias("row_hash"), "n_words")
     return (listed.join(hits.select("seg", "slot", "n_hit"), ["seg", "slot"], "left").join(named, ["seg", "slot"], "left")
-            .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            .select("doc_id", "row_hash", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      length: int = 13, min_share: int = 20) -> DataFrame:
+    """The rows of `docs`, all columns, that are not contaminated by the items' phrases."""
+    found = find(docs.sparkSession, build_index(docs, id_col, text_col), items, length)
+    bad = written(found.filter(contaminated(min_share)).select(
+        F.col("doc_id").alias("__llm_id"), F.col("row_hash").alias("__llm_hash")).distinct(), "contaminated")
+    same = docs[id_col].eqNullSafe(bad["__llm_id"]) & (F.xxhash64(docs[text_col]) == bad["__llm_hash"])
+    return docs.join(bad, same, "left_anti")
+
+
 def contaminated(min_share: int = 20) -> F.Column:
     """Some hit, and hits are at least one in `min_share` words."""
     return (F.col("n_hit") > 0) & (min_share * F.col("n_hit") >= F.col("n_words"))

@@ -324,19 +324,15 @@ def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return links.union(more)
 
 
-def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-                  percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row: the size of its set and the smallest id reachable by links.
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row_hash"),
+                       F.col(text_col).alias("text"))
 
-    A text is lower-cased (A-Z) and cut at spaces; its set holds the distinct windows of `words` words, or all
-    its words if there are fewer. Two documents link when 100 * intersection >= percent * union. NULL or empty
-    texts, and texts of spaces only, have an empty set and link with nothing. Rows that repeat are rows of their
-    own, in one group. A NULL id counts last: it names a group only of rows without ids. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
+
+def _grouped(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, row_hash, n, root, component) per row; root is NULL for documents that link with nothing."""
+    spark = rows.sparkSession
     bound_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("row_hash"),
-                       F.col(text_col).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     fragments = max(OVERLAP_FRAGMENTS, int(chars / 6 * SHARE / FRAGMENT))
     pieces = rows.mapInArrow(_pieces(words, fragments), _PIECE)
@@ -368,10 +364,43 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "cls", "least", F.coalesce("root", "cls").alias("root"))
     grouped = written(grouped, "grouped")
     named = written(grouped.groupBy("root").agg(F.min("least").alias("component")), "named")
-    by_class = written(grouped.join(named, "root").select("cls", "component"), "by-class")
-    return classes.join(by_class, "cls", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("id")).alias("component_id"))
+    by_class = written(grouped.join(named, "root").select("cls", "root", "component"), "by-class")
+    return classes.join(by_class, "cls", "left").select("id", "row_hash", "n", "root", "component")
+
+
+def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                  percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row: the size of its set and the smallest id reachable by links.
+
+    A text is lower-cased (A-Z) and cut at spaces; its set holds the distinct windows of `words` words, or all
+    its words if there are fewer. Two documents link when 100 * intersection >= percent * union. NULL or empty
+    texts, and texts of spaces only, have an empty set and link with nothing. Rows that repeat are rows of their
+    own, in one group. A NULL id counts last: it names a group only of rows without ids. An empty table gives no rows.
+    """
+    found = _grouped(_rows(docs, id_col, text_col), words, percent)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+                        F.coalesce("component", "id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                      percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs`, all columns, with one document of each group of links: the one with the smallest id.
+
+    Rows that repeat id and text are one document and stay once, whatever their text. Documents that link with
+    nothing stay. A NULL id counts last in a group.
+    """
+    found = _grouped(_rows(docs, id_col, text_col), words, percent).filter("root is not null")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "row_hash")
+    heads = written(found.groupBy("root").agg(F.min(order).alias("head")), "group-heads")
+    others = found.join(heads, "root").filter(F.col("head") != order).select("id", "row_hash").distinct()
+    # Plain equality on two columns, so that one exchange of the texts serves the join and the last step.
+    key = [F.coalesce("id", F.lit(-(1 << 63))).alias("__llm_id"), F.xxhash64(F.col("id").isNull(), "row_hash").alias("__llm_hash")]
+    others = written(others.select(*key), "group-others")
+    keyed = docs.withColumns({
+        "__llm_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))),
+        "__llm_hash": F.xxhash64(F.col(id_col).isNull(), F.xxhash64(text_col))})
+    on = ["__llm_id", "__llm_hash"]
+    return keyed.join(others, on, "left_anti").dropDuplicates(on).drop(*on).select(docs.columns)
 
 
 ship(__name__)
