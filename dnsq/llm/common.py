@@ -45,12 +45,10 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def same(left: DataFrame, right: DataFrame, *names: str) -> F.Column:
-    """Null-safe equality on the named columns."""
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond
+def side(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows as the side of a join: broadcast up to SMALL_KEYS rows (counted from the file
+    footers), else joined as the optimiser sees fit."""
+    return F.broadcast(table) if table.count() <= SMALL_KEYS else table
 
 
 def fold_ascii(text) -> F.Column:

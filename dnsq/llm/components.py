@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import ship, side, written
 
 
 def _hooked(pairs: DataFrame, name: str) -> DataFrame:
     """(x, y) with the smallest y of each x, itself included. The minimum is written, so that the join deals both
     sides anew and a node with very many edges can be split."""
     least = written(pairs.groupBy("x").agg(F.min("y").alias("m")), name)
-    return pairs.join(least, "x").withColumn("m", F.least("x", "m"))
+    return pairs.join(side(least), "x").withColumn("m", F.least("x", "m"))
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -10,11 +10,11 @@ fragment is handled apart and gives partial numbers, which are summed per docume
 2. Candidates. Fragments count, for the classes left, in how many classes each shingle lies. By (count, hash),
    rarest first, two linked classes share one of their first n - ceil(t n) + 1 shingles. Classes that have
    such a shingle in common form a list.
-3. Overlaps. A short list gives all its pairs. In a long one every class is held against one pivot, the components
-   of the links found are built, and only classes of different components in a list are compared further, if their
-   sizes and their distances to the pivot allow a link (Jaccard distance obeys the triangle inequality). So a
-   group of very many near copies costs a comparison or two per copy, and no link between components is lost.
-   The overlap of a pair is counted by fragment and summed.
+3. Overlaps. How many lists two linked classes must have in common follows from their sizes, so the first of them is
+   among the first few of either. A short list gives the pairs that this allows; in a long one, in a few rounds, each class
+   outside the list's main component is held against some members of it, so that a group of very many near
+   copies costs some comparisons per copy. Only classes still of different components are then paired in the same
+   way, so no link between components is lost. The overlap of a pair is counted by fragment and summed.
 
 Texts are read twice and never stored; sets are kept only for the classes that are left after step 1.
 """
@@ -24,10 +24,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SMALL_KEYS, bound_batches, fresh_path, ship, written
+from .common import bound_batches, fresh_path, ship, side, written
 from .components import components
 from .words import NOT_SPACE, binaries, mix, shingles, text_buffer, word_hashes
 
@@ -36,8 +36,11 @@ PERCENT = 80
 SHARE = 0.35  # part of the order that step 1 looks at
 FLUSH = 400_000  # shingles a piece gathers before it is handed on
 FRAGMENT = 500_000  # shingles of a fragment, about
-OVERLAP_FRAGMENTS = 8
+LEAST_FRAGMENTS = 8  # of the order, in steps 1 and 2
+ROW = 4096  # shingles that a fragment of step 3 has of one set, about: it bounds a row
 SHORT_LIST = 8
+# Rounds of pivots before the classes left are compared in pairs; members drawn per list, and tried per class, in each.
+ROUNDS, DRAWS, TRIALS = 4, 6, 12
 _U = np.uint64
 _LONGS = pa.list_(pa.int64())
 
@@ -47,6 +50,8 @@ def _first_cut() -> np.uint64:
 
 
 def _fragment_of(keys: np.ndarray, fragments: int, share: float) -> np.ndarray:
+    if fragments == 1:
+        return np.zeros(len(keys), dtype=np.int64)
     width = int(share * 2.0**64) // fragments + 1
     return (keys // _U(width)).astype(np.int64)
 
@@ -168,7 +173,7 @@ _SET_ARROW = pa.schema([
     ("cls", pa.binary()), ("n", pa.int64()), ("fragment", pa.int64()), ("shingles", _LONGS)])
 
 
-def _sets(k: int, fragments: int):
+def _sets(k: int, fragments: int, cells: int):
     """Batches (class, text) to the classes' sets by fragment (kind s), and the shingles of a flush with the
     number of its classes that have them (kind k)."""
 
@@ -176,13 +181,13 @@ def _sets(k: int, fragments: int):
         size = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), size)
-        cell = owner * OVERLAP_FRAGMENTS + _fragment_of(flat, OVERLAP_FRAGMENTS, 1.0)
+        cell = owner * cells + _fragment_of(flat, cells, 1.0)
         at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         edges, n = np.append(at, len(flat)), len(at)
         yield pa.RecordBatch.from_arrays([
             pa.repeat("s", n), pa.nulls(n, pa.int64()), pa.repeat(number, n), pa.nulls(n, pa.binary()),
             pa.nulls(n, pa.binary()), pa.array([classes[i] for i in owner[at]], pa.binary()), pa.array(size[owner[at]]),
-            pa.array(cell[at] % OVERLAP_FRAGMENTS),
+            pa.array(cell[at] % cells),
             pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.view(np.int64)))], schema=_SET_ARROW)
         keys, count = np.unique(flat, return_counts=True)
         part = _fragment_of(keys, fragments, 1.0)
@@ -226,10 +231,12 @@ def _counted(table: pa.Table) -> pa.Table:
 
 
 def _prefixes(percent: int):
-    """One flush: the first shingles of its classes in the order (count, hash), those that no other class has left out."""
+    """One flush: the first shingles of its classes in the order (count, hash), those that no other class has left out,
+    with the number of the class's shingles that others have (shared), and the last of the first shingles in that
+    order."""
 
     def run(sets: pa.Table, counted: pa.Table) -> pa.Table:
-        out = {"shingle": [], "cls": [], "n": []}
+        out = {"shingle": [], "cls": [], "n": [], "shared": [], "last_df": [], "last_hash": []}
         if len(sets) and len(counted):
             keys, _ = _joined(counted["keys"].to_pylist(), np.uint64)
             count, _ = _joined(counted["counts"].to_pylist(), np.int64)
@@ -251,17 +258,17 @@ def _prefixes(percent: int):
                     out["shingle"].append(chosen.view(np.int64))
                     out["cls"] += [classes[i]] * len(chosen)
                     out["n"] += [n] * len(chosen)
+                    out["shared"] += [len(shared)] * len(chosen)
+                    last = int(chosen[-1])
+                    out["last_df"] += [int(d[s == chosen[-1]][0])] * len(chosen)
+                    out["last_hash"] += [last - (1 << 63)] * len(chosen)
         flat = np.concatenate(out["shingle"]) if out["shingle"] else np.empty(0, dtype=np.int64)
-        return pa.table({"shingle": flat, "cls": pa.array(out["cls"], pa.binary()), "n": pa.array(out["n"], pa.int64())})
+        numbers = {k: pa.array(out[k], pa.int64()) for k in ("n", "shared", "last_df", "last_hash")}
+        return pa.table({"shingle": flat, "cls": pa.array(out["cls"], pa.binary()), **numbers})
 
     return run
 
 
-def _sizes_fit(a, b, percent: int) -> F.Column:
-    """Two sets of these sizes can reach the similarity."""
-    return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
-
-
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, na, nb, overlap): partial overlaps by fragment, summed per pair."""
     left = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), "fragment", F.col("shingles").alias("sa"))
@@ -275,53 +282,104 @@ def _is_link(percent: int) -> F.Column:
     return 100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))
 
 
-def _ordered_pairs(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+_CLASS = ("cls", "n", "shared", "last", "lists", "place")
+
+
+def _can_link(x: dict, y: dict, percent: int) -> F.Column:
+    """Can a list be the first one that two classes have in common, shortest lists first, if they link?
+
+    A pair that links has `overlap` shingles in common, all of them shared ones. Those before the end of the prefix
+    that ends first are in both prefixes: so many lists at least are common, and the first has the others behind it.
+    """
+    overlap = F.ceil(percent * (x["n"] + y["n"]) / (100 + percent))
+
+    def behind(z) -> F.Column:
+        return z["n"] - F.floor((100 - percent) * z["n"] / 100) - 1
+
+    need = overlap - F.when(x["last"] < y["last"], behind(x)).when(y["last"] < x["last"], behind(y)).otherwise(
+        F.greatest(behind(x), behind(y)))
+    fits = 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
+    for z in (x, y):
+        fits = fits & (z["shared"] >= overlap) & (z["place"] <= z["lists"] - need + 1)
+    return fits
 
 
 def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): enough links between classes to give the components of all links."""
-    lists = written(postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.min("cls").alias("pivot"))
-                    .filter("members > 1"), "lists")
-    listed = postings.join(lists, "shingle")
-    short = (listed.filter(F.col("members") <= SHORT_LIST).groupBy("shingle")
-             .agg(F.collect_list(F.struct("cls", "n")).alias("m")))
-    both = F.flatten(F.transform("m", lambda x, i: F.transform(
-        F.filter("m", lambda y: (y["cls"] > x["cls"]) & _sizes_fit(x["n"], y["n"], percent)),
-        lambda y: F.struct(x["cls"].alias("x"), y["cls"].alias("y")))))
-    near = _ordered_pairs(short.select(F.explode(both).alias("p")).select("p.x", "p.y"), "x", "y")
-    stars = _ordered_pairs(listed.filter((F.col("members") > SHORT_LIST) & (F.col("cls") != F.col("pivot"))), "cls", "pivot")
-    checked = written(_overlaps(written(near.union(stars).distinct(), "pairs"), sets), "overlaps")
+    lists = written(postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "lists")
+    # The place of a list among those of a class, shortest first: one order of lists for all classes.
+    own = Window.partitionBy("cls")
+    listed = postings.join(side(lists), "shingle").withColumns({
+        "place": F.row_number().over(own.orderBy("members", "shingle")), "lists": F.count(F.lit(1)).over(own)})
+    listed = written(listed.select("shingle", "members", "cls", "n", "shared", F.struct("last_df", "last_hash").alias("last"),
+                                   "lists", "place"), "listed")
+    is_short = F.col("members") <= SHORT_LIST
+
+    # Short lists: all pairs that can link.
+    short = listed.filter(is_short).groupBy("shingle").agg(F.collect_list(F.struct(*_CLASS)).alias("m"))
+    both = F.flatten(F.transform("m", lambda x: F.transform(
+        F.filter("m", lambda y: (y["cls"] > x["cls"]) & _can_link(x, y, percent)),
+        lambda y: F.struct(x["cls"].alias("a"), y["cls"].alias("b")))))
+    near = written(short.select(F.explode(both).alias("p")).select("p.a", "p.b").distinct(), "pairs")
+    checked = written(_overlaps(near, sets), "overlaps")
     links = checked.filter(_is_link(percent)).select("a", "b")
 
-    # Long lists whose members are not all in one component yet.
-    roots = components(links)
-    long = listed.filter(F.col("members") > SHORT_LIST)
-    far = F.lit(1.0) - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))
-    distance = checked.select("a", "b", far.alias("far"))
-    members = long.join(roots, long["cls"] == roots["node"], "left").select(
-        "shingle", "cls", "n", F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"),
-        F.coalesce("root", "cls").alias("root"))
-    members = members.join(distance, ["a", "b"], "left").select(
-        "shingle", "cls", "n", "root", F.coalesce("far", F.lit(0.0)).alias("far"))
-    members = written(members, "members")
-    by_root = members.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("k"))
-    split = written(by_root.groupBy("shingle").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", "k").alias("main"))
-                    .filter("roots > 1"), "split-lists")
-    if split.isEmpty():
+    # Long lists: in each round, every class outside a list's main component is held against some of that component's
+    # members that the round's hash chooses, those first that it meets in most lists.
+    long = listed.filter(~is_short).select("shingle", *_CLASS)
+    for number in range(ROUNDS):
+        members = written(_with_roots(long, components(links)), "members")
+        open_lists = _split(members)
+        if open_lists.isEmpty():
+            return links
+        members = members.join(side(open_lists), "shingle")
+        chosen = [F.min_by(F.struct(F.col("cls").alias("pivot"), F.col("n").alias("np")), F.xxhash64("cls", F.lit(number * DRAWS + i)))
+                  for i in range(DRAWS)]
+        pivots = members.filter("root = main").groupBy("shingle").agg(F.array_distinct(F.array(*chosen)).alias("pivots"))
+        stars = members.filter("root <> main").join(side(written(pivots, "pivots")), "shingle")
+        stars = stars.select("cls", "n", F.explode("pivots").alias("p")).select("cls", "n", "p.pivot", "p.np")
+        fits = 100 * F.least("n", "np") >= percent * F.greatest("n", "np")
+        stars = stars.filter(fits).groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("k"))
+        stars = stars.select("cls", "k", F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
+        stars = stars.join(side(checked.select("a", "b")), ["a", "b"], "left_anti")
+        place = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("k"), "a", "b"))  # some draws per class
+        stars = written(stars.withColumn("place", place).filter(F.col("place") <= TRIALS).select("a", "b").distinct(), "pairs")
+        found = written(_overlaps(stars, sets), "overlaps")
+        checked = checked.unionByName(found)
+        more = found.filter(_is_link(percent)).select("a", "b")
+        links = links.unionByName(more)
+        if stars.isEmpty():
+            break
+
+    # What is left: pairs of different components that can link. The first list that such a pair has in common is
+    # among these, or it is a short one, and the pair was met above.
+    members = written(_with_roots(long, components(links)), "members")
+    open_lists = _split(members)
+    if open_lists.isEmpty():
         return links
-    left = members.join(split, "shingle").filter("root <> main").select(
-        "shingle", "main", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.col("far").alias("fx"))
-    left = written(left, "not-in-main")
-    right = members.join(split.select("shingle"), "shingle", "left_semi").select(
-        "shingle", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.col("far").alias("fy"))
+    members = members.join(side(open_lists), "shingle")
+    names = (*_CLASS, "root")
+    left = written(members.filter("root <> main").select("shingle", "main", *[F.col(c).alias(c + "_x") for c in names]), "outside")
+    right = members.select("shingle", *[F.col(c).alias(c + "_y") for c in names])
+    x, y = ({c: F.col(c + end) for c in names} for end in ("_x", "_y"))
     apart = left.join(right, "shingle").filter(
-        (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("main")) | (F.col("x") < F.col("y")))
-        & _sizes_fit(F.col("nx"), F.col("ny"), percent)
-        & (F.abs(F.col("fx") - F.col("fy")) <= 1 - percent / 100 + 1e-9))
-    more = _ordered_pairs(apart, "x", "y").join(checked, ["a", "b"], "left_anti")
-    more = _overlaps(written(more, "more-pairs"), sets).filter(_is_link(percent)).select("a", "b")
-    return links.union(more)
+        (x["root"] != y["root"]) & ((y["root"] == F.col("main")) | (x["cls"] < y["cls"])) & _can_link(x, y, percent))
+    more = apart.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct()
+    more = written(more.join(side(checked.select("a", "b")), ["a", "b"], "left_anti"), "pairs")
+    return links.unionByName(_overlaps(more, sets).filter(_is_link(percent)).select("a", "b"))
+
+
+def _with_roots(long: DataFrame, roots: DataFrame) -> DataFrame:
+    roots = side(written(roots, "roots"))
+    return long.join(roots, long["cls"] == roots["node"], "left").select(
+        "shingle", *_CLASS, F.coalesce("root", "cls").alias("root"))
+
+
+def _split(members: DataFrame) -> DataFrame:
+    """(shingle, main): lists whose members are of several components, and the most frequent of them."""
+    by_root = members.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("k"))
+    return written(by_root.groupBy("shingle").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root")).alias("m"))
+                   .filter("roots > 1").select("shingle", F.col("m.root").alias("main")), "open-lists")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -334,7 +392,7 @@ def _grouped(rows: DataFrame, words: int, percent: int) -> DataFrame:
     spark = rows.sparkSession
     bound_batches(spark)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    fragments = max(OVERLAP_FRAGMENTS, int(chars / 6 * SHARE / FRAGMENT))
+    fragments = max(LEAST_FRAGMENTS, int(chars / 6 * SHARE / FRAGMENT))
     pieces = rows.mapInArrow(_pieces(words, fragments), _PIECE)
     merged = pieces.groupBy("part").applyInArrow(_shared, _MERGED)
     classes = written(merged.groupBy("flush").applyInArrow(
@@ -343,29 +401,28 @@ def _grouped(rows: DataFrame, words: int, percent: int) -> DataFrame:
     heads = written(classes.filter("likely").groupBy("cls").agg(
         F.min(F.struct("id", "row_hash")).alias("head"), F.min("id").alias("least")), "heads")
     head = heads.select("cls", F.col("head.id").alias("head_id"), F.col("head.row_hash").alias("head_hash"))
-    n_heads = heads.count()
-    head = F.broadcast(head) if n_heads <= SMALL_KEYS else head
+    head = side(head)
     # Only the text of one document per class is read; rows that repeat it are left out.
     texts = rows.join(head, rows["id"].eqNullSafe(F.col("head_id")) & (rows["row_hash"] == F.col("head_hash")))
     texts = texts.select("cls", "text").dropDuplicates(["cls"])
     kept = fresh_path(spark, "sets")
-    sizes = classes.filter("likely").agg(F.sum("n")).first()[0] or 0
-    texts.mapInArrow(_sets(words, max(OVERLAP_FRAGMENTS, sizes // FRAGMENT)), _SET).write.partitionBy("kind").option(
+    total, largest = classes.filter("likely").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    texts.mapInArrow(_sets(words, max(LEAST_FRAGMENTS, total // FRAGMENT), largest // ROW + 1), _SET).write.partitionBy("kind").option(
         "compression", "zstd").parquet(kept)
     read = spark.read.schema(_SET).parquet(kept)
     sets = read.filter("kind = 's'").select("flush", "cls", "n", "fragment", "shingles")
     counted = read.filter("kind = 'k'").select("part", "flush", "keys", "counts").groupBy("part").applyInArrow(
         _counted, "flush long, keys binary, counts binary")
     postings = written(sets.groupBy("flush").cogroup(counted.groupBy("flush")).applyInArrow(
-        _prefixes(percent), "shingle long, cls binary, n long"), "prefixes")
+        _prefixes(percent), "shingle long, cls binary, n long, shared long, last_df long, last_hash long"), "prefixes")
 
-    roots = components(_links(postings, sets, percent))
+    roots = side(written(components(_links(postings, sets, percent)), "roots"))
     grouped = heads.join(roots, heads["cls"] == roots["node"], "left").select(
         "cls", "least", F.coalesce("root", "cls").alias("root"))
     grouped = written(grouped, "grouped")
     named = written(grouped.groupBy("root").agg(F.min("least").alias("component")), "named")
-    by_class = written(grouped.join(named, "root").select("cls", "root", "component"), "by-class")
-    return classes.join(by_class, "cls", "left").select("id", "row_hash", "n", "root", "component")
+    by_class = written(grouped.join(side(named), "root").select("cls", "root", "component"), "by-class")
+    return classes.join(side(by_class), "cls", "left").select("id", "row_hash", "n", "root", "component")
 
 
 def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -392,7 +449,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = _grouped(_rows(docs, id_col, text_col), words, percent).filter("root is not null")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "row_hash")
     heads = written(found.groupBy("root").agg(F.min(order).alias("head")), "group-heads")
-    others = found.join(heads, "root").filter(F.col("head") != order).select("id", "row_hash").distinct()
+    others = found.join(side(heads), "root").filter(F.col("head") != order).select("id", "row_hash").distinct()
     # Plain equality on two columns, so that one exchange of the texts serves the join and the last step.
     key = [F.coalesce("id", F.lit(-(1 << 63))).alias("__llm_id"), F.xxhash64(F.col("id").isNull(), "row_hash").alias("__llm_hash")]
     others = written(others.select(*key), "group-others")
