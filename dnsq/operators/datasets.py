@@ -214,11 +214,14 @@ def class_downsample(df: DataFrame, label: str, key: str, capped: str, cap: int,
 
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """`is_test` for the first round(share * n) rows of every label in seeded order."""
-    ranked = hash_rank(df, [label], key, seed, out="_rank")
-    sizes = df.groupBy(label).agg(F.round(F.count(F.lit(1)) * F.lit(test_share)).cast("bigint").alias("_tests"))
-    return attach(ranked, sizes, [label]).withColumn(
-        "is_test", F.col("_rank") < F.col("_tests")).drop("_rank", "_tests")
+    """`is_test` for the first round(share * n) rows of every label in seeded order. Rows without a label are
+    split like those of one more label."""
+    known = F.to_json(F.struct(F.col(label).alias("v")))  # a text that no label lacks
+    ranked = hash_rank(df, [label], key, seed, out="_rank").withColumn("_label", known)
+    sizes = df.groupBy(known.alias("_label")).agg(
+        F.round(F.count(F.lit(1)) * F.lit(test_share)).cast("bigint").alias("_tests"))
+    return attach(ranked, sizes, ["_label"]).withColumn(
+        "is_test", F.col("_rank") < F.col("_tests")).drop("_rank", "_tests", "_label").select(*df.columns, "is_test")
 
 
 def kfold(df: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
@@ -236,15 +239,16 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def label_codes(df: DataFrame, label: str) -> DataFrame:
-    """Labels in sorted order, numbered from 0; one row per label."""
-    labels = df.select(label).distinct()
+    """Labels in sorted order, numbered from 0; one row per label, none for a missing one."""
+    labels = df.select(label).filter(F.col(label).isNotNull()).distinct()
     order = Window.partitionBy(F.lit(0)).orderBy(label)  # one row per label
     return labels.withColumn("code", (F.row_number().over(order) - 1).cast("int"))
 
 
 def label_encode(df: DataFrame, label: str, out: str = "code") -> DataFrame:
+    """The label's code beside it; NULL where there is no label."""
     codes = label_codes(df, label).withColumnRenamed("code", out)
-    return attach(df, codes, [label])
+    return attach(df, codes, [label], "left")
 
 
 def standard_scale(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:

@@ -17,11 +17,6 @@ from ..functions import lexical, packets as P
 from ..functions.stats import STATS, statistic
 from .flows import with_direction, with_previous
 
-# Record lists up to this many elements are shown in the flow's row. Longer ones are NULL there and
-# complete in `record_list_chunks`.
-MAX_INLINE_RECORDS = 100_000
-
-
 def _when(flag: str, value: str) -> Column:
     return F.when(F.col(flag), F.col(value))
 
@@ -247,7 +242,7 @@ def record_list_chunks(assigned: DataFrame) -> DataFrame:
     """Record types and classes of DNS flows in packet order, one row per flow and time slot.
 
     The lists of a flow are those of its slots one after the other. A list grows with the flow, so
-    it is kept in slot-sized rows; `record_lists` puts short ones together.
+    it is kept in slot-sized rows; `record_lists` puts them together.
     """
     dns = assigned.filter(F.col("protocol") == "DNS")
     at = [F.col("ts_us"), F.col("pkt_no")]
@@ -262,19 +257,23 @@ def record_list_chunks(assigned: DataFrame) -> DataFrame:
         *[v.alias(k) for k, v in listed.items()]).drop("flow_key")
 
 
-def record_lists(chunks: DataFrame, max_records: int = MAX_INLINE_RECORDS) -> DataFrame:
-    """Whole lists per flow from `record_list_chunks`; NULL for a flow above `max_records`.
+def record_lists(chunks: DataFrame) -> DataFrame:
+    """Whole lists per flow from `record_list_chunks`, for every flow.
 
-    Sizes are added up before anything is collected, so an oversized list is never built here. It
-    stays complete in its chunks.
+    A list is as long as the flow has records, which the maximum duration of a flow bounds; jobs over
+    flows whose lists would be too long for a row read the chunks.
     """
-    most = F.greatest(*[F.size(c) for c in RECORD_LISTS])
-    sizes = chunks.groupBy("flow_uid").agg(F.sum(most).alias("n"))
-    short = chunks.join(sizes.filter(F.col("n") <= max_records), "flow_uid")
-    whole = short.groupBy("flow_uid").agg(*[
+    return chunks.groupBy("flow_uid").agg(*[
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.col(c).alias("v")))),
                               lambda s: s["v"])).alias(c) for c in RECORD_LISTS])
-    return sizes.select("flow_uid").join(whole, "flow_uid", "left")
+
+
+def dns_column_names() -> list[str]:
+    """Columns that only DNS flows fill, registration columns left out."""
+    return [*lexical.name_features(F.lit("x")), "dns_domain_name", "distinct_A_records", "distinct_NS_records",
+            "average_authority_resource_records", "average_additional_resource_records",
+            "average_answer_resource_records", "average_answer_count", "distinct_ttl_values",
+            *[f"ttl_values_{s}" for s in TTL_NAMES], *RECORD_LISTS]
 
 
 def flow_features(assigned: DataFrame, allow: list[str] | None = None, ignore: list[str] | None = None,

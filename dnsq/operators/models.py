@@ -11,7 +11,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import attach, cut_lineage
@@ -28,7 +28,7 @@ class Bundle:
     model: PipelineModel
     labels: list[str]
     feature_columns: list[str]
-    text_codes: dict[str, list[str]] = field(default_factory=dict)
+    text_codes: dict[str, DataFrame] = field(default_factory=dict)
 
     @property
     def classifier(self):
@@ -39,38 +39,49 @@ def missing_columns(columns: list[str], present: list[str]) -> list[str]:
     return [c for c in columns if c not in present]
 
 
-def numeric(df: DataFrame, name: str, codes: list[str] | None = None) -> Column:
+def numeric(df: DataFrame, name: str) -> Column:
     """A model input: 0.0 when the table lacks the column, -1.0 where it holds no number."""
     if name not in df.columns:
         return F.lit(0.0)
-    if codes is not None:
-        known = F.array_position(F.array(*[F.lit(c) for c in codes]), F.col(name).cast("string")) - 1
-        value = F.when(known >= 0, known).cast("double")
-    else:
-        value = F.col(name).try_cast("double") if dict(df.dtypes)[name] == "string" else F.col(name).cast("double")
+    value = F.col(name).try_cast("double") if dict(df.dtypes)[name] == "string" else F.col(name).cast("double")
     return F.when(value.isNull() | F.isnan(value), F.lit(-1.0)).otherwise(value)
 
 
-def with_vector(df: DataFrame, columns: list[str], text_codes: dict[str, list[str]] | None = None) -> DataFrame:
-    codes = text_codes or {}
-    return df.withColumn("features", array_to_vector(
-        F.array(*[numeric(df, c, codes.get(c)) for c in columns])))
+def with_vector(df: DataFrame, columns: list[str], text_codes: dict[str, DataFrame] | None = None) -> DataFrame:
+    """`features` beside the columns. Text columns with codes are looked up; a text without a code is -1.0."""
+    coded = {c: t for c, t in (text_codes or {}).items() if c in df.columns}
+    rows = df
+    for i, (c, table) in enumerate(coded.items()):
+        key = f"_text{i}"
+        side = table.select(F.col("value").alias(key), F.col("code").cast("double").alias(f"_code{i}"))
+        rows = attach(rows.withColumn(key, F.col(c).cast("string")), side, [key], "left")
+    at = {c: F.coalesce(F.col(f"_code{i}"), F.lit(-1.0)) for i, c in enumerate(coded)}
+    vector = array_to_vector(F.array(*[at[c] if c in at else numeric(df, c) for c in columns]))
+    return rows.withColumn("features", vector).select(*df.columns, "features")
 
 
-def text_codes(df: DataFrame, columns: list[str], limit: int = 10_000) -> dict[str, list[str]]:
-    """Sorted distinct values of the text columns among `columns`.
+def text_codes(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
+    """`value` and `code` of the text columns among `columns` that hold something else than numbers: their
+    distinct values in sorted order, numbered from 0, however many there are.
 
-    A column with more than `limit` values is left to the numeric rule (-1.0): as a code list it
-    would be an identifier rather than a feature.
+    The values are sorted in ranges; the counts of the ranges give the number that each starts from.
     """
     texts = [c for c, t in df.dtypes if c in columns and t == "string"]
+    if not texts:
+        return {}
+    other = df.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c) for c in texts]).first()
     out = {}
     for c in texts:
-        if df.filter(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).isEmpty():
+        if other[c] == 0:
             continue  # numbers that were read as text
-        values = df.select(c).filter(F.col(c).isNotNull()).distinct().limit(limit + 1).collect()
-        if len(values) <= limit:
-            out[c] = sorted(v[0] for v in values)
+        values = df.select(F.col(c).alias("value")).filter(F.col(c).isNotNull()).distinct()
+        ranged = cut_lineage(values.repartitionByRange("value").withColumn("_range", F.spark_partition_id()))
+        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+        starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+            "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        place = F.row_number().over(Window.partitionBy("_range").orderBy("value")) - 1
+        out[c] = cut_lineage(ranged.withColumn("_place", place).join(starts, "_range").select(
+            "value", (F.col("_start") + F.col("_place")).alias("code")))
     return out
 
 
@@ -121,17 +132,20 @@ def fit(train: DataFrame, label: str, columns: list[str], kind: str, balanced: b
 
 
 def save(bundle: Bundle, path: str) -> None:
-    """The model and, beside it, its label names and feature columns."""
+    """The model and, beside it, its label names, feature columns and the codes of text columns."""
+    for i, table in enumerate(bundle.text_codes.values()):
+        table.write.mode("overwrite").parquet(f"{path}/codes{i}")
     bundle.model.write().overwrite().save(f"{path}/model")
     spark = SparkSession.getActiveSession()
-    side = {"labels": bundle.labels, "feature_columns": bundle.feature_columns, "text_codes": bundle.text_codes}
+    side = {"labels": bundle.labels, "feature_columns": bundle.feature_columns, "text_columns": list(bundle.text_codes)}
     spark.createDataFrame([(json.dumps(side),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
 
 def load(path: str) -> Bundle:
     spark = SparkSession.getActiveSession()
     side = json.loads(spark.read.text(f"{path}/about").first()["value"])
-    return Bundle(PipelineModel.load(f"{path}/model"), side["labels"], side["feature_columns"], side["text_codes"])
+    return Bundle(PipelineModel.load(f"{path}/model"), side["labels"], side["feature_columns"],
+                  {c: spark.read.parquet(f"{path}/codes{i}") for i, c in enumerate(side["text_columns"])})
 
 
 def score(df: DataFrame, bundle: Bundle) -> DataFrame:

@@ -31,7 +31,12 @@ def hash_rank(df: DataFrame, by: list[str], key: str, seed: int | str, out: str
                              .rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0)))
     place = F.row_number().over(Window.partitionBy(*piece).orderBy("_hash", key)) - 1
-    ranked = rows.withColumn("_place", place).join(offsets, piece)
+    # Null-safe: rows without a group are a group of their own.
+    offsets = offsets.withColumnsRenamed({c: f"_of_{c}" for c in piece})
+    same = F.lit(True)
+    for c in piece:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    ranked = rows.withColumn("_place", place).join(offsets, same).drop(*[f"_of_{c}" for c in piece])
     return ranked.withColumn(out, F.col("_offset") + F.col("_place")).drop(
         "_hash", "_piece", "_n", "_offset", "_place")
 

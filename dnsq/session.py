@@ -7,9 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows up to which a side of a join may be broadcast. The sides concerned have
-# narrow rows (a key and a few numbers), so this stays well under 100 MB.
+# Rows, and bytes of their text form, up to which a side of a join may be broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 # Rows of one key from which a join treats the key as hot. N rows have at most N / HOT_ROWS hot keys,
 # so the list of them is short for any N.
 HOT_ROWS = 5_000_000
@@ -59,21 +59,24 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
            rows: int | None = None) -> DataFrame:
     """Equi-join whose small side is unique on `on`, safe when one key of `big` is hot.
 
-    `rows` is an upper bound of the small side where the caller knows one; else at most
-    BROADCAST_ROWS + 1 of its rows are counted. Up to that limit it is broadcast, so the big side
+    `rows` is an upper bound of the small side (of narrow rows) where the caller knows one; else at most
+    BROADCAST_ROWS + 1 of its rows are counted and measured. Up to the limits it is broadcast, so the big side
     does not move. Beyond it, the hot keys of `big` are looked up first (a partial aggregation);
     rows with a hot key get a salt, and only those keys of the small side are repeated per salt.
     """
+    size = 0
     if rows is None:
-        rows = small.limit(BROADCAST_ROWS + 1).count()
-    if rows <= BROADCAST_ROWS:
+        rows, size = small.limit(BROADCAST_ROWS + 1).agg(
+            F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), on, how)
     hot = cut_lineage(
         big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS)
         .select(*on, F.lit(True).alias("_hot")))
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     salted = small.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    # The salt is taken from the row itself, so a task that runs again salts the same way.
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    # The salt is taken from the row itself, so a task that runs again salts the same way. Maps cannot be hashed.
+    hashed = [f.name for f in big.schema.fields if "map<" not in f.dataType.simpleString()]
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")).otherwise(0)
     spread = big.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
     return spread.join(salted, [*on, "_salt"], how).drop("_salt")

@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.enrich import WHOIS_COLUMNS
+from ..operators.flow_features import dns_column_names
+
 MAX_ROWS = 900_000
+# The texts of established tables.
 NOT_DNS = "not a dns flow"
+NO_REGISTRATION = "No information found"
 
 
 def select_columns(df: DataFrame, reference: list[str] | None = None, allow: list[str] | None = None,
@@ -31,8 +36,8 @@ def header_of(spark, path: str) -> list[str]:
 
 def as_csv_rows(flows: DataFrame, places: int | None = None) -> DataFrame:
     """Flow features as text: numbers with fixed places, lists and maps as JSON, DNS columns of
-    other flows and missing handshakes with their established texts."""
-    dns = [c for c in flows.columns if c.startswith(("dns_", "ttl_values_"))]
+    other flows, missing registration data and missing handshakes with their established texts."""
+    dns = {*dns_column_names(), *WHOIS_COLUMNS}
     out = []
     for field in flows.schema.fields:
         col = F.col(field.name)
@@ -41,6 +46,8 @@ def as_csv_rows(flows: DataFrame, places: int | None = None) -> DataFrame:
         elif isinstance(field.dataType, T.DoubleType) and places is not None:
             col = F.when(col.isNotNull(), F.format_string(f"%.{places}f", col))
         col = col.cast("string")
+        if field.name in WHOIS_COLUMNS:
+            col = F.coalesce(col, F.lit(NO_REGISTRATION))
         if field.name in dns and "protocol" in flows.columns:
             col = F.when(F.col("protocol") != "DNS", NOT_DNS).otherwise(col)
         if field.name in ("handshake_duration", "delta_start") and "handshake_status" in flows.columns:

@@ -61,10 +61,13 @@ def chunk_handler(features: Callable[[DataFrame], DataFrame], limits: FlowLimits
     """Packet files to flow features, every file by itself: no flow crosses a file.
 
     The rows need a column `chunk` (the file's name), which joins the transaction id and the
-    addresses in the key.
+    addresses in the key. Files number their packets from 0 each, so `flow_uid` becomes the text
+    chunk:number, which is unique over all files.
     """
     def handle(packets: DataFrame) -> DataFrame:
-        return features(assign_flows(packets, limits))
+        if "chunk" not in packets.columns:
+            raise ValueError("packet rows need the column chunk")
+        return features(assign_flows(packets, limits).withColumn("flow_uid", F.concat_ws(":", "chunk", "flow_uid")))
 
     return handle
 

@@ -25,9 +25,7 @@ def _labelled(spark, d):
 
 
 def _dga_metrics(spark, d, name):
-    quick = {"Logistic Regression": {"kind": "lr"}, "Random Forest": {"kind": "rf", "trees": 20},
-             "Gradient Boosting": {"kind": "gbt", "rounds": 10}}
-    trained = TR.train_dga(_labelled(spark, d), {name: quick[name]}, folds=0, depth=6)
+    trained = TR.train_dga(_labelled(spark, d), {name: TR.DGA_SPECS[name]}, folds=0)
     return _rounded(trained.reports["test_metrics"], 6)
 
 
@@ -45,26 +43,26 @@ def train_gbt(spark, d):
 
 def train_overfitting(spark, d):
     """Train, test and cross-validated metrics of a fitted model."""
-    trained = TR.train_dga(_labelled(spark, d), {"Logistic Regression": {"kind": "lr"}}, folds=3)
+    trained = TR.train_dga(_labelled(spark, d), {"Logistic Regression": {"kind": "lr"}}, folds=5)
     return _rounded(trained.reports["overfitting"], 6)
 
 
 def _labelled_pairs(spark, d):
     hosts = X.domains(spark, d)
     variants = D.typo_variants(hosts)
-    rows = variants.unionByName(D.negative_samples(hosts, hosts, variants, 20, 42))
+    rows = variants.unionByName(D.negative_samples(hosts, hosts, variants, 40, 42))
     return rows.withColumn("row_key", F.concat_ws("|", "target_domain", "query_domain"))
 
 
 def train_balanced_rf(spark, d):
     """Classification report of the balanced pair model on the held-out pairs."""
-    return _rounded(TR.train_pairs(_labelled_pairs(spark, d), trees=10, depth=8).reports["report"], 6)
+    return _rounded(TR.train_pairs(_labelled_pairs(spark, d), trees=100).reports["report"], 6)
 
 
 def train_pairs_binary(spark, d):
     pairs = _labelled_pairs(spark, d).withColumn(
         "classification", F.when(F.col("classification") == "none", "none").otherwise("typo"))
-    return _rounded(TR.train_pairs(pairs, binary=True, trees=10, depth=8, limit=100_000).reports["report"], 6)
+    return _rounded(TR.train_pairs(pairs, binary=True, trees=100, limit=100_000).reports["report"], 6)
 
 
 def _flow_table(spark, d):
@@ -77,18 +75,19 @@ def _flow_table(spark, d):
 
 
 def train_tunnel(spark, d):
-    specs = {"Random Forest": {"kind": "rf", "trees": 10, "balanced": True}}
-    return _rounded(TR.train_tunnel(_flow_table(spark, d), specs, depth=6).reports["auc"], 6)
+    specs = {"Random Forest": TR.TUNNEL_SPECS["Random Forest"]}
+    return _rounded(TR.train_tunnel(_flow_table(spark, d), specs).reports["auc"], 6)
 
 
 def feature_importance(spark, d):
-    specs = {"Random Forest": {"kind": "rf", "trees": 10, "balanced": True}}
-    return _rounded(TR.train_tunnel(_flow_table(spark, d), specs, depth=6).reports["importance"], 6)
+    specs = {"Random Forest": TR.TUNNEL_SPECS["Random Forest"]}
+    return _rounded(TR.train_tunnel(_flow_table(spark, d), specs).reports["importance"], 6)
 
 
 def dga_model_alerts(spark, d):
     """Alerts of a fitted model over log lines that query every labelled name."""
-    bundle = TR.train_dga(_labelled(spark, d), {"Random Forest": {"kind": "rf", "trees": 10}}, folds=0, depth=6).bundles["Random Forest"]
+    specs = {"Random Forest": TR.DGA_SPECS["Random Forest"]}
+    bundle = TR.train_dga(_labelled(spark, d), specs, folds=0).bundles["Random Forest"]
     lines = X.labelled_domains(spark, d).select(F.concat(
         F.lit("[1704067200] unbound[7:0] info: 10.0.0.1 "), "domain", F.lit(". A IN")).alias("value"))
     hits = dga_detection(lines, bundle, F.col("logged_at"), threshold=0.9)
@@ -96,9 +95,9 @@ def dga_model_alerts(spark, d):
 
 
 def typo_model_matches(spark, d):
-    """Best protected name by a fitted pair model, among the five most similar names."""
-    bundle = TR.train_pairs(_labelled_pairs(spark, d), trees=5, depth=6).bundles["Random Forest"]
-    return model_matches(X.queried_names(spark, d), X.protected(spark, d), bundle, 5)
+    """Best protected name by a fitted pair model, among the fifty most similar names."""
+    bundle = TR.train_pairs(_labelled_pairs(spark, d), trees=100).bundles["Random Forest"]
+    return model_matches(X.queried_names(spark, d), X.protected(spark, d), bundle, 50)
 
 
 def flow_feature_rows(spark, d):
@@ -190,7 +189,8 @@ def stream_flow_scores(spark, d):
 def stream_chunks(spark, d):
     """A stream of packet rows assigned micro-batch by micro-batch, rows appended to one table."""
     where = _place(spark, "chunks")
-    packets = X.packets(spark, d, sections=False, ev=X.events(spark, d, False, _event_stream(spark, d)))
+    packets = X.packets(spark, d, sections=False, ev=X.events(spark, d, False, _event_stream(spark, d))).withColumn(
+        "chunk", F.lit("events"))
     handle = SJ.chunk_handler(lambda a: a.groupBy("flow_uid").agg(
         F.count(F.lit(1)).alias("packets"), F.sum("len").alias("bytes")), X.LIMITS)
     SJ.start(packets, handle, f"{where}/out", f"{where}/checkpoint", None, "parquet").awaitTermination()

@@ -611,7 +611,7 @@ ORACLE = {
     "stream_log_alerts": STREAM_ALERTS_SQL,
     "stream_flows": STREAM_FLOWS_SQL,
     "stream_flow_scores": STREAM_SCORES_SQL,
-    "stream_chunks": f"with recursive {FULL} select flow_uid, count(*) as packets, cast(sum(len) as bigint) as bytes "
+    "stream_chunks": f"with recursive {FULL} select 'events:' || flow_uid as flow_uid, count(*) as packets, cast(sum(len) as bigint) as bytes "
                      "from a group by flow_uid",
     "idle_sessions": SESSIONS_SQL,
     "log_parse": f"with {LINES} select client, qname, {BASE} as base, logged_us from q",

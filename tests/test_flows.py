@@ -175,8 +175,6 @@ def test_dns_records_and_lists(spark):
     lists = FF.record_lists(FF.record_list_chunks(assigned)).first()
     assert lists.query_resource_record_type == [41, 41] and lists.ans_resource_record_type == [1, 2]
     assert FF.record_list_chunks(assigned).count() == 2
-    # A list above the limit is left to its chunks.
-    assert FF.record_lists(FF.record_list_chunks(assigned), 3).first().ans_resource_record_type is None
     t = FF.ttl_stats(assigned).first()
     assert (t.distinct_ttl_values, t.ttl_values_min, t.ttl_values_median) == (2, 60, 180)
 

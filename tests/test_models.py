@@ -95,7 +95,8 @@ def test_tunnel_models_and_scoring(spark):
     assert all(r.roc_auc > 0.95 for r in out.reports["auc"].collect())
     assert out.reports["importance"].first().feature == "size"
     bundle = out.bundles["Random Forest"]
-    assert bundle.text_codes == {"protocol": ["tcp", "udp"]} and "flow_id" not in bundle.feature_columns
+    codes = {c: [(r.value, r.code) for r in t.orderBy("code").collect()] for c, t in bundle.text_codes.items()}
+    assert codes == {"protocol": [("tcp", 0), ("udp", 1)]} and "flow_id" not in bundle.feature_columns
     # A table read from text without one column: numbers are read, the missing column is 0 and reported.
     table = spark.createDataFrame([("1", "tcp", "140"), ("2", "other", "")], "flow_id string, protocol string, size string")
     result = jobs.tunnel_scoring(table, bundle)

@@ -50,12 +50,15 @@ def test_flows_across_files_equal_the_batch(spark, tmp_path):
 
 
 def test_chunks_are_separate(spark, tmp_path):
-    write_files(spark, str(tmp_path), [[packet(0, 0)], [packet(1, 1)]])
+    write_files(spark, str(tmp_path), [[packet(0, 0), packet(1, 1)], [packet(0, 0), packet(1, 1)]])  # numbered alike
     stream = R.stream_packets(spark, f"{tmp_path}/in", 1).withColumn("chunk", F.col("_metadata.file_name"))
     handle = SJ.chunk_handler(lambda a: a.groupBy("flow_uid").agg(F.count(F.lit(1)).alias("n")), LIMITS)
     for _ in range(2):  # a second run finds nothing new
         SJ.start(stream, handle, f"{tmp_path}/out", f"{tmp_path}/cp", None, "parquet").awaitTermination()
-    assert sorted((r.flow_uid, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(0, 1), (1, 1)]
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert [r.n for r in got] == [2, 2] and len({r.flow_uid for r in got}) == 2
+    with pytest.raises(ValueError):
+        handle(spark.read.parquet(f"{tmp_path}/in"))
 
 
 def test_log_stream(spark, tmp_path):
