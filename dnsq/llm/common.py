@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 # Rows of one Arrow batch. A row holds a whole text, so batches stay small; Spark cuts them by bytes too.
-BATCH_ROWS = 2048
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 1024
+BATCH_BYTES = 8 << 20
 # Rows of (key) up to which a side of a join is broadcast: 16 bytes each, some 30 MB.
 SMALL_KEYS = 500_000
 

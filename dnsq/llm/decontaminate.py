@@ -25,7 +25,7 @@ from .common import bound_batches, fresh_path, ship, written
 from .words import ALPHANUMERIC, binaries, text_buffer, word_hashes
 
 GAP = 64  # free places between documents of a segment
-SEGMENT_WORDS = 2_000_000
+SEGMENT_WORDS = 1_500_000
 ITEMS_PER_GROUP = 20_000
 _INDEX = "kind string, seg long, term long, n long, places binary, ids array<long>, hashes array<long>, words array<long>"
 
@@ -70,6 +70,7 @@ def _segments(batches):
         base, held = int(starts[-1]), held + len(h)
         if held >= SEGMENT_WORDS:
             yield from flush()
+            pa.default_memory_pool().release_unused()
             ids, hashes, counts, terms, places, base, held, number = [], [], [], [], [], 0, 0, number + 1
     if ids:
         yield from flush()

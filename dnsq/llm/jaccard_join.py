@@ -34,7 +34,8 @@ from .words import NOT_SPACE, binaries, mix, shingles, text_buffer, word_hashes
 WORDS = 5
 PERCENT = 80
 SHARE = 0.35  # part of the order that step 1 looks at
-FLUSH = 400_000  # shingles a piece gathers before it is handed on
+FLUSH = 250_000  # shingles a piece gathers before it is handed on
+SLICE = 128  # rows whose words are hashed at a time
 FRAGMENT = 500_000  # shingles of a fragment, about
 LEAST_FRAGMENTS = 8  # of the order, in steps 1 and 2
 ROW = 4096  # shingles that a fragment of step 3 has of one set, about: it bounds a row
@@ -74,16 +75,17 @@ def _pieces(k: int, fragments: int):
     """Batches (id, row hash, text) to rows of one flush: its documents (part below 0), and per fragment the
     distinct shingles with the one document of the flush that has it, or -1 if several have."""
 
-    def flush(number, ids, hashes, sets, cuts, digests):
-        sizes = [len(s) for s in sets]
-        keys = np.concatenate([s[:c] for s, c in zip(sets, cuts)])
-        slots = np.repeat(np.arange(len(sets), dtype=np.int32), cuts)
+    def flush(number, ids, hashes, sizes, firsts, digests):
+        """`firsts`: of each set the shingles in the first part of the order."""
+        cuts = [len(s) for s in firsts]
+        keys = np.concatenate(firsts)
+        slots = np.repeat(np.arange(len(firsts), dtype=np.int32), cuts)
         order = np.argsort(keys, kind="stable")
         keys, slots = keys[order], slots[order]
         new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.empty(0, dtype=bool)
         first = np.flatnonzero(new)
         several = np.diff(np.append(first, len(keys))) > 1
-        local = np.bincount(slots[np.repeat(several, np.diff(np.append(first, len(keys))))], minlength=len(sets))
+        local = np.bincount(slots[np.repeat(several, np.diff(np.append(first, len(keys))))], minlength=len(firsts))
         yield pa.RecordBatch.from_pylist([{
             "part": -1 - number, "flush": number, "ids": ids, "hashes": hashes, "sizes": sizes, "cuts": cuts,
             "shared": local.tolist(), "digests": digests}], schema=_PIECE_ARROW)
@@ -98,24 +100,25 @@ def _pieces(k: int, fragments: int):
 
     def run(batches):
         number, held, cut = TaskContext.get().partitionId() << 32, 0, _first_cut()
-        ids, hashes, sets, cuts, digests = [], [], [], [], []
+        ids, hashes, sizes, firsts, digests = [], [], [], [], []
         for b in batches:
             # Some rows at a time: the words of a batch of very long texts would be too many at once.
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
                 found = shingles(*word_hashes(*text_buffer(part.column(2)), NOT_SPACE), k)
                 ids += part.column(0).to_pylist()
                 hashes += part.column(1).to_pylist()
                 digests += [_digest(s) for s in found]
-                cuts += [int(np.searchsorted(s, cut)) for s in found]
-                sets += [s for s in found]
+                sizes += [len(s) for s in found]
+                firsts += [s[: np.searchsorted(s, cut)].copy() for s in found]
                 held += sum(map(len, found))
                 if held >= FLUSH / SHARE:
-                    yield from flush(number, ids, hashes, sets, cuts, digests)
+                    yield from flush(number, ids, hashes, sizes, firsts, digests)
                     number, held = number + 1, 0
-                    ids, hashes, sets, cuts, digests = [], [], [], [], []
+                    ids, hashes, sizes, firsts, digests = [], [], [], [], []
+                    pa.default_memory_pool().release_unused()
         if ids:
-            yield from flush(number, ids, hashes, sets, cuts, digests)
+            yield from flush(number, ids, hashes, sizes, firsts, digests)
 
     return run
 
@@ -201,8 +204,8 @@ def _sets(k: int, fragments: int, cells: int):
         number, held = TaskContext.get().partitionId() << 32, 0
         classes, sets = [], []
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
                 classes += part.column(0).to_pylist()
                 found = shingles(*word_hashes(*text_buffer(part.column(1)), NOT_SPACE), k)
                 sets += found
@@ -210,6 +213,7 @@ def _sets(k: int, fragments: int, cells: int):
                 if held >= FLUSH:
                     yield from flush(number, classes, sets)
                     number, held, classes, sets = number + 1, 0, [], []
+                    pa.default_memory_pool().release_unused()
         if sets:
             yield from flush(number, classes, sets)
 

@@ -18,7 +18,7 @@ _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(r"\n|\x00|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n\x00]+")
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _ODD = "\x00"  # stands for a word that goes through the tokenizer whole
-KEPT = 600_000  # pieces whose ids a worker keeps
+KEPT = 400_000  # pieces whose ids a worker keeps
 
 
 def _byte_letters() -> dict[int, str]:

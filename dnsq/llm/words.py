@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 
 from .common import ship
 
-_CHUNK = 1 << 20  # bytes hashed at a time; a longer word is hashed in one go
+_CHUNK = 1 << 18  # bytes hashed at a time; a longer word is hashed in one go
 _U = np.uint64
 
 
