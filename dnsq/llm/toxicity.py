@@ -2,11 +2,10 @@
 
 Method. Voters are the annotation, (a) lexicon voters: word beginnings and words that are far commoner in texts labelled toxic, each a
 voter of its own that speaks (toxic) when the text has it, and (b) pattern voters on the text's form (shouting, repeated
-marks, no lexicon word at all) that may speak for either side. The annotation is a voter like the others, whose errors are
-estimated too. A generative label model estimates by
-expectation-maximisation how often each voter speaks under either class. From the posterior it then estimates which
-voters speak together more than their class explains; a voter's evidence is divided by one plus the sum of those
-correlations, and the model is fitted again. A logistic classifier over selected hashed features is
+marks, no lexicon word at all) that may speak for either side. The annotation's reliability is given, so that the classes
+cannot drift; the others' is estimated. A generative label model estimates by
+expectation-maximisation how often each voter speaks under either class, and which voters speak together more than
+their class explains: a voter's evidence is divided by one plus the sum of those correlations. A logistic classifier over selected hashed features is
 trained on the posterior labels; it alone scores texts.
 
 Counts and votes are Spark aggregations; the label model and the classifier are fitted on the driver from at
@@ -30,6 +29,7 @@ LEXICON = 256  # lexicon voters
 FEATURES = 4096  # features of the classifier
 MIN_TOXIC = 8  # texts that a lexicon unit must be in
 MIN_ODDS = 8.0  # and how much commoner it must be in toxic ones
+ANNOTATION = (0.97, 0.005)  # share of toxic and of clean texts that an annotation calls toxic
 MIN_FAR = 4.0  # deviations from chance that make a unit a feature
 _WORD = re.compile(r"[^\W\d_]+")
 PATTERNS = ("shouting", "marks", "no_lexicon")
@@ -88,35 +88,42 @@ def _pattern_votes(column) -> np.ndarray:
     return np.stack((shouting, np.where(marks * 50 > chars, 1, np.where(marks == 0, -1, 0))), axis=1)
 
 
+def _together(votes: np.ndarray, post: np.ndarray) -> np.ndarray:
+    """Largest correlation of each pair of voters within a class: what the class does not explain."""
+    out = np.zeros((votes.shape[1],) * 2)
+    for y in (post, 1 - post):
+        mass = max(y.sum(), 1e-9)
+        centred = votes - (y @ votes) / mass
+        cov = (centred * y[:, None]).T @ centred / mass
+        spread = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        out = np.maximum(out, cov / np.outer(spread, spread))
+    np.fill_diagonal(out, 0)
+    return np.where(out > 0.2, out, 0)
+
+
 def label_model(votes: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of the toxic class per line of votes (1, -1, 0), and the weight of each voter's evidence.
 
-    The last voter (the annotation) gives the start. Voters are taken as independent given the class at first, then
-    weighed down by how much they go together.
+    The last voter is the annotation. Its reliability is given and anchors the classes; those of the others are
+    estimated. Voters are weighed down by how much they go together within the classes, first by the annotation, then
+    by the posterior.
     """
-    n, k = votes.shape
+    n = len(votes)
+    right, wrong = ANNOTATION
+    anchor = np.where(votes[:, -1] > 0, np.log(right / wrong), np.log((1 - right) / (1 - wrong)))
+    votes = votes[:, :-1]
     states = [(votes == s).astype(float) for s in (-1, 0, 1)]
-    weight = np.ones(k)
-    post = np.where(votes[:, -1] > 0, 0.95, 0.02)
-    for stage in range(2):
+    post = 1 / (1 + np.exp(-anchor))
+    for _ in range(2):
+        weight = 1 / (1 + _together(votes, post).sum(axis=1))
         for _ in range(rounds):
             prior = np.clip(post.mean(), 1e-4, 1 - 1e-4)
-            odds = np.full(n, np.log(prior / (1 - prior)))
+            odds = anchor + np.full(n, np.log(prior / (1 - prior)))
             total = [sum(((s.T @ y) + 0.5) for s in states) for y in (post, 1 - post)]
             for s in states:
                 ratio = np.log(((s.T @ post) + 0.5) / total[0]) - np.log(((s.T @ (1 - post)) + 0.5) / total[1])
                 odds += s @ (ratio * weight)
             post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if stage == 0:
-            excess = np.zeros((k, k))
-            for y in (post, 1 - post):
-                mass = max(y.sum(), 1e-9)
-                centred = votes - (y @ votes) / mass
-                cov = (centred * y[:, None]).T @ centred / mass
-                spread = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                excess = np.maximum(excess, cov / np.outer(spread, spread))
-            np.fill_diagonal(excess, 0)
-            weight = 1 / (1 + np.where(excess > 0.1, excess, 0).sum(axis=1))
     return post, weight
 
 
