@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import logs as L
-from ..operators import alerts as A, domains as DO, models as MO
+from ..operators import alerts as A, delays as DL, domains as DO, models as MO
 from ..operators.flows import FlowLimits, assign_flows
 from ..plans.jobs import dga_detection, typo_detection
 
@@ -72,36 +71,22 @@ def chunk_handler(features: Callable[[DataFrame], DataFrame], limits: FlowLimits
     return handle
 
 
-# Delay report over two streams
+# Delay report over two streams. Each stream adds one row per name and micro-batch, the earliest time in it; the
+# report takes the earliest of these rows, so it equals the batch report over all lines and alerts read so far,
+# however late a line or an alert comes.
 
-def first_seen_stream(lines: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Queries with a time: `domain`, `seen_at`."""
-    queries = DO.parse_queries(lines).filter(F.col("logged_at").isNotNull())
-    return queries.select(F.col("qname").alias("domain"), F.col("logged_at").alias("seen_at")).withWatermark("seen_at", late)
+def seen_handler(lines: DataFrame) -> DataFrame:
+    """Log lines to the first time of each name in this micro-batch."""
+    return DL.first_seen(DO.parse_queries(lines))
 
 
-def detected_stream(alerts: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Tunnelling alerts with a time: `alert_domain`, `detected_at`."""
-    return alerts.filter(F.upper("detector") == "DNS_TUNNELING").select(
-        L.normalise_domain(F.col("dns_domain_name")).alias("alert_domain"),
-        F.col("detected_at").try_cast("timestamp").alias("detected_at"),
-    ).filter(F.col("detected_at").isNotNull()).withWatermark("detected_at", late)
+def detected_handler(alerts: DataFrame) -> DataFrame:
+    """Alert rows to the first tunnelling alert of each name in this micro-batch."""
+    return DL.first_detected(alerts)
 
 
-def delay_stream(seen: DataFrame, detected: DataFrame, within: str = "1 day") -> DataFrame:
-    """Every sighting of a name with every later alert of it up to `within`; the report's minima of both
-    times are aggregated from the written rows. State is dropped as the watermarks pass.
-
-    Sightings are first reduced to one per name and ten minutes, so a busy name adds one state
-    row per window.
-    """
-    window = F.window("seen_at", "10 minutes")
-    reduced = seen.groupBy("domain", window).agg(F.min("seen_at").alias("first_seen_at")).select(
-        "domain", "first_seen_at", F.window_time("window").alias("seen_until"))
-    alerts = detected.groupBy("alert_domain", F.window("detected_at", "10 minutes")).agg(
-        F.min("detected_at").alias("first_detected_at")).select(
-        "alert_domain", "first_detected_at", F.window_time("window").alias("detected_until"))
-    return reduced.join(alerts, F.expr(f"""
-        domain = alert_domain AND detected_until >= seen_until
-        AND detected_until <= seen_until + INTERVAL {within}""")).select(
-        "domain", "first_seen_at", "first_detected_at")
+def delays_so_far(seen: DataFrame, detected: DataFrame) -> DataFrame:
+    """`delays.delay_rows` of what both streams have written."""
+    first_seen = seen.groupBy("domain").agg(F.min("first_seen_at").alias("first_seen_at"))
+    first_detected = detected.groupBy("domain").agg(F.min("first_detected_at").alias("first_detected_at"))
+    return DL.delay_rows(first_seen, first_detected)

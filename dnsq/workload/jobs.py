@@ -138,10 +138,31 @@ def _event_stream(spark, d) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
+def _event_files(spark, d, where: str, files: int = 5) -> DataFrame:
+    """The events table as a stream of some files in time order, one per micro-batch."""
+    table = X.table(spark, d, "events")
+    table.repartitionByRange(files, "ts").write.parquet(f"{where}/in")
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+
+
+def stream_delays(spark, d):
+    """Delays of detected names from a log stream and an alert stream of several micro-batches."""
+    where = _place(spark, "delays")
+    source = _event_files(spark, d, where)
+    seen = X.log_lines(spark, d, source)
+    alerts = X.alerts(spark, d, X.events(spark, d, True, source))
+    for name, rows, handle in (("seen", seen, SJ.seen_handler), ("detected", alerts, SJ.detected_handler)):
+        SJ.start(rows, handle, f"{where}/{name}", f"{where}/{name}-checkpoint", None, "parquet").awaitTermination()
+    rows = SJ.delays_so_far(spark.read.parquet(f"{where}/seen"), spark.read.parquet(f"{where}/detected"))
+    return rows.select("domain", F.unix_micros("first_seen_at").alias("seen_us"),
+                       F.unix_micros("first_detected_at").alias("detected_us"),
+                       F.round("first_seen_to_detected_seconds", 6).alias("delay"))
+
+
 def stream_log_alerts(spark, d):
-    """Log lines as a stream, each micro-batch matched against the protected names."""
-    lines = X.log_lines(spark, d, _event_stream(spark, d))
+    """Log lines as a stream of several micro-batches, each matched against the protected names."""
     where = _place(spark, "log-alerts")
+    lines = X.log_lines(spark, d, _event_files(spark, d, where))
     protected = cut_lineage(X.protected(spark, d))
 
     def handle(batch):
@@ -205,6 +226,6 @@ def idle_sessions(spark, d):
 
 JOBS = {f.__name__: f for f in (
     train_lr, train_rf, train_gbt, train_overfitting, train_balanced_rf, train_pairs_binary, train_tunnel,
-    feature_importance, dga_model_alerts, typo_model_matches, flow_feature_rows, stream_log_alerts, stream_flows,
+    feature_importance, dga_model_alerts, typo_model_matches, flow_feature_rows, stream_delays, stream_log_alerts, stream_flows,
     stream_flow_scores, stream_chunks, idle_sessions,
 )}

@@ -654,6 +654,7 @@ ORACLE = {
     "protocol_mix": f"with recursive {FULL} select protocol, count(*) as packets, cast(sum(len) as bigint) as bytes from pk group by protocol",
     "whois_enrich": WHOIS_SQL,
     "first_seen_detected": f"with {LINES}, {ALERTS}, {SEEN} select domain, seen_us, det_us as detected_us, {_r('delay', 6)} as delay from delays",
+    "stream_delays": f"with {LINES}, {ALERTS}, {SEEN} select domain, seen_us, det_us as detected_us, {_r('delay', 6)} as delay from delays",
     "delay_summary": DELAY_SUMMARY_SQL,
     "slowest_domains": f"with {LINES}, {ALERTS}, {SEEN} select domain, {_r('delay', 6)} as delay from delays "
                        "order by delays.delay desc, domain limit 20",

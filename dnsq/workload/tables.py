@@ -161,12 +161,12 @@ def scored_labels(spark, sf_dir) -> DataFrame:
         "doc_id", F.col("quality").alias("y"), s.alias("score"), (s >= 0.2).cast("int").alias("p"))
 
 
-def alerts(spark, sf_dir) -> DataFrame:
+def alerts(spark, sf_dir, ev: DataFrame | None = None) -> DataFrame:
     """X6: alert rows as they are read from a log, times as text."""
     e = F.col("event_id")
     at = F.timestamp_micros(F.unix_micros("ts") + (e % 600) * 1_000_000)
     iso = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
-    return events(spark, sf_dir).filter(F.col("event_type") == "error").select(
+    return (events(spark, sf_dir) if ev is None else ev).filter(F.col("event_type") == "error").select(
         e.alias("alert_no"),
         F.when(e % 3 != 0, "DNS_TUNNELING").otherwise("DGA").alias("detector"),
         F.concat(F.upper("host"), F.lit(".")).alias("dns_domain_name"),

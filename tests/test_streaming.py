@@ -85,14 +85,17 @@ def test_delay_stream(spark, tmp_path):
         '{"detector": "dns_tunneling", "dns_domain_name": "A.org.", "detected_at": "2024-01-01T00:31:00"}\n'
         '{"detector": "DGA", "dns_domain_name": "b.org.", "detected_at": "2024-01-01T00:31:00"}\n'
         '{"detector": "DNS_TUNNELING", "dns_domain_name": "y.org.", "detected_at": "2024-01-04T00:31:00"}\n')
-    seen = SJ.first_seen_stream(R.stream_log(spark, f"{tmp_path}/log"))
-    alerts = R.parse_alerts(spark.readStream.text(f"{tmp_path}/alerts"))
-    out = SJ.delay_stream(seen, SJ.detected_stream(alerts))
-    q = out.writeStream.format("memory").queryName("delays").outputMode("append").trigger(availableNow=True).option(
-        "checkpointLocation", f"{tmp_path}/cp").start()
-    q.awaitTermination()
-    rows = spark.table("delays").collect()
-    assert [(r.domain, r.first_seen_at.second, r.first_detected_at.minute) for r in rows] == [("a.org", 5, 31)]
+    # A later file holds an earlier detection, and one that makes the delay negative.
+    open(f"{tmp_path}/alerts/b.log", "w").write(
+        '{"detector": "DNS_TUNNELING", "dns_domain_name": "a.org.", "detected_at": "2024-01-01T00:20:00"}\n'
+        '{"detector": "DNS_TUNNELING", "dns_domain_name": "z.org.", "detected_at": "2024-01-01T00:00:10"}\n'
+        '{"detector": "DNS_TUNNELING", "dns_domain_name": "z.org.", "detected_at": "2024-01-05T00:00:00"}\n')
+    for name, rows, handle in (("log", R.stream_log(spark, f"{tmp_path}/log", 1), SJ.seen_handler),
+                               ("alerts", R.parse_alerts(spark.readStream.option("maxFilesPerTrigger", 1).text(f"{tmp_path}/alerts")),
+                                SJ.detected_handler)):
+        SJ.start(rows, handle, f"{tmp_path}/out-{name}", f"{tmp_path}/cp-{name}", None, "parquet").awaitTermination()
+    got = SJ.delays_so_far(spark.read.parquet(f"{tmp_path}/out-log"), spark.read.parquet(f"{tmp_path}/out-alerts")).collect()
+    assert [(r.domain, r.first_seen_at.second, r.first_detected_at.minute) for r in got] == [("a.org", 5, 20)]
 
 
 @pytest.mark.parametrize("limits", [FlowLimits(activity_timeout=20, dns_activity_timeout=5, max_flow_duration=10**9, teardown=False)])
