@@ -37,10 +37,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+PART_ROWS = 200_000
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd", rows: int | None = None) -> DataFrame:
     """The frame as a Parquet table in the shared folder, read back. It cuts lineage, survives lost
-    executors and is computed once however often it is used."""
+    executors and is computed once however often it is used.
+
+    `rows` is about how many narrow rows it has, where the caller knows: they are then written by as many
+    tasks as they need rather than by one per shuffle partition.
+    """
     path = fresh_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(8, rows // PART_ROWS))
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

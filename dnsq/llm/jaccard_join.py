@@ -41,7 +41,7 @@ LEAST_FRAGMENTS = 8  # of the order, in steps 1 and 2
 ROW = 4096  # shingles that a fragment of step 3 has of one set, about: it bounds a row
 SHORT_LIST = 8
 # Rounds of pivots before the classes left are compared in pairs; members drawn per list, and tried per class, in each.
-ROUNDS, DRAWS, TRIALS = 4, 6, 12
+ROUNDS, DRAWS, TRIALS = 3, 8, 16
 _U = np.uint64
 _LONGS = pa.list_(pa.int64())
 
@@ -310,13 +310,14 @@ def _can_link(x: dict, y: dict, percent: int) -> F.Column:
 
 def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): enough links between classes to give the components of all links."""
-    lists = written(postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "lists")
+    size = postings.count()
+    lists = written(postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "lists", rows=size)
     # The place of a list among those of a class, shortest first: one order of lists for all classes.
     own = Window.partitionBy("cls")
     listed = postings.join(side(lists), "shingle").withColumns({
         "place": F.row_number().over(own.orderBy("members", "shingle")), "lists": F.count(F.lit(1)).over(own)})
     listed = written(listed.select("shingle", "members", "cls", "n", "shared", F.struct("last_df", "last_hash").alias("last"),
-                                   "lists", "place"), "listed")
+                                   "lists", "place"), "listed", rows=size)
     is_short = F.col("members") <= SHORT_LIST
 
     # Short lists: all pairs that can link.
@@ -324,31 +325,31 @@ def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = F.flatten(F.transform("m", lambda x: F.transform(
         F.filter("m", lambda y: (y["cls"] > x["cls"]) & _can_link(x, y, percent)),
         lambda y: F.struct(x["cls"].alias("a"), y["cls"].alias("b")))))
-    near = written(short.select(F.explode(both).alias("p")).select("p.a", "p.b").distinct(), "pairs")
-    checked = written(_overlaps(near, sets), "overlaps")
+    near = written(short.select(F.explode(both).alias("p")).select("p.a", "p.b").distinct(), "pairs", rows=size)
+    checked = written(_overlaps(near, sets), "overlaps", rows=size)
     links = checked.filter(_is_link(percent)).select("a", "b")
 
     # Long lists: in each round, every class outside a list's main component is held against some of that component's
     # members that the round's hash chooses, those first that it meets in most lists.
     long = listed.filter(~is_short).select("shingle", *_CLASS)
     for number in range(ROUNDS):
-        members = written(_with_roots(long, components(links)), "members")
-        open_lists = _split(members)
+        members = written(_with_roots(long, components(links, rows=size), size), "members", rows=size)
+        open_lists = _split(members, size)
         if open_lists.isEmpty():
             return links
         members = members.join(side(open_lists), "shingle")
         chosen = [F.min_by(F.struct(F.col("cls").alias("pivot"), F.col("n").alias("np")), F.xxhash64("cls", F.lit(number * DRAWS + i)))
                   for i in range(DRAWS)]
         pivots = members.filter("root = main").groupBy("shingle").agg(F.array_distinct(F.array(*chosen)).alias("pivots"))
-        stars = members.filter("root <> main").join(side(written(pivots, "pivots")), "shingle")
+        stars = members.filter("root <> main").join(side(written(pivots, "pivots", rows=size)), "shingle")
         stars = stars.select("cls", "n", F.explode("pivots").alias("p")).select("cls", "n", "p.pivot", "p.np")
         fits = 100 * F.least("n", "np") >= percent * F.greatest("n", "np")
         stars = stars.filter(fits).groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("k"))
         stars = stars.select("cls", "k", F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b"))
         stars = stars.join(side(checked.select("a", "b")), ["a", "b"], "left_anti")
         place = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("k"), "a", "b"))  # some draws per class
-        stars = written(stars.withColumn("place", place).filter(F.col("place") <= TRIALS).select("a", "b").distinct(), "pairs")
-        found = written(_overlaps(stars, sets), "overlaps")
+        stars = written(stars.withColumn("place", place).filter(F.col("place") <= TRIALS).select("a", "b").distinct(), "pairs", rows=size)
+        found = written(_overlaps(stars, sets), "overlaps", rows=size)
         checked = checked.unionByName(found)
         more = found.filter(_is_link(percent)).select("a", "b")
         links = links.unionByName(more)
@@ -357,13 +358,14 @@ def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     # What is left: pairs of different components that can link. The first list that such a pair has in common is
     # among these, or it is a short one, and the pair was met above.
-    members = written(_with_roots(long, components(links)), "members")
-    open_lists = _split(members)
+    members = written(_with_roots(long, components(links, rows=size), size), "members", rows=size)
+    open_lists = _split(members, size)
     if open_lists.isEmpty():
         return links
     members = members.join(side(open_lists), "shingle")
     names = (*_CLASS, "root")
-    left = written(members.filter("root <> main").select("shingle", "main", *[F.col(c).alias(c + "_x") for c in names]), "outside")
+    left = members.filter("root <> main").select("shingle", "main", *[F.col(c).alias(c + "_x") for c in names])
+    left = written(left, "outside", rows=size)
     right = members.select("shingle", *[F.col(c).alias(c + "_y") for c in names])
     x, y = ({c: F.col(c + end) for c in names} for end in ("_x", "_y"))
     apart = left.join(right, "shingle").filter(
@@ -373,17 +375,17 @@ def _links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return links.unionByName(_overlaps(more, sets).filter(_is_link(percent)).select("a", "b"))
 
 
-def _with_roots(long: DataFrame, roots: DataFrame) -> DataFrame:
-    roots = side(written(roots, "roots"))
+def _with_roots(long: DataFrame, roots: DataFrame, size: int) -> DataFrame:
+    roots = side(written(roots, "roots", rows=size))
     return long.join(roots, long["cls"] == roots["node"], "left").select(
         "shingle", *_CLASS, F.coalesce("root", "cls").alias("root"))
 
 
-def _split(members: DataFrame) -> DataFrame:
+def _split(members: DataFrame, size: int) -> DataFrame:
     """(shingle, main): lists whose members are of several components, and the most frequent of them."""
     by_root = members.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("k"))
     return written(by_root.groupBy("shingle").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("k", "root")).alias("m"))
-                   .filter("roots > 1").select("shingle", F.col("m.root").alias("main")), "open-lists")
+                   .filter("roots > 1").select("shingle", F.col("m.root").alias("main")), "open-lists", rows=size)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
