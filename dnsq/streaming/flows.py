@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -25,7 +25,8 @@ class OpenFlows(StatefulProcessor):
     """One open flow per key, as totals: a long flow keeps as little as a short one.
 
     A flow is emitted when a packet opens the next one of its key, or when the watermark has passed
-    its idle limit. Packets older than the watermark do not get here. A call sees the packets of one key
+    its idle limit; those that are open when the input ends are read by `open_flows`. Packets older than the
+    watermark do not get here. A call sees the packets of one key
     in one micro-batch; the number of files per trigger bounds them.
     """
 
@@ -106,6 +107,18 @@ def stream_flows(packets: DataFrame, limits: FlowLimits = FlowLimits(), late: st
         outputStructType=FLOW_ROWS, outputMode="append", timeMode="eventTime")
 
 
+def open_flows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Flows that a stopped `stream_flows` query still holds, read from the state behind its checkpoint.
+
+    With the rows that the query has emitted they are all flows of its input. No packet follows them, so their idle
+    limit closes them, as it does when the watermark passes. The state stays as it is: the query can go on.
+    """
+    state = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
+    return state.select("key.flow_key", "value.*").select(
+        "flow_key", "flow_uid", "start_us", F.col("last_us").alias("end_us"), "packets", "bytes", "src_ip", "dst_ip",
+        "src_port", "dst_port", "protocol", F.lit("idle").alias("closed_by"))
+
+
 def idle_sessions(packets: DataFrame, limits: FlowLimits = FlowLimits(), late: str = "10 seconds") -> DataFrame:
     """Flows by idle gap alone, with built-in session windows; works on batches as well.
 

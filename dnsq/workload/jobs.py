@@ -178,7 +178,7 @@ def stream_log_alerts(spark, d):
 
 
 def stream_flows(spark, d):
-    """Flows closed by later packets or by the watermark, from a packet stream with state."""
+    """Flows closed by later packets, by the watermark or by the end of the input, from a packet stream with state."""
     where = _place(spark, "flows")
     with _conf(spark, **_state_settings(spark)):
         packets = X.packets(spark, d, sections=False, ev=X.events(spark, d, False, _event_stream(spark, d)))
@@ -186,8 +186,9 @@ def stream_flows(spark, d):
         query = rows.writeStream.format("parquet").option("checkpointLocation", f"{where}/checkpoint").trigger(
             availableNow=True).start(f"{where}/out")
         query.awaitTermination()
-    out = spark.read.schema(SF.FLOW_ROWS).parquet(f"{where}/out")
-    return out.select("flow_uid", "start_us", "end_us", "packets", "bytes", "closed_by")
+        SF.open_flows(spark, f"{where}/checkpoint").write.parquet(f"{where}/open")
+    closed, left = (spark.read.schema(SF.FLOW_ROWS).parquet(f"{where}/{part}") for part in ("out", "open"))
+    return closed.unionByName(left).select("flow_uid", "start_us", "end_us", "packets", "bytes", "closed_by")
 
 
 def stream_flow_scores(spark, d):

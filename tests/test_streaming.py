@@ -4,10 +4,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from dnsq.operators import flows as FL
 from dnsq.operators.flows import FlowLimits
 from dnsq.sources import readers as R
 from dnsq.streaming import flows as SF, jobs as SJ
+from dnsq.workload import tables as X
 from tests.test_flows import dns, frame, packet
 
 
@@ -49,6 +51,28 @@ def test_flows_across_files_equal_the_batch(spark, tmp_path):
     assert "teardown" in reasons.values() and "idle" in reasons.values()
 
 
+def test_flows_open_at_the_end_of_the_input(spark, tmp_path):
+    groups = traffic()
+    write_files(spark, str(tmp_path), groups)
+    stream = R.stream_packets(spark, f"{tmp_path}/in", files_per_trigger=1)
+    SF.stream_flows(stream, LIMITS, "1 day").writeStream.format("parquet").option(  # the watermark closes nothing
+        "checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    closed, left = spark.read.parquet(f"{tmp_path}/out"), SF.open_flows(spark, f"{tmp_path}/cp")
+    assert closed.columns == left.columns
+    batch = FL.assign_flows(frame(spark, [p for g in groups for p in g]), LIMITS).groupBy("flow_uid").agg(
+        F.count(F.lit(1)), F.sum("len"), F.min("ts_us"), F.max("ts_us"))
+    got = closed.unionByName(left).select("flow_uid", "packets", "bytes", "start_us", "end_us").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, batch.collect()))
+    assert 99 in {r.flow_uid for r in left.collect()}
+
+
+def test_stream_flows_returns_every_flow_of_the_table(spark, sf):
+    got = entry.queries()["stream_flows"](spark, sf).select("flow_uid", "packets", "bytes", "start_us", "end_us")
+    batch = FL.assign_flows(X.packets(spark, sf, sections=False), X.LIMITS).groupBy("flow_uid").agg(
+        F.count(F.lit(1)), F.sum("len"), F.min("ts_us"), F.max("ts_us"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+
+
 def test_chunks_are_separate(spark, tmp_path):
     write_files(spark, str(tmp_path), [[packet(0, 0), packet(1, 1)], [packet(0, 0), packet(1, 1)]])  # numbered alike
     stream = R.stream_packets(spark, f"{tmp_path}/in", 1).withColumn("chunk", F.col("_metadata.file_name"))
