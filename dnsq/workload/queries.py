@@ -101,7 +101,7 @@ def pair_features_binary(spark, d):
 
 
 def typo_top_candidates(spark, d):
-    return _rounded(M.top_candidates(X.queried_names(spark, d), X.protected(spark, d), 3))
+    return _rounded(M.top_candidates(X.queried_names(spark, d), X.protected(spark, d), 50))
 
 
 def typo_best_match(spark, d):

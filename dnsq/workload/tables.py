@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import packets as P
 from ..operators.datasets import numbered
 from ..operators.flows import FlowLimits
+from ..session import cut_lineage
 
 # Limits under which the sparse stand-in packets form flows that exercise every rule.
 LIMITS = FlowLimits(activity_timeout=86400, dns_activity_timeout=86400, max_flow_duration=5 * 86400,
@@ -115,12 +116,19 @@ def log_lines(spark, sf_dir, source: DataFrame | None = None) -> DataFrame:
 
 
 def protected(spark, sf_dir) -> DataFrame:
-    """X4: the ten hosts with most pages, in that order."""
-    top = hosts_by_page(spark, sf_dir).groupBy(F.col("host").alias("domain")).count().orderBy(
-        F.desc("count"), "domain").limit(10)
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("neg"), "domain")))  # ten rows
-    return top.agg(rows.alias("r")).select(F.posexplode("r").alias("position", "x")).select(
-        "x.domain", F.col("position").cast("bigint").alias("position"))
+    """X4: all hosts, those with most pages first.
+
+    The list is cut into ranges; the counts of the ranges give the position that each starts from.
+    """
+    counted = hosts_by_page(spark, sf_dir).groupBy(F.col("host").alias("domain")).count()
+    order = [F.desc("count"), F.asc("domain")]
+    ranged = cut_lineage(counted.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_place", place).join(starts, "_range").select(
+        "domain", (F.col("_start") + F.col("_place")).alias("position"))
 
 
 def edited_hosts(spark, sf_dir) -> DataFrame:
