@@ -21,6 +21,10 @@ ALLOW, BLOCK = "allow", "block"
 Z = 1.645  # one-sided 95 %
 THRESHOLD = 0.5
 MIN_SPREAD, MAX_SPREAD = 0.01, 0.5  # bounds of the estimated intra-group correlation
+# Two-label public suffixes under which names are registered; below them a registered domain has three labels.
+SECOND_LEVEL = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "co.nz",
+                "org.nz", "co.in", "co.kr", "co.za", "com.ar", "com.br", "com.cn", "com.hk", "com.mx", "com.sg", "com.tr",
+                "com.tw", "com.ua")
 _URL = r"^[\s\S]*?://([^/?#]*)([^?#]*)"
 
 
@@ -43,6 +47,15 @@ def rule_of(host, path, rules: list[tuple[str, str, str]]) -> tuple[F.Column, F.
     return text, verdict
 
 
+def left_alone(host, path, rules: list[tuple[str, str, str]]) -> F.Column:
+    """Whether the host is one of a block rule that holds for a part of its paths only, and the path is none of them."""
+    alone = F.lit(False)
+    for what, h, p in rules:
+        if what == BLOCK and p not in ("", "/"):
+            alone = alone | (((host == h) | F.endswith(host, F.lit("." + h))) & ~F.startswith(path, F.lit(p)))
+    return alone
+
+
 def _prior(level: DataFrame, centre: float) -> float:
     """Strength of the beta prior of one level: pseudo-outcomes that its centre is worth."""
     some = level.filter("n > 0")
@@ -63,10 +76,13 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     """(host, n, bad, a, b) for every host of `outcomes` (host, bad: 1, 0 or NULL for not labelled): the counts and
     the parameters of its beta posterior. Without any label every posterior is the even prior of two outcomes."""
     labels = F.split("host", r"\.")
-    domain = F.when(F.size(labels) >= 2, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(F.col("host"))
+    last = lambda n: F.when(F.size(labels) >= n, F.concat_ws(".", F.slice(labels, -n, n)))
+    second = F.coalesce(last(2).isin(*SECOND_LEVEL), F.lit(False))
+    domain = F.coalesce(F.when(second, last(3)), last(2), F.col("host"))
+    suffix = F.when(second, last(2)).otherwise(F.element_at(labels, -1))
     hosts = outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("n"),
                                          F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
-    hosts = written(hosts.select("host", domain.alias("domain"), F.element_at(labels, -1).alias("suffix"), "n", "bad"), "hosts")
+    hosts = written(hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "bad"), "hosts")
     counts = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = written(hosts.groupBy("domain", "suffix").agg(*counts), "domains")
     suffixes = written(domains.groupBy("suffix").agg(*counts), "suffixes")
@@ -95,15 +111,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "u
           threshold: float = THRESHOLD) -> DataFrame:
     """`pages` with host, path, rule and verdict behind its columns (replacing columns of those names).
 
-    Pages that a rule fits are the labelled outcomes. Their verdict is the rule's; that of the others comes from
-    their host's reputation. A NULL url, or one without `://`, has empty host and path, and all of those share one
+    Pages that a rule fits are labelled outcomes; their verdict is the rule's. A page that no rule fits, on the host of a
+    block rule bound to other paths, is a good outcome. Verdicts without a rule come from the host's reputation. A NULL url, or one without `://`, has empty host and path, and all of those share one
     reputation. Equal urls get equal verdicts; an empty table stays empty.
     """
     own = pages.drop("host", "path", "rule", "verdict").withColumn("host", host_of(F.col(url_col))).withColumn(
         "path", path_of(F.col(url_col)))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = own.withColumn("rule", rule).withColumn("__llm_verdict", verdict)
-    bad = F.when(F.col("__llm_verdict").isNotNull(), (F.col("__llm_verdict") == BLOCK).cast("int"))
+    bad = F.when(F.col("__llm_verdict").isNotNull(), (F.col("__llm_verdict") == BLOCK).cast("int")).when(
+        left_alone(F.col("host"), F.col("path"), rules), 0)
     known = reputation(own.select("host", bad.alias("bad")))
     known = written(known.select(F.col("host").alias("__llm_host"), (lower_bound(z) > threshold).alias("__llm_bad")), "reputation")
     return own.join(known, own["host"] == known["__llm_host"], "left").withColumn(

@@ -77,3 +77,19 @@ def test_no_labels_and_empty_table(spark):
     got = H.judge(frame(spark, ["https://x.org/a", "https://y.org/b"]), RULES).collect()
     assert {r.verdict for r in got} == {"allow"}
     assert H.judge(frame(spark, []), RULES).count() == 0
+
+
+def test_pages_beside_a_path_rule_are_good_outcomes(spark):
+    urls = [f"https://clean.net/{'es' if i == 0 else 'en'}/{i}" for i in range(40)] + [f"https://foul.net/es/{i}" for i in range(40)]
+    urls += ["https://foul.net/en/1"] + [f"https://x{i}.com/" for i in range(5)]
+    got = [r.verdict for r in H.judge(frame(spark, urls), RULES).orderBy("page_id").collect()]
+    assert got[0] == "block" and set(got[1:40]) == {"allow"}  # the host decides, not the suffix
+    assert set(got[40:81]) == {"block"} and set(got[81:]) == {"allow"}
+
+
+def test_registered_domains_below_two_label_suffixes(spark):
+    outcomes = [("www.bad.co.uk", 1)] * 30 + [("good.co.uk", 0)] * 30 + [("co.uk", None), ("a.bad.co.uk", None), ("a.good.co.uk", None)]
+    outcomes += [("b.bad.org", 1)] * 3 + [("org", 0)] * 3
+    got = {r.host: r.a / (r.a + r.b) for r in H.reputation(spark.createDataFrame(outcomes, "host string, bad int")).collect()}
+    assert set(got) == {h for h, _ in outcomes}
+    assert got["a.bad.co.uk"] > 0.5 > got["a.good.co.uk"]
