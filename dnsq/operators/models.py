@@ -19,6 +19,8 @@ from .alerts import attack_class, hard_label_score
 from .datasets import class_weights
 from .metrics import METRICS, binary_metrics
 
+DEEPEST = 30  # the largest depth that Spark ML takes; the established forests have no bound
+
 
 @dataclass
 class Bundle:
@@ -98,7 +100,7 @@ def _estimator(kind: str, trees: int | None, rounds: int | None, depth: int, see
 
 
 def fit(train: DataFrame, label: str, columns: list[str], kind: str, balanced: bool = False,
-        trees: int | None = None, rounds: int | None = None, depth: int = 12, seed: int = 42) -> Bundle:
+        trees: int | None = None, rounds: int | None = None, depth: int = DEEPEST, seed: int = 42) -> Bundle:
     """Fit one model. kind: 'lr' (scaled inputs), 'rf', 'gbt' (two classes).
 
     `balanced` weights every row by n / (classes * rows of its class); a random forest with it

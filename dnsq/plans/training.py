@@ -39,7 +39,7 @@ def _split(rows: DataFrame, label: str, seed: int = 42) -> tuple[DataFrame, Data
     return marked.filter(~F.col("is_test")), marked.filter("is_test")
 
 
-def train_dga(labelled: DataFrame, specs: dict[str, dict] | None = None, folds: int = 5, depth: int = 8) -> Trained:
+def train_dga(labelled: DataFrame, specs: dict[str, dict] | None = None, folds: int = 5, depth: int = MO.DEEPEST) -> Trained:
     """`row_key`, `Domain`, `class`: fit the models, compare train, test and cross-validation.
 
     Labels are folded to lower case, and `dga` is the positive class.
@@ -63,7 +63,7 @@ def train_dga(labelled: DataFrame, specs: dict[str, dict] | None = None, folds:
     return Trained(bundles, reports)
 
 
-def train_pairs(labelled: DataFrame, binary: bool = False, trees: int = 100, depth: int = 12,
+def train_pairs(labelled: DataFrame, binary: bool = False, trees: int = 100, depth: int = MO.DEEPEST,
                 limit: int | None = None) -> Trained:
     """`row_key`, target, query, class: the balanced forest over the classes, or the plain binary one.
 
@@ -82,7 +82,7 @@ def train_pairs(labelled: DataFrame, binary: bool = False, trees: int = 100, dep
     })
 
 
-def train_tunnel(flows: DataFrame, specs: dict[str, dict] | None = None, depth: int = 12) -> Trained:
+def train_tunnel(flows: DataFrame, specs: dict[str, dict] | None = None, depth: int = MO.DEEPEST) -> Trained:
     """Labelled flow table (`row_key`, `label`, features): fit, report, rank features."""
     specs = specs or TUNNEL_SPECS
     rows = D.drop_non_model_columns(flows)

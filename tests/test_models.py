@@ -32,6 +32,12 @@ def test_dga_models(trained):
     assert trained.bundles["Random Forest"].labels == ["dga", "legit"]
 
 
+def test_forests_grow_beyond_the_former_depth(domains):
+    mixed = domains.withColumn("class", F.when(F.xxhash64("row_key") % 2 == 0, "legit").otherwise("dga"))  # hard to split
+    forest = TR.train_dga(mixed, {"Random Forest": {"kind": "rf", "trees": 5}}, folds=0).bundles["Random Forest"]
+    assert max(tree.depth for tree in forest.classifier.trees) > 8
+
+
 def test_overfitting_report(domains):
     out = TR.train_dga(domains, {"Random Forest": {"kind": "rf", "trees": 5}}, folds=2, depth=4).reports["overfitting"].first()
     assert out.cv_f1_mean > 0.9 and out.f1_gap_train_minus_test == pytest.approx(out.train_f1 - out.test_f1)
