@@ -77,7 +77,7 @@ edited as (
 names as (select domain as qname from domains union select query from edited),
 protected as (
   select host as domain, row_number() over (order by count(*) desc, host) - 1 as position
-  from hosts group by host order by position limit 10),
+  from hosts group by host),
 labelled as (
   select domain as target_domain, query as query_domain, class as classification from edited
   union all select domain, domain, 'original' from domains
@@ -138,7 +138,7 @@ ends as (
   from names n, masks m),
 ratios as (select qname, domain as target, position, 2 * (lt - bit_count(v)) / (lt + length(qname)) as ratio from ends)
 select qname, target, position, {_r('ratio')} as ratio, rn as cand_no
-from (select *, row_number() over (partition by qname order by ratio desc, position) as rn from ratios) where rn <= 3
+from (select *, row_number() over (partition by qname order by ratio desc, position) as rn from ratios) where rn <= 50
 """
 
 _PV = _pair_values("p.domain", "n.qname")
@@ -583,15 +583,14 @@ _DGA_DBL = ["ratio_of_letters_of_domain_name", "ratio_of_numbers_of_domain_name"
 
 _RANKED = "row_number() over (partition by p_type order by md5('42|' || p_partkey), p_partkey) - 1"
 
-# Flows that a later packet of their key closes, or whose idle limit the watermark (one hour behind the
-# last packet) has passed.
+# All flows: closed by a later packet of their key, by the watermark or by the end of the input.
 STREAM_FLOWS_SQL = f"""with recursive {FULL},
 f as (select flow_key, flow_uid, min(ts_us) as start_us, max(ts_us) as end_us, count(*) as packets,
   cast(sum(len) as bigint) as bytes from a group by flow_key, flow_uid),
 n as (select *, lead(start_us) over (partition by flow_key order by start_us, flow_uid) as next_us from f)
 select flow_uid, start_us, end_us, packets, bytes, case when next_us is null or next_us - end_us > {DAY} then 'idle'
   when next_us - start_us > {5 * DAY} then 'duration' else 'teardown' end as closed_by
-from n where next_us is not null or end_us + {DAY} < (select max(ts_us) from a) - 3600000000"""
+from n"""
 
 STREAM_ALERTS_SQL = TYPO_ALERTS_SQL[:TYPO_ALERTS_SQL.index("select 'TYPOSQUATTING'")] + """
 select q.qname as domain, round(round(score, 9), 4) as score, target, predicted_class, logged_us

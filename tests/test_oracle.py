@@ -45,20 +45,6 @@ def test_same_rows(spark, con, sf, name):
     assert got
 
 
-@pytest.mark.parametrize("name", ["typo_best_match", "typo_top_candidates", "typo_alerts", "stream_log_alerts"])
-def test_every_host_is_protected(spark, con, sf, name):
-    sql = entry.oracle_sql()[name]
-    whole = sql.replace("order by position limit 10", "order by position").replace("where rn <= 3", "where rn <= 50")
-    assert whole != sql
-    df = entry.queries()[name](spark, sf)
-    got = [tuple(_plain(v) for v in r) for r in df.collect()]
-    result = con.execute(whole)
-    columns = [c[0] for c in result.description]
-    order = [columns.index(c) for c in df.columns]
-    want = [tuple(_plain(r[i]) for i in order) for r in result.fetchall()]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
