@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, hosts, jaccard_join, language, line_dedup, materialise, packing, pii, quality_rules, toxicity
 from .common import held_out, read
+from .hosts import SECOND_LEVEL
 
 
 ORDER_KEY = 20_240_607  # a training run's own; any number
@@ -152,7 +153,7 @@ ORACLE = {
         select doc_id, count(*)::bigint as n_lines, count(*) filter (dropped)::bigint as n_dropped,
                sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) as kept_sha256
         from judged group by doc_id""",
-    "op9_url_reputation": r"""
+    "op9_url_reputation": rf"""
         with parts as (
             select page_id, url,
                    case when contains(url, '://') then regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') else '' end as raw_host,
@@ -164,12 +165,22 @@ ORACLE = {
         fitting as (
             select page_id, max_by(h || p, length(h || p)) as rule, max_by(what, length(h || p)) as what
             from cut join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id),
-        judged as (select c.*, f.rule, f.what from cut c left join fitting f using (page_id)),
-        per_host as (
-            select host, count(what)::double as n, (count(*) filter (what = 'block'))::double as bad,
-                   case when len(string_split(host, '.')) >= 2 then array_to_string(string_split(host, '.')[-2:], '.') else host end as domain,
-                   string_split(host, '.')[-1] as suffix
+        beside as (
+            select distinct page_id from cut join rules on (host = h or ends_with(host, '.' || h)) and not starts_with(path, p)
+            where rules.what = 'block' and p not in ('', '/')),
+        judged as (
+            select c.*, f.rule, f.what, case when f.what is not null then (f.what = 'block')::int when b.page_id is not null then 0 end as bad
+            from cut c left join fitting f using (page_id) left join beside b using (page_id)),
+        tails as (
+            select host, count(bad)::double as n, coalesce(sum(bad), 0)::double as bad, string_split(host, '.') as l,
+                   array_to_string(string_split(host, '.')[-2:], '.') as two,
+                   len(string_split(host, '.')) >= 2 and array_to_string(string_split(host, '.')[-2:], '.') in {SECOND_LEVEL} as deep
             from judged group by host),
+        per_host as (
+            select host, n, bad,
+                   case when deep and len(l) >= 3 then array_to_string(l[-3:], '.') when len(l) >= 2 then two else host end as domain,
+                   case when deep then two else l[-1] end as suffix
+            from tails),
         per_domain as (select domain, suffix, sum(n) as n, sum(bad) as bad from per_host group by all),
         per_suffix as (select suffix, sum(n) as n, sum(bad) as bad from per_domain group by all),
         total as (select case when sum(n) > 0 then (sum(bad) + 1) / (sum(n) + 2) else 0.5 end as c from per_suffix),
