@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hosts, jaccard_join, language, line_dedup, materialise, packing, pii, quality_rules, toxicity
+from . import (
+    chat_format, decontaminate, filter_audit, hosts, jaccard_join, language, line_dedup, materialise, packing, pii, quality_rules,
+    toxicity, vector_codes,
+)
 from .common import held_out, read
 from .hosts import SECOND_LEVEL
 
@@ -92,6 +95,28 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_groups(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = filter_audit.with_labels(
+        filter_audit.failing(read(spark, sf_dir, "documents")), read(spark, sf_dir, "labels"),
+        {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1})
+    names = list(filter_audit.FILTERS)
+    return filter_audit.audit(filter_audit.posting_lists(marked, [*names, "good", "toxic"]), names, ["good", "toxic"])
+
+
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
+    return chat_format.read_back(chat_format.format_conversations(turns.union(tricky)))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
@@ -103,8 +128,50 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_url_reputation": op9_url_reputation,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_chat_format": op12_chat_format,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+def _codes_sql() -> str:
+    """Six rounds of assignment and update, one after the other."""
+    gap = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+    def assigned(books: str) -> str:
+        return f"""select vec_id, x.p, any_value(v) as v, min({{'d': {gap}, 'e': e}}) as best
+            from parts x join {books} b on b.p = x.p group by vec_id, x.p"""
+
+    steps = ["""
+        kept as materialized (
+            select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as q from embeddings
+            where embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+        parts as materialized (
+            select vec_id, p, q[p * len(q) // 8 + 1:(p + 1) * len(q) // 8] as v from kept, range(8) t(p)),
+        books0 as materialized (
+            select p, v as c, row_number() over (partition by p order by vec_id) - 1 as e from parts
+            qualify row_number() over (partition by p order by vec_id) <= 16)"""]
+    for i in range(vector_codes.ROUNDS):
+        steps.append(f"""
+        near{i} as materialized ({assigned(f'books{i}')}),
+        sums{i} as (
+            select p, best.e as e, k, sum(v[k + 1])::bigint as s, count(*) as n from near{i}, (select unnest(range(max(len(v)))) as k from parts)
+            group by p, best.e, k),
+        means{i} as (select p, e, list((s - ((s % n) + n) % n) // n order by k) as c from sums{i} group by p, e),
+        books{i + 1} as materialized (select p, e, coalesce(m.c, b.c) as c from books{i} b left join means{i} m using (p, e))""")
+    last = f"books{vector_codes.ROUNDS}"
+    return "with " + ",".join(steps) + f""",
+        final as materialized ({assigned(last)}),
+        coded as (
+            select vec_id, string_agg(printf('%02x', best.e), '' order by p) as code, sum(best.d)::bigint as error
+            from final group by vec_id),
+        digest as (
+            select sha256(string_agg(x::varchar, ',' order by p, e, k)) as h
+            from (select p, e, unnest(c) as x, generate_subscripts(c, 1) as k from {last}))
+        select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, h as codebooks_sha256
+        from coded join kept using (vec_id), digest"""
+
+
 ORACLE = {
     "op1_decontaminate": r"""
         with lowered as (
@@ -201,4 +268,54 @@ ORACLE = {
         bounds as (select host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) as low from h)
         select page_id, host, path, rule, coalesce(what, case when low > 0.5 then 'block' else 'allow' end) as verdict
         from judged join bounds using (host)""",
+    "op11_filter_audit": r"""
+        with docs as (
+            select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        known as (select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic
+                  from labels group by doc_id),
+        masks as (
+            select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+                   (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+                   + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t))::int
+                   + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * (doc_id > min(doc_id) over (partition by t))::int as m
+            from docs left join known using (doc_id)),
+        counts as (select part, good, toxic, m, count(*) as n from masks group by all),
+        letters(l, b) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        orders as (
+            select a.l || b.l || c.l || d.l || e.l as filter_order, [a.b, b.b, c.b, d.b, e.b] as bits
+            from letters a, letters b, letters c, letters d, letters e where a.b + b.b + c.b + d.b + e.b = 31
+            and len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+        steps as (
+            select filter_order, s as step, bits[s] as f, coalesce(list_sum(bits[1:s - 1]), 0)::int as done
+            from orders, range(1, 6) t(s)),
+        sized as (
+            select part, filter_order, step, f, sum(n) filter ((m & (done | f)) = 0) as kept,
+                   sum(n) filter ((m & f) > 0 and (m & done) = 0) as removed, sum(n) filter ((m & f) > 0 and (m & done) > 0) as redundant,
+                   sum(n) filter (m = f) as unique_fails,
+                   sum(n) filter (good and (m & f) > 0 and (m & done) = 0) as good_lost,
+                   sum(n) filter (toxic and (m & f) > 0 and (m & done) = 0) as toxic_lost
+            from counts, steps group by all)
+        select part, filter_order, step::int as step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed,
+               coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+               coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+               (sum(coalesce(removed, 0)) over (partition by part, f))::bigint as shapley
+        from sized""",
+    "op12_chat_format": r"""
+        with turns as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+        sized as (
+            select *, length(role) - length(replace(role, '\', '')) + (length(role) - length(replace(role, '### ', ''))) // 4
+                     + (length(role) - length(replace(role, '</turn>', ''))) // 7 + length(role) - length(replace(role, chr(10), ''))
+                     + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '### ', ''))) // 4
+                     + (length(text) - length(replace(text, '</turn>', ''))) // 7 as escapes
+            from turns)
+        select conv_id, count(*)::bigint as n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+               coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+               sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+               sum(13 + length(role) + length(text) + escapes)::bigint as formatted_chars
+        from sized group by conv_id""",
+    "op13_vector_codes": _codes_sql(),
 }
