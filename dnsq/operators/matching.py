@@ -1,26 +1,34 @@
 """Queried names against a list of protected names.
 
-The list is cut into slices of at most SLICE names, one row each. A name meets a slice by an
-equi-join on the slice number and is scored against the names of the slice within its row, so the
-pairs never become rows unless a caller asks for the candidates. A list of one slice needs no
-shuffle of the names at all.
+The list is cut into slices of at most SLICE names, one row each, and the names into blocks of at most BLOCK, one row
+each, without a shuffle. A block meets every slice by an equi-join on the slice number; within the row,
+`functions.search` bounds all similarities with an inverted index and compares only the pairs whose bound can reach the
+result. Pairs become rows only for the candidates of a model. A list of one slice needs no shuffle of
+the names at all; the results of several slices are merged per name.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pairs import PAIR_CLASSES, jaccard
-from ..functions.similarity import jaro_to_each, ratio_to_each
+from ..functions.search import List
+from ..functions.similarity import jaro_to_each
 from ..functions.text import let, ratio
 from ..session import SALTS
 
-SLICE = 256
-# Slices up to which the list may be broadcast: 64 x 256 names, well under one megabyte.
+SLICE = 4096
+# Slices up to which the list may be broadcast: 64 x 4096 names of at most 253 bytes, 66 MB at most and some 10 as a rule.
 BROADCAST_SLICES = 64
+BLOCK = 1024
+KEPT_SLICES = 16  # prepared slices that a worker keeps
 
 # A scorer gives, for a target, a query and their Jaro similarity, an array of structs (class, score).
 Scorer = Callable[[Column, Column, Column], Column]
@@ -63,39 +71,87 @@ def protected_slices(protected: DataFrame) -> tuple[DataFrame, int]:
     return slices, int(last) // SLICE + 1
 
 
-def _meet(queries: DataFrame, protected: DataFrame) -> tuple[DataFrame, int]:
-    """Distinct names, each with every slice of the list: `qname`, `names`."""
+def _meet(blocks: DataFrame, protected: DataFrame) -> tuple[DataFrame, int]:
+    """Rows of `blocks`, each with every slice of the list (`slice`, `names`)."""
     slices, count = protected_slices(protected)
-    # Scoring is heavy per row, so the names keep a full set of partitions: an evenly dealt, stated
-    # number is not merged away as the few bytes of a name would suggest.
-    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = queries.select("qname").distinct().repartition(tasks).withColumn(
-        "slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))))
+    met = blocks.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))))
     if count <= BROADCAST_SLICES:
-        return names.join(F.broadcast(slices), "slice"), count
+        return met.join(F.broadcast(slices), "slice"), count
     # Many slices: both sides are salted, so one slice number is not one task.
     salted = slices.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    names = names.withColumn("_salt", F.pmod(F.xxhash64("qname"), F.lit(SALTS)).cast("int"))
-    return names.join(salted, ["slice", "_salt"]).drop("_salt"), count
+    met = met.withColumn("_salt", F.pmod(F.hash(met.columns[0]), F.lit(SALTS)))
+    return met.join(salted, ["slice", "_salt"]).drop("_salt"), count
+
+
+def _names(queries: DataFrame) -> DataFrame:
+    """Distinct names. Scoring is heavy per row, so they keep a full set of partitions: an evenly dealt, stated
+    number is not merged away as the few bytes of a name would suggest."""
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return queries.select("qname").filter(F.col("qname").isNotNull()).distinct().repartition(tasks, "qname")
+
+
+def _packed(size: int):
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, size):
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0).slice(i, size).to_pylist()], pa.list_(pa.string()))], names=["qnames"])
+
+    return run
+
+
+def _searched(k: int, least: float | None):
+    """Blocks with slices to one row per name: its best k names of the slice as (score, position, target). With `least` by the linear
+    score, from that score on; else by the similarity ratio."""
+    row = pa.struct([("score", pa.float64()), ("position", pa.int64()), ("target", pa.string())])
+
+    def run(batches):
+        ready: dict[int, tuple[List, list]] = {}
+        block, so_far = None, None  # the block at hand and its best scores in the slices before
+        for b in batches:
+            for i in range(b.num_rows):
+                number, names = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                if number not in ready:
+                    if len(ready) >= KEPT_SLICES:
+                        ready.pop(next(iter(ready)))
+                    listed = b.column(2)[i].as_py()
+                    ready[number] = List([x["domain"] for x in listed]), listed
+                prepared, listed = ready[number]
+                if names != block:
+                    block, so_far = names, np.full((len(names), k), -np.inf if least is None else least)
+                # A name of a later slice has to beat the worst of the k found before.
+                needed = so_far.min(axis=1)
+                place, score = prepared.most_alike(names, k, needed) if least is None else prepared.best_linear(names, needed)
+                so_far = -np.sort(-np.concatenate((so_far, score), axis=1), axis=1)[:, :k]
+                best = [[{"score": s, "position": listed[p]["position"], "target": listed[p]["domain"]} for p, s in zip(ps, ss) if p >= 0]
+                        for ps, ss in zip(place.tolist(), score.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(best, pa.list_(row))], names=["qname", "best"])
+
+    return run
+
+
+def _search(queries: DataFrame, protected: DataFrame, k: int, least: float | None = None) -> DataFrame:
+    """(`qname`, `best`): the best k of the whole list, ordered by score and place in the list."""
+    blocks = _names(queries).mapInArrow(_packed(BLOCK), "qnames array<string>")
+    met, count = _meet(blocks, protected)
+    best = met.select("slice", "qnames", "names").mapInArrow(
+        _searched(k, least), "qname string, best array<struct<score:double, position:bigint, target:string>>")
+    if count > 1:
+        # k per slice are merged per name: a fixed number for every slice.
+        merged = best.groupBy("qname").agg(F.flatten(F.collect_list("best")).alias("best"))
+        ordered = F.array_sort(F.transform("best", lambda b: F.struct(
+            (-F.round(b["score"], 12)).alias("neg"), b["position"].alias("position"), b["score"].alias("score"), b["target"].alias("target"))))
+        best = merged.select("qname", F.transform(F.slice(ordered, 1, k), lambda b: F.struct(
+            b["score"].alias("score"), b["position"].alias("position"), b["target"].alias("target"))).alias("best"))
+    return best
 
 
 def top_candidates(queries: DataFrame, protected: DataFrame, n: int = 50) -> DataFrame:
     """The n protected names most similar to each name, all of them when the list is not longer.
 
-    Columns `qname`, `target`, `position`, `ratio`, `cand_no`. Equal ratios keep list order.
+    Columns `qname`, `target`, `position`, `ratio`, `cand_no`. Equal ratios keep list order. NULL names are left out.
     """
-    met, count = _meet(queries, protected)
-    met = met.withColumn("ratios", ratio_to_each("qname", F.col("names.domain")))
-    ranked = F.array_sort(F.transform("names", lambda p, i: F.struct(
-        (-F.get("ratios", i)).alias("neg"), p["position"].alias("position"), p["domain"].alias("target"))))
-    best = met.select("qname", F.slice(ranked, 1, n).alias("best"))
-    if count > 1:
-        # n per slice are merged per name: a fixed number of rows per name.
-        merged = best.groupBy("qname").agg(F.flatten(F.collect_list("best")).alias("best"))
-        best = merged.select("qname", F.slice(F.array_sort("best"), 1, n).alias("best"))
-    return best.select("qname", F.posexplode("best").alias("i", "b")).select(
-        "qname", "b.target", "b.position", (-F.col("b.neg")).alias("ratio"),
-        (F.col("i") + 1).alias("cand_no"))
+    return _search(queries, protected, n).select("qname", F.posexplode("best").alias("i", "b")).select(
+        "qname", "b.target", "b.position", F.col("b.score").alias("ratio"), (F.col("i") + 1).alias("cand_no"))
 
 
 def _best_of(scores: Column, target: Column, position: Column) -> Column:
@@ -107,13 +163,27 @@ def _best_of(scores: Column, target: Column, position: Column) -> Column:
             target.alias("target"), s["class"].alias("class"))))
 
 
-def best_match(queries: DataFrame, protected: DataFrame, scorer: Scorer = linear_scorer) -> DataFrame:
+def best_match(queries: DataFrame, protected: DataFrame, scorer: Scorer | None = None, least: float = 0.0) -> DataFrame:
     """Best protected name and class per queried name over the whole list.
 
     Columns `qname`, `target`, `predicted_class`, `score`. On equal scores the earlier name, then
-    the earlier class wins; a score of 0 is no match.
+    the earlier class wins; a score of 0 is no match. The linear score is searched by bounds; of names without a match of
+    `least` or more, that search may stop early and say no match (score 0). A scorer of one's own is applied to all pairs.
     """
-    met, count = _meet(queries, protected)
+    if scorer is not None:
+        return _best_of_all(queries, protected, scorer)
+    b = F.get("best", F.lit(0))
+    diff = F.char_length(b["target"]) - F.char_length("qname")
+    # Of a pair, only one single-edit class fits; a transposition never scores above the replacement.
+    kind = F.when(diff < 0, "addition").when(diff > 0, "omission").otherwise("replacement")
+    hit = F.coalesce(b["score"] > 0, F.lit(False))
+    return _search(queries, protected, 1, least).select(
+        "qname", F.when(hit, b["target"]).alias("target"), F.when(hit, kind).alias("predicted_class"),
+        F.when(hit, b["score"]).otherwise(0.0).alias("score"))
+
+
+def _best_of_all(queries: DataFrame, protected: DataFrame, scorer: Scorer) -> DataFrame:
+    met, count = _meet(_names(queries), protected)
     met = met.withColumn("jaros", jaro_to_each("qname", F.col("names.domain")))
     pairs = met.select("qname", F.array_max(F.transform("names", lambda p, i: _best_of(
         scorer(p["domain"], F.col("qname"), F.get("jaros", i)), p["domain"], p["position"]))).alias("b"))
@@ -143,3 +213,6 @@ def best_scored(scored: DataFrame) -> DataFrame:
     return best.select(
         "qname", F.when(hit, F.col("b.target")).alias("target"),
         F.when(hit, F.col("b.class")).alias("predicted_class"), F.col("b.score").alias("score"))
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

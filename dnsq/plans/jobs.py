@@ -51,7 +51,8 @@ def typo_detection(lines: DataFrame, protected: DataFrame, bundle: MO.Bundle | N
                    detected_at: Column | None = None, threshold: float = A.TYPO_THRESHOLD) -> DataFrame:
     """Query log to alerts on look-alike names."""
     queries = DO.parse_queries(lines)
-    best = model_matches(queries, protected, bundle, top_n) if bundle else M.best_match(queries, protected)
+    best = model_matches(queries, protected, bundle, top_n) if bundle else M.best_match(
+        queries, protected, least=threshold)
     at = F.current_timestamp() if detected_at is None else detected_at
     return A.typo_alerts(MO.join_hits(queries, best.filter(F.col("score") >= threshold)), at, threshold)
 

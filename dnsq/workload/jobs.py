@@ -167,7 +167,7 @@ def stream_log_alerts(spark, d):
 
     def handle(batch):
         q = DO.parse_queries(batch)
-        best = M.best_match(q, protected)
+        best = M.best_match(q, protected, least=0.79)
         hits = best.withColumn("score", F.round("score", 9)).filter("score >= 0.8")
         return MO.join_hits(q, hits).select(
             F.col("qname").alias("domain"), F.round("score", 4).alias("score"), "target", "predicted_class",

@@ -76,8 +76,11 @@ edited as (
   from domains, unnest(range(1, length(domain) + 1)) t(i)),
 names as (select domain as qname from domains union select query from edited),
 protected as (
-  select host as domain, row_number() over (order by count(*) desc, host) - 1 as position
-  from hosts group by host),
+  select domain, row_number() over (order by sum(n) desc, domain) - 1 as position
+  from (select host as domain, 1 as n from hosts
+    union all select substr(md5('a' || c_custkey), 1, c_custkey % 7 + 5) || '.' || lower(c_mktsegment) || '.com', 0 from customer
+    union all select substr(md5('b' || c_custkey), 1, c_custkey % 11 + 5) || '.example.org', 0 from customer)
+  group by domain),
 labelled as (
   select domain as target_domain, query as query_domain, class as classification from edited
   union all select domain, domain, 'original' from domains
@@ -126,28 +129,33 @@ BINARY_SQL = f"with {HOSTS}, {EDITED} select target_domain, query_domain, classi
 # Similarity ratio by the longest common subsequence, over bit sets held in HUGEINT.
 CANDIDATES_SQL = f"""
 with {HOSTS}, {EDITED},
-masks as (select domain, position, string_split(domain, '') as cs, (cast(1 as hugeint) << length(domain)) - 1 as ones from protected),
-ends as (
-  select n.qname, m.domain, m.position, length(m.domain) as lt, list_reduce(
-    string_split(n.qname, ''),
-    lambda v, c: ((v + (v & list_sum(list_transform(range(0, len(m.cs)), lambda i:
-        case when m.cs[i + 1] = c then cast(1 as hugeint) << i else 0 end))::hugeint))
-      | (v - (v & list_sum(list_transform(range(0, len(m.cs)), lambda i:
-        case when m.cs[i + 1] = c then cast(1 as hugeint) << i else 0 end))::hugeint))) & m.ones,
-    m.ones) as v
+masks as (
+  select domain, position, length(domain) as lt, (cast(1 as hugeint) << length(domain)) - 1 as ones,
+    map_from_entries(list_transform(list_distinct(string_split(domain, '')), lambda c: (c,
+      list_sum(list_transform(range(0, length(domain)), lambda i:
+        case when substr(domain, i + 1, 1) = c then cast(1 as hugeint) << i else cast(0 as hugeint) end))::hugeint))) as bits
+  from protected),
+steps as (
+  select n.qname, m.position, list_reduce(
+    list_transform(string_split(n.qname, ''), lambda c: coalesce(m.bits[c], cast(0 as hugeint))),
+    lambda v, b: ((v + (v & b)) | (v - (v & b))) & m.ones, m.ones) as v, lt
   from names n, masks m),
-ratios as (select qname, domain as target, position, 2 * (lt - bit_count(v)) / (lt + length(qname)) as ratio from ends)
-select qname, target, position, {_r('ratio')} as ratio, rn as cand_no
-from (select *, row_number() over (partition by qname order by ratio desc, position) as rn from ratios) where rn <= 50
+ratios as (select qname, position, 2 * (lt - bit_count(v)) / (lt + length(qname)) as ratio from steps)
+select qname, domain as target, position, {_r('ratio')} as ratio, rn as cand_no
+from (select *, row_number() over (partition by qname order by ratio desc, position) as rn from ratios
+  qualify rn <= 50) join protected using (position)
 """
 
-_PV = _pair_values("p.domain", "n.qname")
+_PV = _pair_values("domain", "qname")
 BEST = f"""
+name_grams as materialized (select qname, {_grams('qname')} as g from names),
+list_grams as materialized (select domain, position, {_grams('domain')} as g from protected),
 near as (
-  select n.qname, p.domain, p.position, length(p.domain) - length(n.qname) as diff,
-    0.5 * ({_PV['jaro_similarity']}) + 0.2 * ({_PV['jaccard_similarity']})
+  select qname, domain, position, length(domain) - length(qname) as diff,
+    0.5 * ({_PV['jaro_similarity']}) + 0.2 * coalesce(shared / nullif(ng + lg - shared, 0), 0)
       + 0.3 * (1 - {_PV['normalized_levenshtein']}) as near
-  from names n, protected p),
+  from (select n.qname, p.domain, p.position, len(n.g) as ng, len(p.g) as lg, len(list_intersect(p.g, n.g)) as shared
+    from name_grams n, list_grams p)),
 scored as (
   select qname, domain, position, unnest([
     {{'i': 0, 'class': 'addition', 'score': case when diff < 0 then near else 0 end}},

@@ -249,7 +249,7 @@ def dga_alerts(spark, d):
 
 def typo_alerts(spark, d):
     q = DO.parse_queries(X.log_lines(spark, d))
-    best = M.best_match(q, X.protected(spark, d)).withColumn("score", F.round("score", 9))
+    best = M.best_match(q, X.protected(spark, d), least=0.79).withColumn("score", F.round("score", 9))
     hits = A.typo_alerts(join_hits(q, best.filter("score >= 0.8")), _later(2), threshold=0.8)
     return hits.select("detector", "domain", "score", "target", "predicted_class", "unbound_logged_at",
                        "detected_at", r("detection_delay_seconds", 6).alias("delay"))

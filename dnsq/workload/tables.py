@@ -116,11 +116,16 @@ def log_lines(spark, sf_dir, source: DataFrame | None = None) -> DataFrame:
 
 
 def protected(spark, sf_dir) -> DataFrame:
-    """X4: all hosts, those with most pages first.
+    """X4: all hosts, those with most pages first, then two made-up names for every customer.
 
     The list is cut into ranges; the counts of the ranges give the position that each starts from.
     """
-    counted = hosts_by_page(spark, sf_dir).groupBy(F.col("host").alias("domain")).count()
+    hosts = hosts_by_page(spark, sf_dir).select(F.col("host").alias("domain"), F.lit(1).alias("n"))
+    key = F.col("c_custkey")
+    made = [F.concat(F.substr(F.md5(F.concat(F.lit(mark), key.cast("string")).cast("binary")), F.lit(1), (key % size + 5).cast("int")), end)
+            for mark, size, end in (("a", 7, F.concat(F.lit("."), F.lower("c_mktsegment"), F.lit(".com"))), ("b", 11, F.lit(".example.org")))]
+    names = table(spark, sf_dir, "customer").select(F.explode(F.array(*made)).alias("domain"), F.lit(0).alias("n"))
+    counted = hosts.unionByName(names).groupBy("domain").agg(F.sum("n").alias("count"))
     order = [F.desc("count"), F.asc("domain")]
     ranged = cut_lineage(counted.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
