@@ -87,7 +87,7 @@ def _names(queries: DataFrame) -> DataFrame:
     """Distinct names. Scoring is heavy per row, so they keep a full set of partitions: an evenly dealt, stated
     number is not merged away as the few bytes of a name would suggest."""
     tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return queries.select("qname").filter(F.col("qname").isNotNull()).distinct().repartition(tasks, "qname")
+    return queries.select("qname").filter(F.col("qname").isNotNull()).distinct().repartition(tasks)
 
 
 def _packed(size: int):
