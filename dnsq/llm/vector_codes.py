@@ -26,7 +26,7 @@ SCALE = 4096
 PARTS = 8
 ENTRIES = 16
 ROUNDS = 6
-CELL_BITS = 9  # a cell is 2^9 units wide in every component, an eighth of 1.0
+CELL_BITS = 8  # a cell is 2^8 units wide in every component, a sixteenth of 1.0
 LARGEST = 1 << 26  # components from here on (16,384.0) would leave 64 bits in sums of squares
 KEPT_CELLS = 1 << 17  # cells of one part that a worker remembers before it starts anew
 
