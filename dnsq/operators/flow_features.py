@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexical, packets as P
 from ..functions.stats import STATS, statistic
+from ..session import cut_lineage
 from .flows import with_direction, with_previous
 
 def _when(flag: str, value: str) -> Column:
@@ -143,18 +144,18 @@ def handshakes(assigned: DataFrame) -> DataFrame:
     The handshake is the first SYN, the first later SYN+ACK that answers it and the first later
     ACK that answers that one; it counts only when another packet follows. `delta_start` is the
     time from the final ACK to the first packet that is none of the three, which may lie before
-    the end. Three aggregations over ever smaller inputs; no packet list is built.
+    the end. Three aggregations over ever smaller inputs; no packet list is built. They read `assigned` four times, so
+    give it kept (`session.cut_lineage`).
     """
     cols = ["flow_uid", "ts_us", "pkt_no", "tcp_flags", "seq", "ack"]
     at = F.struct("ts_us", "pkt_no")
-    # The transport is not part of the flow key. That of the first packet decides.
-    flows = assigned.groupBy("flow_uid").agg(
-        F.min_by("transport", at).alias("transport"), F.max(at).alias("end"))
     tcp = assigned.select(*cols)
     flag = lambda mask: P.has_flag(F.col("tcp_flags"), mask)
-    first = (
-        tcp.filter(flag(P.SYN)).groupBy("flow_uid")
-        .agg(F.min(F.struct("ts_us", "pkt_no", "seq")).alias("syn")))
+    # The transport is not part of the flow key. That of the first packet decides. The first SYN comes from the same pass.
+    flows = cut_lineage(assigned.groupBy("flow_uid").agg(
+        F.min_by("transport", at).alias("transport"), F.max(at).alias("end"),
+        F.min(F.when(flag(P.SYN), F.struct("ts_us", "pkt_no", "seq"))).alias("syn")))
+    first = flows.filter(F.col("syn").isNotNull() & (F.col("transport") == "TCP"))
     # Join keys hold sequence numbers as well as the flow, so a busy flow is spread.
     answers = (
         tcp.filter(flag(P.SYN) & flag(P.ACK)).withColumn("want", F.col("ack") - 1)
@@ -180,7 +181,7 @@ def handshakes(assigned: DataFrame) -> DataFrame:
     done = F.col("final").isNotNull() & (F.col("end") > F.col("final")) & (F.col("transport") == "TCP")
     micro = 1_000_000
     return (
-        flows.join(finals, "flow_uid", "left").join(heads, "flow_uid")
+        flows.drop("syn").join(finals, "flow_uid", "left").join(heads, "flow_uid")
         .select(
             "flow_uid",
             F.when(done, (F.col("final.ts_us") - F.col("syn.ts_us")) / micro).alias("handshake_duration"),

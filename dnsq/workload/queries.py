@@ -153,7 +153,9 @@ def flow_delta_time_stats(spark, d):
 
 
 def flow_handshake(spark, d):
-    return _rounded(FF.handshakes(FL.assign_flows(X.handshake_packets(spark, d), X.LIMITS)), 6)
+    assigned = FL.assign_flows(X.handshake_packets(spark, d), X.LIMITS)
+    narrow = assigned.select("flow_uid", "flow_key", "slot", "transport", "ts_us", "pkt_no", "tcp_flags", "seq", "ack")
+    return _rounded(FF.handshakes(cut_lineage(narrow)), 6)
 
 
 def flow_dns_records(spark, d):
