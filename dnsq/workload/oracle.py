@@ -358,12 +358,20 @@ from (select distinct flow_uid from a where protocol = 'DNS') f left join x usin
 
 WHOIS_SQL = f"""with {HOSTS},
 ranked as (select domain, row_number() over (order by md5('7|' || domain), domain) - 1 as r from domains),
-w as (select r.domain, s_name, n_name, o_orderdate from ranked r
+w as (select r.domain, r, s_name, n_name, r_name, cast(o_orderdate as date) as day, c_name, c_mktsegment from ranked r
   join supplier on s_suppkey = r.r % (select count(*) from supplier) join nation on n_nationkey = r.r % 25
-  join orders on o_orderkey = r.r where r.r % 5 <> 4)
-select d.domain || '.' as dns_domain_name, w.domain as dns_whois_domain_name, s_name as dns_domain_registrar,
-  n_name as dns_domain_country, strftime(o_orderdate, '%Y-%m-%d') as creation,
-  date_diff('day', cast(o_orderdate as date), date '2024-06-30') as dns_domain_age
+  join region on r_regionkey = n_regionkey join orders on o_orderkey = r.r join customer on c_custkey = r.r where r.r % 5 <> 4)
+select d.domain || '.' as dns_domain_name, w.domain as dns_whois_domain_name,
+  case when r % 7 <> 3 then 'admin@' || w.domain end as dns_domain_email, s_name as dns_domain_registrar,
+  strftime(day, '%Y-%m-%d') as dns_domain_creation_date,
+  strftime(day + cast(365 + r % 3 * 365 as int), '%Y-%m-%d') as dns_domain_expiration_date, n_name as dns_domain_country,
+  case r % 3 when 0 then 'signedDelegation' when 1 then 'unsigned' end as dns_domain_dnssec, c_name as dns_domain_organization,
+  r || ' ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' Road' as dns_domain_address,
+  array_to_string(list_transform(string_split(r_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') as dns_domain_city,
+  left(c_mktsegment, 2) as dns_domain_state, lpad(cast(r * 37 % 100000 as varchar), 5, '0') as dns_domain_zipcode,
+  coalesce(array_to_string(list_transform(range(1, r % 3 + 2), lambda i: 'ns' || i || '.' || w.domain), ','), '') as dns_domain_name_servers,
+  strftime(day + cast(r % 200 as int), '%Y-%m-%d') as dns_domain_updated_date,
+  date_diff('day', day, date '2024-06-30') as dns_domain_age
 from domains d left join w on w.domain = d.domain"""
 
 ALERTS = """

@@ -183,8 +183,10 @@ def protocol_mix(spark, d):
 def whois_enrich(spark, d):
     names = X.domains(spark, d).select(F.concat("domain", F.lit(".")).alias("dns_domain_name"))
     out = enrich.with_whois(names, X.whois(spark, d), AS_OF)
-    return out.select("dns_domain_name", "dns_whois_domain_name", "dns_domain_registrar", "dns_domain_country",
-                      F.date_format("dns_domain_creation_date", "yyyy-MM-dd").alias("creation"), "dns_domain_age")
+    days = [c for c, source in enrich.WHOIS_SOURCE.items() if source.endswith("_date")]
+    out = out.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in days}).withColumn(
+        "dns_domain_name_servers", F.concat_ws(",", "dns_domain_name_servers"))
+    return out.select("dns_domain_name", *enrich.WHOIS_COLUMNS)
 
 
 # Delays

@@ -193,19 +193,34 @@ def alerts(spark, sf_dir, ev: DataFrame | None = None) -> DataFrame:
 
 
 def whois(spark, sf_dir) -> DataFrame:
-    """X7: registration rows for four of five hosts, numbered in seeded order."""
+    """X7: registration rows with all fields for four of five hosts, numbered in seeded order."""
     ranked = numbered(domains(spark, sf_dir), 7).withColumnRenamed("idx", "r")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     n = suppliers.count()
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    regions = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    nations = table(spark, sf_dir, "nation").join(F.broadcast(regions), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        "n_nationkey", "n_name", "r_name")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    r, day = F.col("r"), F.to_date("o_orderdate")
+    domain, number = F.col("domain"), F.col("r").cast("string")
     return (
-        ranked.filter(F.col("r") % 5 != 4)
-        .join(suppliers, F.col("s_suppkey") == F.col("r") % n)
-        .join(nations, F.col("n_nationkey") == F.col("r") % 25)
-        .join(orders, F.col("o_orderkey") == F.col("r"))
-        .select("domain", F.col("domain").alias("domain_name"), F.col("s_name").alias("registrar"),
-                F.col("n_name").alias("country"), F.col("o_orderdate").alias("creation_date")))
+        ranked.filter(r % 5 != 4)
+        .join(suppliers, F.col("s_suppkey") == r % n)
+        .join(nations, F.col("n_nationkey") == r % 25)
+        .join(orders, F.col("o_orderkey") == r)
+        .join(customers, F.col("c_custkey") == r)
+        .select("domain", domain.alias("domain_name"), F.col("s_name").alias("registrar"),
+                F.col("n_name").alias("country"), F.col("o_orderdate").alias("creation_date"),
+                F.when(r % 7 != 3, F.concat(F.lit("admin@"), domain)).alias("emails"),
+                F.date_add(day, (r % 3 * 365 + 365).cast("int")).cast("timestamp").alias("expiration_date"),
+                F.date_add(day, (r % 200).cast("int")).cast("timestamp").alias("updated_date"),
+                F.when(r % 3 == 0, "signedDelegation").when(r % 3 == 1, "unsigned").alias("dnssec"),
+                F.col("c_name").alias("org"), F.concat(number, F.lit(" "), F.initcap("c_mktsegment"), F.lit(" Road")).alias("address"),
+                F.initcap("r_name").alias("city"), F.left("c_mktsegment", F.lit(2)).alias("state"),
+                F.lpad((r * 37 % 100_000).cast("string"), 5, "0").alias("zipcode"),
+                F.transform(F.sequence(F.lit(1), (r % 3 + 1).cast("int")), lambda i: F.concat(
+                    F.lit("ns"), i.cast("string"), F.lit("."), domain)).alias("name_servers")))
 
 
 def classes(spark, sf_dir) -> DataFrame:
