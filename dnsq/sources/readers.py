@@ -9,16 +9,45 @@ from pyspark.sql import types as T
 
 from ..operators.datasets import stack
 from ..operators.flows import keep_transport_packets
+from ..session import attach, cut_lineage
 from . import schemas
 
 
+# Files number their packets from 0 each; up to this many packets a file, numbers over several files are unique.
+FILE_PACKETS = 1 << 40
+
+
+def number_over_files(packets: DataFrame, file: str = "_file") -> DataFrame:
+    """Packet numbers that are unique over all files: those of the n-th file (by name, n from 0) start at n * FILE_PACKETS.
+
+    The first file keeps its numbers, and order within a file stays. The list of files has one row per file, and only file
+    names are read for it. The column `file` is dropped.
+    """
+    order = Window.orderBy(file)  # a row per file
+    files = packets.select(file).distinct().withColumn("_rank", F.row_number().over(order) - 1)
+    return attach(packets, cut_lineage(files), [file]).withColumn(
+        "pkt_no", F.col("_rank") * FILE_PACKETS + F.col("pkt_no")).drop(file, "_rank")
+
+
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    """Packet files; IPv4 over TCP or UDP only (the filter is pushed into the scan)."""
-    return keep_transport_packets(spark.read.schema(schemas.PACKET).parquet(path))
+    """Packet files; IPv4 over TCP or UDP only (the filter is pushed into the scan). Several files may number
+    their packets alike: see `number_over_files`."""
+    rows = spark.read.schema(schemas.PACKET).parquet(path)
+    if len(rows.inputFiles()) < 2:
+        return keep_transport_packets(rows)
+    return keep_transport_packets(number_over_files(rows.select("*", F.col("_metadata.file_path").alias("_file")))).select(
+        *schemas.PACKET.fieldNames())
+
+
+def decoded(lines: DataFrame) -> DataFrame:
+    """Lines (`value`) without the bytes that are no UTF-8 text; the bytes around them stay together."""
+    kept = F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))
+    return lines.withColumn("value", F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(kept))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path)
+    """Log lines; broken bytes are dropped."""
+    return decoded(spark.read.text(path))
 
 
 def read_flow_table(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:
@@ -109,7 +138,7 @@ def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
 # Streams. The directories hold finished files, moved in atomically.
 
 def stream_log(spark: SparkSession, path: str, files_per_trigger: int = 200) -> DataFrame:
-    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    return decoded(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path))
 
 
 def stream_packets(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:

@@ -208,17 +208,35 @@ def stream_flow_scores(spark, d):
     return spark.read.schema("row_index bigint, score double").parquet(f"{where}/out").select("row_index", "score")
 
 
+def _packet_files(spark, d, where: str, files: int = 5) -> DataFrame:
+    """The packets written as some files (one per `chunk`), each numbered from 0. Returns the rows as written."""
+    rows = X.packets(spark, d, sections=False).withColumn("chunk", F.concat(F.lit("file"), F.col("pkt_no") % files)).withColumn(
+        "pkt_no", F.expr(f"pkt_no div {files}"))
+    rows.repartition("chunk").write.partitionBy("chunk").parquet(f"{where}/in")
+    return rows
+
+
 def stream_chunks(spark, d):
-    """A stream of packet rows assigned micro-batch by micro-batch, rows appended to one table."""
+    """A stream of packet files numbered alike, one per micro-batch; no flow crosses a file, rows are appended to one table."""
     where = _place(spark, "chunks")
-    packets = X.packets(spark, d, sections=False, ev=X.events(spark, d, False, _event_stream(spark, d))).withColumn(
-        "chunk", F.lit("events"))
+    schema = _packet_files(spark, d, where).schema
+    packets = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
     handle = SJ.chunk_handler(lambda a: a.groupBy("flow_uid").agg(
         F.count(F.lit(1)).alias("packets"), F.sum("len").alias("bytes")), X.LIMITS)
     SJ.start(packets, handle, f"{where}/out", f"{where}/checkpoint", None, "parquet").awaitTermination()
     return spark.read.parquet(f"{where}/out").drop("batch")
 
 
+def packet_files(spark, d):
+    """Flows over all packet files read at once; the files number their packets alike, and flows cross them."""
+    where = _place(spark, "packet-files")
+    _packet_files(spark, d, where)
+    assigned = FL.assign_flows(readers.read_packets(spark, f"{where}/in"), X.LIMITS)
+    return assigned.groupBy("flow_uid").agg(
+        F.count(F.lit(1)).alias("packets"), F.sum("len").alias("bytes"), F.min("ts_us").alias("start_us"),
+        F.max("ts_us").alias("end_us")).drop("flow_uid")
+
+
 def idle_sessions(spark, d):
     """Flows by idle gap alone, with built-in session windows."""
     s = SF.idle_sessions(X.packets(spark, d, sections=False), X.IDLE_ONLY)
@@ -228,5 +246,5 @@ def idle_sessions(spark, d):
 JOBS = {f.__name__: f for f in (
     train_lr, train_rf, train_gbt, train_overfitting, train_balanced_rf, train_pairs_binary, train_tunnel,
     feature_importance, dga_model_alerts, typo_model_matches, flow_feature_rows, stream_delays, stream_log_alerts, stream_flows,
-    stream_flow_scores, stream_chunks, idle_sessions,
+    stream_flow_scores, stream_chunks, packet_files, idle_sessions,
 )}

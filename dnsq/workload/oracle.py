@@ -214,6 +214,7 @@ a as (
 
 
 FULL = _flows(86400, 86400, 5 * 86400, True)
+CHUNKED = FULL.replace("case when protocol = 'DNS' then 'id' || txid", "(e % 5) || '|' || case when protocol = 'DNS' then 'id' || txid")
 FLOW_ROWS = " select flow_uid, count(*) as packets, min(ts_us) as start_us, max(ts_us) as end_us from a group by flow_uid"
 
 
@@ -626,8 +627,10 @@ ORACLE = {
     "stream_log_alerts": STREAM_ALERTS_SQL,
     "stream_flows": STREAM_FLOWS_SQL,
     "stream_flow_scores": STREAM_SCORES_SQL,
-    "stream_chunks": f"with recursive {FULL} select 'events:' || flow_uid as flow_uid, count(*) as packets, cast(sum(len) as bigint) as bytes "
-                     "from a group by flow_uid",
+    "stream_chunks": f"with recursive {CHUNKED} select 'file' || flow_uid % 5 || ':' || flow_uid // 5 as flow_uid, "
+                     "count(*) as packets, cast(sum(len) as bigint) as bytes from a group by flow_uid",
+    "packet_files": f"with recursive {FULL} select count(*) as packets, cast(sum(len) as bigint) as bytes, min(ts_us) as start_us, "
+                    "max(ts_us) as end_us from a group by flow_uid",
     "idle_sessions": SESSIONS_SQL,
     "log_parse": f"with {LINES} select client, qname, {BASE} as base, logged_us from q",
     "log_totals": f"with {LINES} select count(*) as lines_total, count(*) filter (where client is not null and qname is not null "

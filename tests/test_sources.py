@@ -1,3 +1,5 @@
+import datetime
+
 import json
 
 import pytest
@@ -90,3 +92,35 @@ def test_small_sinks(spark, path):
     S.write_scored(top, f"{path}/s", "csv")
     S.write_scored(top, f"{path}/sp")
     assert spark.read.parquet(f"{path}/sp").count() == 2 and spark.read.csv(f"{path}/s").count() >= 2
+
+
+def test_packet_files_numbered_alike(spark, tmp_path):
+    from dnsq.operators.flows import FlowLimits, assign_flows
+    from dnsq.sources import schemas
+
+    def packet(no, second, port):
+        row = dict.fromkeys(schemas.PACKET.fieldNames())
+        row.update(pkt_no=no, ts=datetime.datetime(2024, 1, 1, 0, 0, second), ip_version=4, transport="TCP", src_ip="10.0.0.1",
+                   dst_ip="10.0.0.2", src_port=port, dst_port=80, len=60, tcp_flags=16, seq=1, ack=1)
+        return tuple(row[c] for c in schemas.PACKET.fieldNames())
+
+    # The second file goes on with the first one's flow and has one of its own; both number from 0.
+    for name, rows in (("a", [packet(0, 0, 1000), packet(1, 1, 1000)]), ("b", [packet(0, 2, 1000), packet(1, 3, 2000)])):
+        spark.createDataFrame(rows, schemas.PACKET).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    packets = R.read_packets(spark, f"{tmp_path}/*")
+    assert packets.columns == schemas.PACKET.fieldNames()
+    assert sorted(r.pkt_no for r in packets.collect()) == [0, 1, R.FILE_PACKETS, R.FILE_PACKETS + 1]
+    flows = assign_flows(packets, FlowLimits()).groupBy("flow_uid").count().collect()
+    assert sorted(r["count"] for r in flows) == [1, 3]
+    assert sorted(r.pkt_no for r in R.read_packets(spark, f"{tmp_path}/a").collect()) == [0, 1]
+
+
+def test_broken_bytes_are_dropped(spark, tmp_path):
+    from dnsq.operators.domains import parse_queries
+
+    lines = [b"[1] 1.2.3.4 exa\xffmple.com. A IN", "[2] 1.2.3.4 good.com. A IN �".encode(), b"\xc3(", b"\xe2\x82", "é".encode()]
+    (tmp_path / "x.log").write_bytes(b"\n".join(lines) + b"\n")
+    got = sorted(r.value for r in R.read_log(spark, f"{tmp_path}/x.log").collect())
+    assert got == sorted(x.decode("utf-8", "ignore") for x in lines)
+    names = {r.qname for r in parse_queries(R.read_log(spark, f"{tmp_path}/x.log")).collect()}
+    assert names == {"example.com", "good.com"}
