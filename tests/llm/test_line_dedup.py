@@ -71,9 +71,34 @@ def test_empty_table(spark):
     assert out.count() == 0 and out.columns[-2:] == ["n_lines", "n_dropped"]
 
 
-def test_beyond_the_broadcast_limit(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BROADCAST_BLOCKS", 0)
-    check(spark, [(i, f"{LONG}\n{prose(i, 20)}") for i in range(30)])
+@pytest.mark.parametrize("limits", [{"BROADCAST_BLOCKS": 0}, {"BROADCAST_BLOCKS": 0, "FEW_HASHES": 0}, {"FEW_KEYS": 0},
+                                    {"BROADCAST_BLOCKS": 0, "FEW_KEYS": 0}])
+def test_beyond_the_limits(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check(spark, [(i, f"{LONG}\n{prose(i, 20)}\n{LONG.upper()}  \nshort") for i in range(30)] + [(None, LONG), (77, None), (78, "")], clash=True)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_documents_and_lines_stay_where_they_are(spark, monkeypatch):
+    """Without automatic broadcasts: documents pass without an exchange, and only hashes meet a large filter."""
+    docs = table(spark, [(i, f"{LONG}\n{prose(i, 20)}", "en", "s", 1) for i in range(30)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    docs = docs.sparkSession.createDataFrame(docs.collect(), docs.schema)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in line_dedup.drop_repeated_lines(docs)._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(line_dedup, "BROADCAST_BLOCKS", 0)
+        base = docs.selectExpr("doc_id as id", "text")
+        suspects, plain = line_dedup._suspects(base, 40)
+        assert plain and "BroadcastHashJoin [h" in suspects._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_the_filter_misses_no_repeat_and_suspects_few(spark):
