@@ -20,7 +20,7 @@ from .common import bound_batches, ship
 CELLS = 1 << 16
 SMOOTHING = 0.5
 UNKNOWN = "und"
-MAX_SET = 4  # languages of one text
+SURE_SETS = 4  # sizes of a language set that are tried for every text; larger ones while they fit better
 ROUNDS, SET_ROUNDS = 6, 4
 CHARS = 1 << 20  # characters handled at a time; a longer text is handled alone
 _LETTERS: list[np.ndarray] = []
@@ -139,12 +139,17 @@ def shares(texts: list, logs: np.ndarray) -> np.ndarray:
         rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
         words = np.maximum(np.bincount(row, minlength=n), 1)
         best, best_fit = share, np.full(n, -np.inf)
-        for size in range(1, min(MAX_SET, n_langs) + 1):
+        growing = np.ones(n, dtype=bool)
+        for size in range(1, n_langs + 1):
             s, fit = _mixture(like, row, (rank < size).astype(float), SET_ROUNDS if size > 1 else 0)
             fit = fit - 0.5 * np.log(words) * size
-            better = fit > best_fit
+            better = growing & (fit > best_fit)
             best = np.where(better[:, None], s, best)
             best_fit = np.where(better, fit, best_fit)
+            if size >= SURE_SETS:  # from here on a text's set grows only while that pays
+                growing &= better
+                if not growing.any():
+                    break
         best[np.bincount(row, minlength=n) == 0] = 0
         out[start : start + n] = best
     return out
@@ -186,8 +191,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
 
 def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text",
-               min_score: float = 0.3) -> DataFrame:
-    """The rows of `docs`, all columns, whose text has a language with at least this share."""
+               min_score: float = 0.0) -> DataFrame:
+    """The rows of `docs`, all columns, whose text has a language (is not `und`), with at least this share if one is named.
+
+    NULL, empty and letterless texts go; repeated rows go or stay together; an empty table stays empty.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     langs, logs = model

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from dnsq.llm import language as L
 
@@ -54,3 +55,20 @@ def test_filter_and_empty_tables(spark):
     empty = L.train(table(spark, []))
     assert empty[0] == [] and L.predict(table(spark, ["some text"]), empty).first().lang_pred == "und"
     assert L.predict(table(spark, []), m).count() == 0 and L.identified(table(spark, []), m).count() == 0
+
+
+def test_sets_grow_while_that_fits_better():
+    """Six languages of letters of their own: a text of all six has six shares, whatever else is in its batch."""
+    rng = np.random.default_rng(1)
+    letters = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+    words = [["".join(rng.choice(list(alphabet), 6)) for _ in range(300)] for alphabet in letters]
+    logs = np.zeros((6, L.CELLS))
+    for i, own in enumerate(words):
+        cells, _, _ = L.trigrams([" ".join(own)])
+        logs[i] = np.bincount(cells, minlength=L.CELLS)
+    logs = np.log((logs + 0.1) / (logs + 0.1).sum(axis=1, keepdims=True)).astype(np.float32)
+    mixed = " ".join(w for ws in words for w in ws[:50])
+    got = L.shares([mixed, " ".join(words[2]), ""], logs)
+    assert (got[0] > 0.1).all() and got[0].sum() == pytest.approx(1)
+    assert (got[1] > 0).tolist() == [False, False, True, False, False, False] and not got[2].any()
+    assert L.shares([mixed], logs)[0] == pytest.approx(got[0])
