@@ -144,9 +144,10 @@ def _shared(table: pa.Table) -> pa.Table:
     flushes = table["flush"].to_pylist()
     several &= slots >= 0
     rows, slots = row[several], slots[several]
+    edges = np.searchsorted(rows, np.arange(len(flushes) + 1))  # keys lie in the order of their rows
     out = []
-    for r in np.unique(rows).tolist():
-        slot, n = np.unique(slots[rows == r], return_counts=True)
+    for r in np.flatnonzero(np.diff(edges)).tolist():
+        slot, n = np.unique(slots[edges[r] : edges[r + 1]], return_counts=True)
         out.append({"flush": flushes[r], "counts": n.astype(np.int32).tobytes(), "slots": slot.astype(np.int32).tobytes()})
     schema = pa.schema([("flush", pa.int64()), ("counts", pa.binary()), *list(_PIECE_ARROW)[3:]])
     return pa.Table.from_pylist(out, schema=schema)
@@ -227,10 +228,12 @@ def _counted(table: pa.Table) -> pa.Table:
     distinct, where = np.unique(keys, return_inverse=True)
     total = np.bincount(where, weights=counts, minlength=len(distinct)).astype(np.int64)[where]
     flushes, out = table["flush"].to_pylist(), []
-    for r in range(len(flushes)):
-        at = np.flatnonzero((row == r) & (total > 1))
-        if len(at):
-            out.append({"flush": flushes[r], "keys": keys[at].tobytes(), "counts": total[at].tobytes()})
+    several = total > 1
+    keys, total = keys[several], total[several]
+    edges = np.searchsorted(row[several], np.arange(len(flushes) + 1))  # keys lie in the order of their rows
+    for r in np.flatnonzero(np.diff(edges)).tolist():
+        a, b = edges[r], edges[r + 1]
+        out.append({"flush": flushes[r], "keys": keys[a:b].tobytes(), "counts": total[a:b].tobytes()})
     return pa.Table.from_pylist(out, schema=pa.schema([("flush", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
 
