@@ -10,7 +10,7 @@ from dnsq.llm.queries import tokenizer_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which some language holds a fair share stay; those without letters go."""
+    """Documents with a language stay; those without letters go."""
     model = language.train(docs.filter(~held_out("doc_id")))
     return language.identified(docs, model)
 
