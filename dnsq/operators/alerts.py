@@ -74,6 +74,26 @@ def tunnel_alerts(scored: DataFrame, detected_at: Column, row_seen_at: Column,
         logged.alias("_logged"), row_seen_at.alias("_row_seen"), detected_at.alias("_detected")))
 
 
+def tunnel_findings(scored: DataFrame, threshold: float = TUNNEL_THRESHOLD) -> DataFrame:
+    """Rows that a batch run reports: `row_index`, label, score to six places and endpoints. A text
+    column that the table lacks, or a NULL in it, is an empty text."""
+    def text(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit("")) if c in scored.columns else F.lit("")
+
+    return scored.filter(F.col("malicious_score") >= threshold).select(
+        "row_index", "predicted_label", F.round("malicious_score", 6).alias("malicious_score"),
+        *[text(c).alias(c) for c in ("dns_domain_name", "src_ip", "dst_ip")])
+
+
+def row_index(flows: DataFrame) -> Column:
+    """What an alert calls its flow: the table's own `row_index`, else `flow_uid` (a text over several packet
+    files), else a hash of its id."""
+    for c in ("row_index", "flow_uid"):
+        if c in flows.columns:
+            return F.col(c)
+    return F.xxhash64("flow_id")
+
+
 def attack_class(labels: list[str], batch: bool = False) -> int | None:
     """Position of the class that means an attack: a known name, else the second of two, else none."""
     lowered = {str(name).lower(): i for i, name in enumerate(labels)}

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import attach, cut_lineage
+from . import formulas as FO
 from .alerts import attack_class, hard_label_score
 from .datasets import class_weights
 from .metrics import METRICS, binary_metrics
@@ -24,10 +25,10 @@ DEEPEST = 30  # the largest depth that Spark ML takes; the established forests h
 
 @dataclass
 class Bundle:
-    """A fitted model with what scoring needs: label names by code, feature columns in order, and
-    the codes of text columns."""
+    """A fitted model, or a formula, with what scoring needs: label names by code, feature columns in
+    order, and the codes of text columns."""
 
-    model: PipelineModel
+    model: PipelineModel | FO.Formula
     labels: list[str]
     feature_columns: list[str]
     text_codes: dict[str, DataFrame] = field(default_factory=dict)
@@ -49,8 +50,8 @@ def numeric(df: DataFrame, name: str) -> Column:
     return F.when(value.isNull() | F.isnan(value), F.lit(-1.0)).otherwise(value)
 
 
-def with_vector(df: DataFrame, columns: list[str], text_codes: dict[str, DataFrame] | None = None) -> DataFrame:
-    """`features` beside the columns. Text columns with codes are looked up; a text without a code is -1.0."""
+def with_inputs(df: DataFrame, columns: list[str], text_codes: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The array `features` beside the columns. Text columns with codes are looked up; a text without a code is -1.0."""
     coded = {c: t for c, t in (text_codes or {}).items() if c in df.columns}
     rows = df
     for i, (c, table) in enumerate(coded.items()):
@@ -58,8 +59,13 @@ def with_vector(df: DataFrame, columns: list[str], text_codes: dict[str, DataFra
         side = table.select(F.col("value").alias(key), F.col("code").cast("double").alias(f"_code{i}"))
         rows = attach(rows.withColumn(key, F.col(c).cast("string")), side, [key], "left")
     at = {c: F.coalesce(F.col(f"_code{i}"), F.lit(-1.0)) for i, c in enumerate(coded)}
-    vector = array_to_vector(F.array(*[at[c] if c in at else numeric(df, c) for c in columns]))
-    return rows.withColumn("features", vector).select(*df.columns, "features")
+    inputs = F.array(*[at[c] if c in at else numeric(df, c) for c in columns])
+    return rows.withColumn("features", inputs).select(*df.columns, "features")
+
+
+def with_vector(df: DataFrame, columns: list[str], text_codes: dict[str, DataFrame] | None = None) -> DataFrame:
+    """`with_inputs` with a vector as the learners take it."""
+    return with_inputs(df, columns, text_codes).withColumn("features", array_to_vector("features"))
 
 
 def text_codes(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
@@ -143,6 +149,12 @@ def save(bundle: Bundle, path: str) -> None:
     spark.createDataFrame([(json.dumps(side),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
 
+def as_formula(bundle: Bundle) -> Bundle:
+    """The same model as an expression."""
+    return Bundle(FO.from_fitted(SparkSession.getActiveSession(), bundle.model), bundle.labels, bundle.feature_columns,
+                  bundle.text_codes)
+
+
 def load(path: str) -> Bundle:
     spark = SparkSession.getActiveSession()
     side = json.loads(spark.read.text(f"{path}/about").first()["value"])
@@ -155,8 +167,13 @@ def score(df: DataFrame, bundle: Bundle) -> DataFrame:
 
     `scores` is NULL for a model without probabilities.
     """
-    out = bundle.model.transform(with_vector(df, bundle.feature_columns, bundle.text_codes))
     names = F.array(*[F.lit(x) for x in bundle.labels])
+    if not isinstance(bundle.model, PipelineModel):
+        rows = FO.scores(bundle.model, with_inputs(df, bundle.feature_columns, bundle.text_codes), "features")
+        by_label = F.lit(None).cast("map<string,double>") if bundle.model.hard else F.map_from_arrays(names, "_scores")
+        return rows.select(*df.columns, F.get(names, FO.best(F.col("_scores"))).alias("predicted_label"),
+                           by_label.alias("scores"))
+    out = bundle.model.transform(with_vector(df, bundle.feature_columns, bundle.text_codes))
     label = F.get(names, F.col("prediction").cast("int"))
     if "probability" in out.columns:
         probabilities = F.slice(vector_to_array("probability"), 1, len(bundle.labels))
@@ -194,6 +211,8 @@ def score_flows(flows: DataFrame, bundle: Bundle, batch: bool = True) -> DataFra
 
 
 def _has_probabilities(bundle: Bundle) -> bool:
+    if not isinstance(bundle.model, PipelineModel):
+        return not bundle.model.hard
     return bundle.classifier.hasParam("probabilityCol")
 
 

@@ -58,10 +58,11 @@ def typo_detection(lines: DataFrame, protected: DataFrame, bundle: MO.Bundle | N
 
 
 def tunnel_scoring(flows: DataFrame, bundle: MO.Bundle, threshold: float = A.TUNNEL_THRESHOLD) -> dict:
-    """Flow table to the scored table, its summary row and the names of missing model columns."""
+    """Flow table to the scored table, its alert rows, its summary row and the names of missing model columns."""
     scored = MO.score_flows(flows, bundle)
     return {
         "scored": scored,
+        "alerts": A.tunnel_findings(scored.withColumn("row_index", A.row_index(flows)), threshold),
         "summary": MO.score_summary(scored, threshold),
         "missing_feature_columns": MO.missing_columns(bundle.feature_columns, flows.columns),
     }

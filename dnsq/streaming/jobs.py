@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import alerts as A, delays as DL, domains as DO, models as MO
+from ..operators import alerts as A, delays as DL, domains as DO, flow_features as FF, models as MO
 from ..operators.flows import FlowLimits, assign_flows
 from ..plans.jobs import dga_detection, typo_detection
+from ..session import cut_lineage
 
 
 def start(rows: DataFrame, handle: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
@@ -31,6 +32,25 @@ def start(rows: DataFrame, handle: Callable[[DataFrame], DataFrame], out: str, c
     return writer.start()
 
 
+def start_chain(rows: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]], out: str, checkpoint: str,
+                interval: str | None = "1 second") -> StreamingQuery:
+    """Run every micro-batch through all `steps`, each on what the step before it wrote.
+
+    Step `name` writes Parquet to `out`/name/batch=<id> and the next one reads that folder, so no step is computed
+    twice. A batch that runs again replaces its folders from the first step on, so all steps stay in line.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        for name, step in steps.items():
+            done = step(batch)
+            place = f"{out}/{name}/batch={batch_id}"
+            done.write.mode("overwrite").parquet(place)
+            batch = batch.sparkSession.read.schema(done.schema).parquet(place)
+
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)
+    return writer.start()
+
+
 # Handlers for `start`: micro-batch in, alerts out. A batch is scored per distinct name.
 
 def dga_handler(bundle: MO.Bundle, threshold: float = A.DGA_THRESHOLD) -> Callable[[DataFrame], DataFrame]:
@@ -44,10 +64,9 @@ def typo_handler(bundle: MO.Bundle | None, protected: DataFrame, threshold: floa
 
 
 def tunnel_handler(bundle: MO.Bundle, threshold: float = A.TUNNEL_THRESHOLD) -> Callable[[DataFrame], DataFrame]:
-    """Flow rows to alerts. `row_index` is the row's `flow_uid` where it has one, else a hash of its id."""
+    """Flow rows to alerts, named by `alerts.row_index`."""
     def handle(flows: DataFrame) -> DataFrame:
-        index = F.col("flow_uid").cast("bigint") if "flow_uid" in flows.columns else F.xxhash64("flow_id")
-        seen = flows.withColumn("row_index", index)
+        seen = flows.withColumn("row_index", A.row_index(flows))
         scored = MO.score_flows(seen, bundle, batch=False)
         missing = MO.missing_columns(bundle.feature_columns, flows.columns)
         return A.tunnel_alerts(scored, F.current_timestamp(), F.current_timestamp(), threshold, missing,
@@ -71,6 +90,16 @@ def chunk_handler(features: Callable[[DataFrame], DataFrame], limits: FlowLimits
     return handle
 
 
+def live_chain(bundle: MO.Bundle, limits: FlowLimits = FlowLimits(), threshold: float = A.TUNNEL_THRESHOLD,
+               **options) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """Steps for `start_chain`: packet files to flow features to tunnelling alerts. `options` are those of
+    `flow_features`; the assignment feeds several aggregations, so it is kept."""
+    return {
+        "flows": chunk_handler(lambda assigned: FF.flow_features(cut_lineage(assigned), **options), limits),
+        "alerts": tunnel_handler(bundle, threshold),
+    }
+
+
 # Delay report over two streams. Each stream adds one row per name and micro-batch, the earliest time in it; the
 # report takes the earliest of these rows, so it equals the batch report over all lines and alerts read so far,
 # however late a line or an alert comes.

@@ -208,9 +208,9 @@ def stream_flow_scores(spark, d):
     return spark.read.schema("row_index bigint, score double").parquet(f"{where}/out").select("row_index", "score")
 
 
-def _packet_files(spark, d, where: str, files: int = 5) -> DataFrame:
+def _packet_files(spark, d, where: str, files: int = 5, sections: bool = False) -> DataFrame:
     """The packets written as some files (one per `chunk`), each numbered from 0. Returns the rows as written."""
-    rows = X.packets(spark, d, sections=False).withColumn("chunk", F.concat(F.lit("file"), F.col("pkt_no") % files)).withColumn(
+    rows = X.packets(spark, d, sections=sections).withColumn("chunk", F.concat(F.lit("file"), F.col("pkt_no") % files)).withColumn(
         "pkt_no", F.expr(f"pkt_no div {files}"))
     rows.repartition("chunk").write.partitionBy("chunk").parquet(f"{where}/in")
     return rows
