@@ -100,11 +100,6 @@ def typo_model_matches(spark, d):
     return model_matches(X.queried_names(spark, d), X.protected(spark, d), bundle, 50)
 
 
-def flow_feature_rows(spark, d):
-    """The wide feature table."""
-    return flow_feature_table(X.packets(spark, d), X.LIMITS, whois=X.whois(spark, d), as_of="2024-06-30")
-
-
 # Streams, run to the end of what is there
 
 @contextmanager
@@ -245,6 +240,6 @@ def idle_sessions(spark, d):
 
 JOBS = {f.__name__: f for f in (
     train_lr, train_rf, train_gbt, train_overfitting, train_balanced_rf, train_pairs_binary, train_tunnel,
-    feature_importance, dga_model_alerts, typo_model_matches, flow_feature_rows, stream_delays, stream_log_alerts, stream_flows,
+    feature_importance, dga_model_alerts, typo_model_matches, stream_delays, stream_log_alerts, stream_flows,
     stream_flow_scores, stream_chunks, packet_files, idle_sessions,
 )}

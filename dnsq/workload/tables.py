@@ -93,11 +93,11 @@ def packets(spark, sf_dir, keep_type: bool = False, sections: bool = True,
     )
 
 
-def handshake_packets(spark, sf_dir) -> DataFrame:
+def handshake_packets(spark, sf_dir, sections: bool = False) -> DataFrame:
     """X1 with flags and sequence numbers that sometimes make a handshake."""
     e = F.col("pkt_no")
     t = F.col("event_type")
-    return packets(spark, sf_dir, keep_type=True, sections=False).withColumns({
+    return packets(spark, sf_dir, keep_type=True, sections=sections).withColumns({
         "tcp_flags": F.when(F.col("transport") == "UDP", 0).when(t == "signup", P.SYN)
         .when(t == "click", P.SYN | P.ACK).otherwise(P.ACK),
         "seq": e % 2, "ack": F.expr("(pkt_no div 2) % 2 + 1"),
