@@ -36,7 +36,7 @@ ALERT = T.StructType([
     T.StructField("scores", T.MapType(T.StringType(), T.DoubleType())),
     T.StructField("target", T.StringType()),
     T.StructField("predicted_class", T.StringType()),
-    T.StructField("row_index", T.LongType()),
+    T.StructField("row_index", T.StringType()),  # a number, or file:number over several packet files
     T.StructField("src_ip", T.StringType()),
     T.StructField("dst_ip", T.StringType()),
     T.StructField("dns_domain_name", T.StringType()),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from dnsq.functions import lexical
 from dnsq.operators import alerts as A, formulas as FO, models as MO
 from dnsq.plans import jobs
+from dnsq.sources.readers import parse_alerts
 from dnsq.streaming import jobs as SJ
 from dnsq.workload import fixed_models as FM
 from tests.test_models import SMALL, domains, trained  # noqa: F401
@@ -73,3 +74,9 @@ def test_a_batch_that_runs_again_replaces_its_rows(spark, tmp_path):
         SJ.start_chain(stream, steps, f"{tmp_path}/out", f"{tmp_path}/cp{i}", None).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out/double").count() == 4
     assert sorted(r.x for r in spark.read.parquet(f"{tmp_path}/out/large").collect()) == [4.0, 6.0]
+
+
+def test_alert_logs_keep_both_forms_of_a_row_index(spark):
+    lines = spark.createDataFrame([('{"detector": "DNS_TUNNELING", "row_index": 7}',), ('{"detector": "DNS_TUNNELING", "row_index": "file1:7"}',)],
+                                  "value string")
+    assert [r.row_index for r in parse_alerts(lines).collect()] == ["7", "file1:7"]
