@@ -43,7 +43,7 @@ def with_protocol(packets: DataFrame) -> DataFrame:
     return packets.withColumn("protocol", P.app_protocol(F.col("src_port"), F.col("dst_port")))
 
 
-def _keyed(packets: DataFrame, limits: FlowLimits, slot_us: int) -> DataFrame:
+def _keyed(packets: DataFrame, limits: FlowLimits) -> DataFrame:
     app = P.app_protocol(F.col("src_port"), F.col("dst_port"))
     dns = F.col("protocol") == "DNS"
     key = P.flow_key(F.col("protocol"), F.col("src_ip"), F.col("dst_ip"), F.col("src_port"),
@@ -55,7 +55,6 @@ def _keyed(packets: DataFrame, limits: FlowLimits, slot_us: int) -> DataFrame:
         packets.withColumn("protocol", app)
         .withColumn("ts_us", P.micros(F.col("ts")))
         .withColumn("flow_key", key)
-        .withColumn("slot", F.expr(f"ts_us div {slot_us}"))
         .withColumn("_idle_us", F.when(dns, int(limits.dns_activity_timeout * 1_000_000))
                     .otherwise(int(limits.activity_timeout * 1_000_000)).cast("bigint"))
         .withColumn("_fin", F.when(ends & P.has_flag(F.col("tcp_flags"), P.FIN), 1).otherwise(0))
@@ -84,10 +83,15 @@ def assign_flows(packets: DataFrame, limits: FlowLimits = FlowLimits()) -> DataF
     look at the slot rows tells which keys hold a flow that may outlive the limit; as a rule none
     does, and the result is lazy. See `_split_long_flows` for those that do.
     """
+    return assign_keyed(_keyed(packets, limits), limits)
+
+
+def assign_keyed(keyed: DataFrame, limits: FlowLimits = FlowLimits()) -> DataFrame:
+    """`assign_flows` of rows that have their key, time in microseconds, idle limit and closing flags."""
     limit_us = int(limits.max_flow_duration * 1_000_000)
     slot_us = int(min(limits.slot_seconds, limits.max_flow_duration) * 1_000_000)
     slot_us = max(slot_us, 1)
-    keyed = _keyed(packets, limits, slot_us)
+    keyed = keyed.withColumn("slot", F.expr(f"ts_us div {slot_us}"))
     size = keyed.agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("a"), F.max("ts_us").alias("b")).first()
     if size["n"] > limits.slot_packets:
         keyed = _shorter_slots(keyed, slot_us, limits.slot_packets)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,37 +101,10 @@ def typo_model_matches(spark, d):
 
 # Streams, run to the end of what is there
 
-@contextmanager
-def _conf(spark, **settings):
-    """Session settings while a stream is started; they are put back after it."""
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def _state_settings(spark) -> dict[str, str]:
-    """RocksDB state, and state partitions in line with the cores there are."""
-    return {
-        "spark.sql.streaming.stateStore.providerClass": SF.ROCKSDB,
-        "spark.sql.shuffle.partitions": str(max(4, spark.sparkContext.defaultParallelism)),
-    }
-
-
 def _place(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _event_stream(spark, d) -> DataFrame:
-    """The events table as a stream of files."""
-    schema = X.table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-
-
 def _event_files(spark, d, where: str, files: int = 5) -> DataFrame:
     """The events table as a stream of some files in time order, one per micro-batch."""
     table = X.table(spark, d, "events")
@@ -140,6 +112,18 @@ def _event_files(spark, d, where: str, files: int = 5) -> DataFrame:
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
 
 
+def _event_files_in_order(spark, d, where: str, files: int = 5, rows: int = 5_000_000) -> DataFrame:
+    """`_event_files` written one after the other: a stream takes files by their times of writing. More rows, more files."""
+    table = X.table(spark, d, "events").withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    files = max(files, table.count() // rows)
+    cuts = table.approxQuantile("_at", [i / files for i in range(1, files)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = table if low is None else table.filter(F.col("_at") > int(low))
+        part = part if high is None else part.filter(F.col("_at") <= int(high))
+        part.drop("_at").coalesce(1).write.mode("append").parquet(f"{where}/in")
+    return spark.readStream.schema(table.drop("_at").schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+
+
 def stream_delays(spark, d):
     """Delays of detected names from a log stream and an alert stream of several micro-batches."""
     where = _place(spark, "delays")
@@ -173,17 +157,13 @@ def stream_log_alerts(spark, d):
 
 
 def stream_flows(spark, d):
-    """Flows closed by later packets, by the watermark or by the end of the input, from a packet stream with state."""
+    """Flows closed by later packets, by the watermark or by the end of the input, over several micro-batches of packets."""
     where = _place(spark, "flows")
-    with _conf(spark, **_state_settings(spark)):
-        packets = X.packets(spark, d, sections=False, ev=X.events(spark, d, False, _event_stream(spark, d)))
-        rows = SF.stream_flows(packets, X.LIMITS, "1 hour")
-        query = rows.writeStream.format("parquet").option("checkpointLocation", f"{where}/checkpoint").trigger(
-            availableNow=True).start(f"{where}/out")
-        query.awaitTermination()
-        SF.open_flows(spark, f"{where}/checkpoint").write.parquet(f"{where}/open")
-    closed, left = (spark.read.schema(SF.FLOW_ROWS).parquet(f"{where}/{part}") for part in ("out", "open"))
-    return closed.unionByName(left).select("flow_uid", "start_us", "end_us", "packets", "bytes", "closed_by")
+    packets = X.packets(spark, d, sections=False, ev=X.events(spark, d, False, _event_files_in_order(spark, d, where)))
+    SF.stream_flows(packets, where, f"{where}/checkpoint", X.LIMITS, 3600, None).awaitTermination()
+    closed = spark.read.schema(SF.FLOW_ROWS).parquet(f"{where}/flows/batch=*")
+    rows = closed.unionByName(SF.open_flows(spark, where, X.LIMITS))
+    return rows.select("flow_uid", "start_us", "end_us", "packets", "bytes", "closed_by")
 
 
 def stream_flow_scores(spark, d):

@@ -1,5 +1,6 @@
 import datetime
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,9 +14,9 @@ from dnsq.workload import tables as X
 from tests.test_flows import dns, frame, packet
 
 
-def write_files(spark, path, groups):
+def write_files(spark, path, groups, first=0):
     """One finished file per group, in order of modification time."""
-    for i, rows in enumerate(groups):
+    for i, rows in enumerate(groups, first):
         part = f"{path}/tmp{i}"
         frame(spark, rows).coalesce(1).write.parquet(part)
         name = next(f for f in os.listdir(part) if f.endswith(".parquet"))
@@ -35,35 +36,96 @@ def traffic():
     return [first, second, third, [packet(99, 10_000, sport=5555)]]
 
 
+def totals(df):
+    return sorted(map(tuple, df.select("flow_uid", "packets", "bytes", "start_us", "end_us").collect()))
+
+
+def batch_totals(spark, groups, limits=LIMITS):
+    return sorted(map(tuple, FL.assign_flows(frame(spark, [p for g in groups for p in g]), limits).groupBy("flow_uid").agg(
+        F.count(F.lit(1)), F.sum("len"), F.min("ts_us"), F.max("ts_us")).collect()))
+
+
+def run_flows(spark, tmp_path, late, limits=LIMITS):
+    stream = R.stream_packets(spark, f"{tmp_path}/in", files_per_trigger=1)
+    SF.stream_flows(stream, f"{tmp_path}/out", f"{tmp_path}/cp", limits, late, None).awaitTermination()
+    return spark.read.schema(SF.FLOW_ROWS).parquet(f"{tmp_path}/out/flows/batch=*"), SF.open_flows(spark, f"{tmp_path}/out", limits)
+
+
 def test_flows_across_files_equal_the_batch(spark, tmp_path):
     groups = traffic()
     write_files(spark, str(tmp_path), groups)
-    stream = R.stream_packets(spark, f"{tmp_path}/in", files_per_trigger=1)
-    q = SF.stream_flows(stream, LIMITS, "1 second").writeStream.format("memory").queryName("flows").outputMode("append").trigger(
-        availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
-    q.awaitTermination()
-    got = {(r.flow_uid, r.packets, r.bytes, r.start_us, r.end_us) for r in spark.table("flows").collect()}
-    batch = FL.assign_flows(frame(spark, [p for g in groups for p in g]), LIMITS).groupBy("flow_uid").agg(
-        F.count(F.lit(1)), F.sum("len"), F.min("ts_us"), F.max("ts_us"))
-    want = {tuple(r) for r in batch.collect() if r.flow_uid != 99}
-    assert got == want
-    reasons = {r.flow_uid: r.closed_by for r in spark.table("flows").collect()}
-    assert "teardown" in reasons.values() and "idle" in reasons.values()
+    closed, left = run_flows(spark, tmp_path, 1)
+    assert closed.columns == left.columns
+    assert totals(closed.unionByName(left)) == batch_totals(spark, groups)
+    reasons = {r.flow_uid: r.closed_by for r in closed.collect()}
+    assert "teardown" in reasons.values() and "idle" in reasons.values() and "duration" in reasons.values()
+    assert [r.flow_uid for r in left.collect()] == [99]  # the last packet moved the watermark past all the others
 
 
 def test_flows_open_at_the_end_of_the_input(spark, tmp_path):
     groups = traffic()
+    write_files(spark, str(tmp_path), groups[:2])
+    closed, left = run_flows(spark, tmp_path, 86400)  # the watermark passes no packet
+    assert closed.count() == 0 and totals(left) == batch_totals(spark, groups[:2])
+    write_files(spark, str(tmp_path), groups[2:], 2)  # the stream goes on from its state
+    closed, left = run_flows(spark, tmp_path, 5)
+    assert totals(closed.unionByName(left)) == batch_totals(spark, groups)
+
+
+def random_traffic(n):
+    rng = random.Random(11)
+    rows, now = [], 0.0
+    for no in range(n):
+        now += rng.choice([0, 0.5, 1, 2, 9])
+        if rng.random() < 0.3:
+            rows.append(packet(no, now, dport=53, transport="UDP", txid=rng.choice([1, 2]), src=f"10.0.0.{rng.randint(1, 3)}"))
+        else:
+            ends = rng.choice([("10.0.0.1", "10.0.0.2", 1000, 8080), ("10.0.0.2", "10.0.0.1", 8080, 1000), ("10.0.0.9", "10.0.0.8", 5, 6)])
+            rows.append(packet(no, now, *ends, flags=rng.choice([16] * 9 + [1, 17, 17, 4]), size=no))
+    return rows
+
+
+def test_files_out_of_order(spark, tmp_path):
+    """Packets reach their file up to 40 seconds late; the flows are those of one batch in order."""
+    rng = random.Random(5)
+    rows = random_traffic(240)
+    arrival = sorted(rows, key=lambda r: r["ts"].timestamp() + rng.random() * 40)
+    groups = [arrival[i:i + 80] for i in range(0, len(arrival), 80)]
+    limits = FlowLimits(activity_timeout=30, dns_activity_timeout=40, max_flow_duration=60, slot_seconds=15)
     write_files(spark, str(tmp_path), groups)
-    stream = R.stream_packets(spark, f"{tmp_path}/in", files_per_trigger=1)
-    SF.stream_flows(stream, LIMITS, "1 day").writeStream.format("parquet").option(  # the watermark closes nothing
-        "checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
-    closed, left = spark.read.parquet(f"{tmp_path}/out"), SF.open_flows(spark, f"{tmp_path}/cp")
-    assert closed.columns == left.columns
-    batch = FL.assign_flows(frame(spark, [p for g in groups for p in g]), LIMITS).groupBy("flow_uid").agg(
-        F.count(F.lit(1)), F.sum("len"), F.min("ts_us"), F.max("ts_us"))
-    got = closed.unionByName(left).select("flow_uid", "packets", "bytes", "start_us", "end_us").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, batch.collect()))
-    assert 99 in {r.flow_uid for r in left.collect()}
+    closed, left = run_flows(spark, tmp_path, 41, limits)
+    assert totals(closed.unionByName(left)) == batch_totals(spark, groups, limits)
+    assert closed.filter("closed_by = 'teardown'").count() > 0 and left.count() > 0
+
+
+def test_a_micro_batch_that_runs_again_replaces_its_rows(spark, tmp_path):
+    groups = traffic()[:2]
+    step = SF.flow_step(str(tmp_path), LIMITS, 1)
+    for n, again in ((0, 1), (1, 2)):
+        for _ in range(again):  # as if the driver was lost before the batch was committed
+            step(frame(spark, groups[n]), n)
+    closed = spark.read.schema(SF.FLOW_ROWS).parquet(f"{tmp_path}/flows/batch=*")
+    assert totals(closed.unionByName(SF.open_flows(spark, str(tmp_path), LIMITS))) == batch_totals(spark, groups)
+    with pytest.raises(RuntimeError):
+        step(frame(spark, groups[0]), 7)
+
+
+def test_late_packets_and_packets_without_a_time(spark, tmp_path):
+    groups = [[packet(0, 0), packet(1, 100)], [packet(2, 50), dict(packet(3, 0), ts=None), packet(4, 101)]]
+    write_files(spark, str(tmp_path), groups)
+    closed, left = run_flows(spark, tmp_path, 10)
+    assert totals(closed.unionByName(left)) == batch_totals(spark, [[groups[0][0], groups[0][1], groups[1][2]]])
+
+
+def test_an_open_flow_enters_the_next_batch_as_two_rows(spark):
+    """However many packets a flow has; the step runs without Python."""
+    seen = SF._waiting(frame(spark, [packet(i, i) for i in range(30)]), LIMITS)
+    flows = SF.advance(spark.createDataFrame([], SF._OPEN), seen, LIMITS)
+    assert [(r.packets, r.closed_by) for r in flows.collect()] == [(30, None)]
+    assert SF._carried(flows).count() == 2
+    more = SF.advance(flows, SF._waiting(frame(spark, [packet(30, 30), packet(31, 70)]), LIMITS), LIMITS)
+    assert sorted((r.packets, r.closed_by) for r in more.collect()) == [(1, None), (31, "idle")]
+    assert "Python" not in flows._jdf.queryExecution().executedPlan().toString()
 
 
 def test_stream_flows_returns_every_flow_of_the_table(spark, sf):
