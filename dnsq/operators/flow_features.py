@@ -239,13 +239,18 @@ RECORD_LISTS = {
 }
 
 
-def record_list_chunks(assigned: DataFrame) -> DataFrame:
-    """Record types and classes of DNS flows in packet order, one row per flow and time slot.
+def record_list_chunks(assigned: DataFrame, most: int = 10_000) -> DataFrame:
+    """Record types and classes of DNS flows in packet order, in rows (`flow_uid`, `slot`, `part`) of bounded size.
 
-    The lists of a flow are those of its slots one after the other. A list grows with the flow, so
-    it is kept in slot-sized rows; `record_lists` puts them together.
+    The lists of a flow are those of its rows one after the other. A row begins where the records of the flow's earlier
+    packets in the slot pass another multiple of `most`, so it holds at most `most` records and those of one packet more,
+    however long the flow is. A packet without records counts as none; a flow without any has empty lists.
     """
-    dns = assigned.filter(F.col("protocol") == "DNS")
+    size = sum((F.coalesce(F.size(c), F.lit(0)) for c in ("additionals", "answers")), F.lit(0))
+    before = Window.partitionBy("flow_key", "slot", "flow_uid").orderBy("ts_us", "pkt_no").rowsBetween(
+        Window.unboundedPreceding, -1)
+    records = F.coalesce(F.sum(F.greatest(size, F.lit(0))).over(before), F.lit(0))
+    dns = assigned.filter(F.col("protocol") == "DNS").withColumn("part", F.floor(records / most))
     at = [F.col("ts_us"), F.col("pkt_no")]
     listed = {
         out: F.flatten(F.transform(
@@ -254,10 +259,16 @@ def record_list_chunks(assigned: DataFrame) -> DataFrame:
             lambda s: s["v"]))
         for out, (col, field) in RECORD_LISTS.items()
     }
-    return dns.groupBy("flow_key", "slot", "flow_uid").agg(
+    return dns.groupBy("flow_key", "slot", "flow_uid", "part").agg(
         *[v.alias(k) for k, v in listed.items()]).drop("flow_key")
 
 
+def numbered_chunks(chunks: DataFrame) -> DataFrame:
+    """`record_list_chunks` with `chunk`, their number within the flow from 0 on, instead of slot and part."""
+    order = Window.partitionBy("flow_uid").orderBy("slot", "part")
+    return chunks.withColumn("chunk", F.row_number().over(order) - 1).drop("slot", "part")
+
+
 def record_lists(chunks: DataFrame) -> DataFrame:
     """Whole lists per flow from `record_list_chunks`, for every flow.
 
@@ -265,7 +276,7 @@ def record_lists(chunks: DataFrame) -> DataFrame:
     flows whose lists would be too long for a row read the chunks.
     """
     return chunks.groupBy("flow_uid").agg(*[
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.col(c).alias("v")))),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slot", "part", F.col(c).alias("v")))),
                               lambda s: s["v"])).alias(c) for c in RECORD_LISTS])
 
 

@@ -357,6 +357,20 @@ select f.flow_uid, coalesce(qt, '') as query_resource_record_type, coalesce(ans_
   coalesce(qc, '') as query_resource_record_class, coalesce(ac, '') as ans_resource_record_class
 from (select distinct flow_uid from a where protocol = 'DNS') f left join x using (flow_uid) left join y using (flow_uid)"""
 
+CHUNK_LISTS_SQL = f"""with recursive {FULL},
+d as (select flow_uid, pkt_no, ts_us, e, to_srv, ts_us // {DAY} as slot,
+    e % 4 + case when to_srv then 0 else 1 + e % 3 end as records from a where protocol = 'DNS'),
+p as (select *, coalesce(sum(records) over (partition by flow_uid, slot order by ts_us, pkt_no
+    rows between unbounded preceding and 1 preceding), 0) // 2 as part from d),
+c as (select *, dense_rank() over (partition by flow_uid order by slot, part) - 1 as chunk from p),
+x as (select flow_uid, chunk, string_agg('41', ',') as qt, string_agg('1', ',') as qc from c, unnest(range(0, e % 4)) t(i)
+    group by flow_uid, chunk),
+y as (select flow_uid, chunk, string_agg(cast([1, 2, 5][i + 1] as varchar), ',' order by ts_us, pkt_no, i) as ans_t,
+    string_agg('1', ',') as ac from c, unnest(range(0, 1 + e % 3)) t(i) where not to_srv group by flow_uid, chunk)
+select f.flow_uid, f.chunk, coalesce(qt, '') as query_resource_record_type, coalesce(ans_t, '') as ans_resource_record_type,
+  coalesce(qc, '') as query_resource_record_class, coalesce(ac, '') as ans_resource_record_class
+from (select distinct flow_uid, chunk from c) f left join x using (flow_uid, chunk) left join y using (flow_uid, chunk)"""
+
 WHOIS_SQL = f"""with {HOSTS},
 ranked as (select domain, row_number() over (order by md5('7|' || domain), domain) - 1 as r from domains),
 w as (select r.domain, r, s_name, n_name, r_name, cast(o_orderdate as date) as day, c_name, c_mktsegment from ranked r
@@ -664,6 +678,7 @@ ORACLE = {
     "flow_handshake": SHAKE_SQL,
     "flow_dns_records": RECORDS_SQL,
     "flow_record_lists": LISTS_SQL,
+    "flow_record_chunks": CHUNK_LISTS_SQL,
     "flow_ttl_stats": TTL_SQL,
     "tcp_flag_counts": f"with recursive {FULL} select protocol, transport, count(*) as packets, "
                        + ", ".join(f"count(*) filter (where flags & {m} <> 0) as {n}_packets"

@@ -168,6 +168,12 @@ def flow_record_lists(spark, d):
     return lists.select("flow_uid", *[_joined(F.col(c)).alias(c) for c in FF.RECORD_LISTS])
 
 
+def flow_record_chunks(spark, d):
+    """The lists in rows of bounded size; the bound is low, so that the flows of the given tables are cut."""
+    chunks = FF.record_list_chunks(FL.assign_flows(X.packets(spark, d), X.LIMITS), X.CHUNK_RECORDS)
+    return FF.numbered_chunks(chunks).select("flow_uid", "chunk", *[_joined(F.col(c)).alias(c) for c in FF.RECORD_LISTS])
+
+
 def flow_ttl_stats(spark, d):
     return _rounded(FF.ttl_stats(FL.assign_flows(X.packets(spark, d), X.LIMITS)), 4)
 
@@ -382,7 +388,7 @@ QUERIES = {f.__name__: f for f in (
     log_parse, log_totals, domain_topn, base_domain_counts, domain_first_position, canonical_names, dga_features,
     domain_lexical, pair_features, pair_features_binary, typo_top_candidates, typo_best_match, flow_assign_idle,
     flow_assign_default, flow_assign_full, flow_orientation, flow_counts_rates, flow_len_stats, flow_delta_len_stats,
-    flow_delta_time_stats, flow_handshake, flow_dns_records, flow_record_lists, flow_ttl_stats, tcp_flag_counts,
+    flow_delta_time_stats, flow_handshake, flow_dns_records, flow_record_lists, flow_record_chunks, flow_ttl_stats, tcp_flag_counts,
     protocol_mix, whois_enrich, first_seen_detected, delay_summary, slowest_domains, domain_overlap, alert_delays,
     dga_alerts, typo_alerts, tunnel_alerts, typo_variants, negative_pairs, negative_sample, keep_classes,
     class_distribution, class_downsample, stratified_split, kfold_assign, shuffle_order, class_weights, label_encode,

@@ -15,6 +15,8 @@ LIMITS = FlowLimits(activity_timeout=86400, dns_activity_timeout=86400, max_flow
                     slot_seconds=86400)
 IDLE_ONLY = FlowLimits(activity_timeout=86400, dns_activity_timeout=86400, max_flow_duration=10**9,
                        teardown=False, slot_seconds=86400)
+# Records of a row of lists, low for the same reason.
+CHUNK_RECORDS = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -175,6 +175,10 @@ def test_dns_records_and_lists(spark):
     lists = FF.record_lists(FF.record_list_chunks(assigned)).first()
     assert lists.query_resource_record_type == [41, 41] and lists.ans_resource_record_type == [1, 2]
     assert FF.record_list_chunks(assigned).count() == 2
+    whole = FL.assign_flows(frame(spark, rows + [dns(2, 2), dns(3, 3, answers=a)]), FlowLimits())
+    parts = FF.numbered_chunks(FF.record_list_chunks(whole, 2)).orderBy("chunk").collect()
+    assert [(r.chunk, r.query_resource_record_type, r.ans_resource_record_type) for r in parts] == [
+        (0, [41, 41], []), (1, [], [1, 2]), (2, [], [1, 2])]
     t = FF.ttl_stats(assigned).first()
     assert (t.distinct_ttl_values, t.ttl_values_min, t.ttl_values_median) == (2, 60, 180)
 
