@@ -128,7 +128,11 @@ def _best_condition(rows: DataFrame, names: list[str], cuts: dict[str, list[floa
 
 def learn(labelled: DataFrame, label_col: str = "low") -> list[list[Condition]]:
     """The decision list for low quality from rows with the counts and a label (1 low, 0 good), at most TRAIN_ROWS
-    of them are expected. No rows, or only one label, give an empty list."""
+    of them are expected. No rows, or only one label, give an empty list.
+
+    The list has at most MAX_RULES rules of at most MAX_CONDITIONS conditions each, for the sake of readers; covering
+    stops there even where a further rule would hold. A row that is given twice counts twice.
+    """
     rows = labelled.select(F.col(label_col).cast("int").alias("low"), *[F.expr(e).alias(k) for k, e in STATISTICS.items()])
     rows = rows.withColumn("apart", F.xxhash64(*STATISTICS) % 3 == 0)
     rows = written(rows.repartition(8), "labelled")
