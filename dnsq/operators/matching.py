@@ -1,10 +1,11 @@
 """Queried names against a list of protected names.
 
-The list is cut into slices of at most SLICE names, one row each, and the names into blocks of at most BLOCK, one row
-each, without a shuffle. A block meets every slice by an equi-join on the slice number; within the row,
-`functions.search` bounds all similarities with an inverted index and compares only the pairs whose bound can reach the
-result. Pairs become rows only for the candidates of a model. A list of one slice needs no shuffle of
-the names at all; the results of several slices are merged per name.
+The list is cut into slices of at most SLICE names and the names into blocks of about BLOCK, by hash, one row each. The first
+slice is searched before the others, and the worst of the best found there is what names of later slices have to reach.
+Blocks and the other slices then meet in cells, a group of blocks and a group of slices each, as many as there are tasks:
+a cell takes its blocks first and then one slice after the other, so a slice is prepared once per cell and held
+alone. `functions.search` bounds all similarities of a block and a slice and compares only the pairs whose bound can reach
+the result. Pairs become rows only for the candidates of a model; the results of the cells are merged per name.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ from ..functions.pairs import PAIR_CLASSES, jaccard
 from ..functions.search import List
 from ..functions.similarity import jaro_to_each
 from ..functions.text import let, ratio
-from ..session import SALTS
+from ..session import SALTS, cut_lineage
 
 SLICE = 4096
 # Slices up to which the list may be broadcast: 64 x 4096 names of at most 253 bytes, 66 MB at most and some 10 as a rule.
 BROADCAST_SLICES = 64
-BLOCK = 1024
-KEPT_SLICES = 16  # prepared slices that a worker keeps
+BLOCK = 256
+# Blocks and slices of a cell: 32,768 names with their best, and 64 slices one after the other.
+CELL_BLOCKS, CELL_SLICES = 128, 64
 
 # A scorer gives, for a target, a query and their Jaro similarity, an array of structs (class, score).
 Scorer = Callable[[Column, Column, Column], Column]
@@ -90,59 +92,108 @@ def _names(queries: DataFrame) -> DataFrame:
     return queries.select("qname").filter(F.col("qname").isNotNull()).distinct().repartition(tasks)
 
 
-def _packed(size: int):
-    def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, size):
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0).slice(i, size).to_pylist()], pa.list_(pa.string()))], names=["qnames"])
-
-    return run
+_BEST = "array<struct<score:double, position:bigint, target:string>>"
 
 
-def _searched(k: int, least: float | None):
-    """Blocks with slices to one row per name: its best k names of the slice as (score, position, target). With `least` by the linear
-    score, from that score on; else by the similarity ratio."""
+def _searched(k: int, linear: bool):
+    """Rows of cells, the blocks (with the scores to reach) before the slices, to one row per name: its best k names of the
+    cell's slices as (score, position, target). By the linear score, or else by the similarity ratio."""
     row = pa.struct([("score", pa.float64()), ("position", pa.int64()), ("target", pa.string())])
 
+    class Block:
+        def __init__(self, names: list, needed: list) -> None:
+            self.names, self.needed = names, np.array(needed, dtype=np.float64)
+            # Of a name: scores, positions and texts of its best so far, best first.
+            self.score, self.position = np.full((len(names), k), -np.inf), np.full((len(names), k), -1, dtype=np.int64)
+            self.target = np.full((len(names), k), None, dtype=object)
+
+        def search(self, listed: List, positions: np.ndarray, targets: np.ndarray) -> None:
+            # A name of a later slice has to beat the worst of the k found before.
+            needed = np.maximum(self.needed, self.score[:, -1])
+            place, score = listed.best_linear(self.names, needed) if linear else listed.most_alike(self.names, k, needed)
+            rows = np.flatnonzero((place >= 0).any(axis=1))
+            if not len(rows):
+                return
+            place, score = place[rows], score[rows]
+            every = np.concatenate((self.score[rows], score), axis=1)
+            position = np.concatenate((self.position[rows], np.where(place >= 0, positions[place], -1)), axis=1)
+            target = np.concatenate((self.target[rows], np.where(place >= 0, targets[place], None)), axis=1)
+            best = np.lexsort((position, -np.round(every, 12)), axis=1)[:, :k]
+            for mine, found in ((self.score, every), (self.position, position), (self.target, target)):
+                mine[rows] = np.take_along_axis(found, best, 1)
+
+        def found(self) -> pa.RecordBatch:
+            best = [[{"score": s, "position": p, "target": t} for s, p, t in zip(*at) if p >= 0]
+                    for at in zip(self.score.tolist(), self.position.tolist(), self.target.tolist())]
+            return pa.RecordBatch.from_arrays([pa.array(self.names, pa.string()), pa.array(best, pa.list_(row))], names=["qname", "best"])
+
     def run(batches):
-        ready: dict[int, tuple[List, list]] = {}
-        block, so_far = None, None  # the block at hand and its best scores in the slices before
+        cell, blocks = None, []
         for b in batches:
             for i in range(b.num_rows):
-                number, names = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                if number not in ready:
-                    if len(ready) >= KEPT_SLICES:
-                        ready.pop(next(iter(ready)))
-                    listed = b.column(2)[i].as_py()
-                    ready[number] = List([x["domain"] for x in listed]), listed
-                prepared, listed = ready[number]
-                if names != block:
-                    block, so_far = names, np.full((len(names), k), -np.inf if least is None else least)
-                # A name of a later slice has to beat the worst of the k found before.
-                needed = so_far.min(axis=1)
-                place, score = prepared.most_alike(names, k, needed) if least is None else prepared.best_linear(names, needed)
-                so_far = -np.sort(-np.concatenate((so_far, score), axis=1), axis=1)[:, :k]
-                best = [[{"score": s, "position": listed[p]["position"], "target": listed[p]["domain"]} for p, s in zip(ps, ss) if p >= 0]
-                        for ps, ss in zip(place.tolist(), score.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(best, pa.list_(row))], names=["qname", "best"])
+                at, names, needed, positions = (b.column(c)[i].as_py() for c in range(4))
+                if at != cell:
+                    yield from (x.found() for x in blocks)
+                    cell, blocks = at, []
+                if positions is None:
+                    blocks.append(Block(names, needed))
+                    continue
+                listed, targets = List(names), np.array(names, dtype=object)
+                for x in blocks:
+                    x.search(listed, np.array(positions, dtype=np.int64), targets)
+        yield from (x.found() for x in blocks)
 
     return run
 
 
+def _in_cells(blocks: DataFrame, slices: DataFrame, across: int, down: int, k: int, linear: bool) -> DataFrame:
+    """Best names (`qname`, `best`) of every block (`block`, `names`, `needed`) in each of `down` groups of slices; blocks are dealt
+    to `across` groups. Cells and partitions are the same, so the largest task is one cell."""
+    def dealt(rows: DataFrame, own: Column, others: int, at: Callable[[Column, Column], Column], *columns: Column) -> DataFrame:
+        return rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).select(
+            at(own, F.col("_other")).cast("int").alias("cell"), *columns)
+
+    none = F.lit(None).cast("array<bigint>")
+    left = dealt(blocks, F.col("block") % across, down, lambda b, s: b * down + s,
+                 "names", "needed", none.alias("positions"), F.col("block").alias("at"))
+    right = dealt(slices, F.col("slice") % down, across, lambda s, b: b * down + s,
+                  F.col("names.domain").alias("names"), F.lit(None).cast("array<double>").alias("needed"),
+                  F.col("names.position").cast("array<bigint>").alias("positions"), F.col("slice").alias("at"))
+    cells = left.unionByName(right).repartitionById(across * down, "cell")
+    return cells.sortWithinPartitions("cell", F.col("positions").isNotNull(), "at").select(
+        "cell", "names", "needed", "positions").mapInArrow(_searched(k, linear), f"qname string, best {_BEST}")
+
+
 def _search(queries: DataFrame, protected: DataFrame, k: int, least: float | None = None) -> DataFrame:
-    """(`qname`, `best`): the best k of the whole list, ordered by score and place in the list."""
-    blocks = _names(queries).mapInArrow(_packed(BLOCK), "qnames array<string>")
-    met, count = _meet(blocks, protected)
-    best = met.select("slice", "qnames", "names").mapInArrow(
-        _searched(k, least), "qname string, best array<struct<score:double, position:bigint, target:string>>")
-    if count > 1:
-        # k per slice are merged per name: a fixed number for every slice.
-        merged = best.groupBy("qname").agg(F.flatten(F.collect_list("best")).alias("best"))
-        ordered = F.array_sort(F.transform("best", lambda b: F.struct(
-            (-F.round(b["score"], 12)).alias("neg"), b["position"].alias("position"), b["score"].alias("score"), b["target"].alias("target"))))
-        best = merged.select("qname", F.transform(F.slice(ordered, 1, k), lambda b: F.struct(
-            b["score"].alias("score"), b["position"].alias("position"), b["target"].alias("target"))).alias("best"))
-    return best
+    """(`qname`, `best`): the best k of the whole list, ordered by score and place in the list. With `least` by the linear
+    score, from that score on; else by the similarity ratio."""
+    linear = least is not None
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices, count = protected_slices(protected)
+    names = cut_lineage(queries.select("qname").filter(F.col("qname").isNotNull()).distinct())
+    n = max(-(-names.count() // BLOCK), 1)
+    floor = F.lit(float("-inf") if least is None else float(least))
+    blocks = names.groupBy(F.pmod(F.xxhash64("qname"), F.lit(n)).alias("block")).agg(
+        F.array_sort(F.collect_list("qname")).alias("names"))
+    first = _in_cells(blocks.withColumn("needed", F.transform("names", lambda _: floor)),
+                      slices.filter("slice = 0"), min(n, tasks), 1, k, linear)
+    if count == 1:
+        return first
+    first = cut_lineage(first)
+    # What the first slice gives at place k; a name that has fewer than k there keeps the floor.
+    needed = F.coalesce(F.get("best", F.lit(k - 1))["score"], floor)
+    blocks = first.groupBy(F.pmod(F.xxhash64("qname"), F.lit(n)).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("qname", needed.alias("needed")))).alias("x")).select(
+        "block", F.col("x.qname").alias("names"), F.col("x.needed").alias("needed"))
+    across = -(-n // CELL_BLOCKS)
+    down = min(count - 1, max(-(-count // CELL_SLICES), -(-tasks // across)))
+    rest = _in_cells(blocks, slices.filter("slice > 0"), across, down, k, linear)
+    # k per cell at most are merged per name, those of the first slice among them.
+    merged = first.unionByName(rest.filter(F.size("best") > 0)).groupBy("qname").agg(F.flatten(F.collect_list("best")).alias("best"))
+    ordered = F.array_sort(F.transform("best", lambda b: F.struct(
+        (-F.round(b["score"], 12)).alias("neg"), b["position"].alias("position"), b["score"].alias("score"), b["target"].alias("target"))))
+    return merged.select("qname", F.transform(F.slice(ordered, 1, k), lambda b: F.struct(
+        b["score"].alias("score"), b["position"].alias("position"), b["target"].alias("target"))).alias("best"))
 
 
 def top_candidates(queries: DataFrame, protected: DataFrame, n: int = 50) -> DataFrame:
