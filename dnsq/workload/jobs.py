@@ -143,9 +143,11 @@ def stream_log_alerts(spark, d):
     where = _place(spark, "log-alerts")
     lines = X.log_lines(spark, d, _event_files(spark, d, where))
     protected = cut_lineage(X.protected(spark, d))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def handle(batch):
-        q = DO.parse_queries(batch)
+        # A file is read by few tasks; its lines are parsed by all of them, and once.
+        q = cut_lineage(DO.parse_queries(batch.repartition(tasks)))
         best = M.best_match(q, protected, least=0.79)
         hits = best.withColumn("score", F.round("score", 9)).filter("score >= 0.8")
         return MO.join_hits(q, hits).select(

@@ -74,3 +74,35 @@ def test_many_slices_give_the_matches_of_one(spark, monkeypatch, across):
     best, _ = List(listed).best_linear(queries)
     got = {r.qname: r.target for r in M.best_match(q, p).collect() if r.target is not None}
     assert got == {n: listed[t] for n, (t,) in zip(queries, best) if n in got} and len(got) > 80
+
+
+def moved(spark, monkeypatch):
+    """What cells take in: (first name, number of names, whether it is a slice, whether it comes with a block) per row."""
+    def seen(k, linear):
+        def run(batches):
+            for b in batches:
+                for names, needed, positions in zip(*(b.column(c).to_pylist() for c in (1, 2, 3))):
+                    best = [{"score": float(needed is not None), "position": len(names), "target": str(positions is not None)}]
+                    yield pa.RecordBatch.from_arrays([pa.array([names[0]]), pa.array([best], pa.list_(pa.struct([
+                        ("score", pa.float64()), ("position", pa.int64()), ("target", pa.string())])))], names=["qname", "best"])
+
+        return run
+
+    monkeypatch.setattr(M, "_searched", seen)
+    monkeypatch.setattr(M, "SLICE", 10)
+    monkeypatch.setattr(M, "BROADCAST_SLICES", 0)
+    q = spark.createDataFrame([(f"q{i}",) for i in range(40)], "qname string")
+    p = spark.createDataFrame([(f"t{i:03}", i) for i in range(200)], "domain string, position bigint")
+    return M.top_candidates(q, p, 100).collect()
+
+
+def test_the_list_moves_once(spark, monkeypatch):
+    """Not once per salt: 200 names in 20 slices meet 40 names in one block."""
+    slices = [r for r in moved(spark, monkeypatch) if r.target == "True"]
+    assert sum(r.position for r in slices) == 200 and len(slices) == 20
+
+
+def test_a_row_holds_a_block_or_a_slice(spark, monkeypatch):
+    """A batch of rows is as large as its names and slices, not their product."""
+    rows = moved(spark, monkeypatch)
+    assert rows and all((r.target == "True") == (r.ratio == 0.0) for r in rows)
