@@ -184,14 +184,20 @@ def score(df: DataFrame, bundle: Bundle) -> DataFrame:
 
 
 def score_names(queries: DataFrame, bundle: Bundle, features) -> DataFrame:
-    """Score each distinct `qname` once: `features(qname)` builds the model's input columns."""
+    """Score each distinct `qname` once: `features(qname)` builds the model's input columns.
+
+    The scores are kept. Else a filter on them, which depends on the name alone, would move below the distinct, and through a
+    join by name to its other side: every line would be scored.
+    """
     names = queries.select("qname").distinct()
-    return score(names.withColumns(features(F.col("qname"))), bundle).select("qname", "predicted_label", "scores")
+    scored = score(names.withColumns(features(F.col("qname"))), bundle)
+    return cut_lineage(scored.select("qname", "predicted_label", "scores"))
 
 
 def join_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """Queries with the scored names they ask for. `hits` (unique on `qname`) is kept, so nothing is
-    scored twice; a name may be behind a large share of the queries."""
+    scored twice; a name may be behind a large share of the queries. Where a filter chose the hits by an expression of the
+    name, the scores are to be kept before it (see `score_names`)."""
     return attach(queries, cut_lineage(hits), ["qname"])
 
 

@@ -251,7 +251,8 @@ def dga_alerts(spark, d):
     q = DO.parse_queries(X.log_lines(spark, d))
     names = q.select("qname").distinct().withColumn(
         "s", F.round(dga_linear_score(lexical.dga_features(F.col("qname"))), 9))
-    names = names.withColumn("scores", F.create_map(F.lit("dga"), "s", F.lit("legit"), 1 - F.col("s")))
+    # Kept before the filter, which would else be applied to every line.
+    names = cut_lineage(names.withColumn("scores", F.create_map(F.lit("dga"), "s", F.lit("legit"), 1 - F.col("s"))))
     hits = A.dga_alerts(join_hits(q, names.filter("s >= 0.5")), _later(3), threshold=0.5)
     return hits.select("detector", "domain", "score", r(F.col("scores")["legit"]).alias("legit"),
                        "unbound_logged_at", "detected_at", r("detection_delay_seconds", 6).alias("delay"))

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dnsq.operators import alerts as A, models as MO
+from dnsq.functions import lexical
+from dnsq.operators import alerts as A, formulas as FO, models as MO
 from dnsq.plans import jobs, training as TR
 
 
@@ -169,3 +170,16 @@ def test_reports(spark):
     s = out["summary"].first()
     assert (s.domains_with_valid_delay, s.p50, s["max"]) == (1, 20.0, 20.0)
     assert [r.domain for r in jobs.domain_report(lines, base=True, min_count=2).collect()] == ["a.org"]
+
+
+def test_names_are_scored_once_and_not_per_line(spark):
+    """A filter on the scores stays above the distinct and on its side of the join with the lines."""
+    bundle = MO.Bundle(FO.Linear([[0.1] * 11], [-0.5]), ["dga", "legit"], lexical.DGA_FEATURES)
+    lines = spark.createDataFrame([(f"[100] 1.1.1.1 {n}.org. A IN",) for n in ("a", "a", "x7q9z2k4w8")], "value string")
+    hits = jobs.dga_detection(lines, bundle, F.col("logged_at"), threshold=0.2)
+    assert "EXP(" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    names = MO.score_names(lines.select(F.col("value").alias("qname")), bundle, lexical.dga_features)
+    over = names.filter(F.col("scores")["dga"] >= 0.2)
+    assert "Aggregate" not in over._jdf.queryExecution().optimizedPlan().toString()
+    want = {r.qname for r in names.collect() if r.scores["dga"] >= 0.2}
+    assert {r.qname for r in over.collect()} == want
