@@ -70,7 +70,7 @@ def _origin() -> Column:
     return F.struct(*ORIGIN)
 
 
-def assign_flows(packets: DataFrame, limits: FlowLimits = FlowLimits()) -> DataFrame:
+def assign_flows(packets: DataFrame, limits: FlowLimits = FlowLimits(), keep: bool = False) -> DataFrame:
     """Every packet with its flow: columns `flow_uid` and `origin`.
 
     `flow_uid` is the number of the flow's first packet; `origin` holds that packet's endpoints,
@@ -82,11 +82,14 @@ def assign_flows(packets: DataFrame, limits: FlowLimits = FlowLimits()) -> DataF
     Without the last rule a flow depends on gaps, resets and FIN counts alone (`_runs`). A
     look at the slot rows tells which keys hold a flow that may outlive the limit; as a rule none
     does, and the result is lazy. See `_split_long_flows` for those that do.
+
+    With `keep`, packets that have to be passed over several times are kept with what is known within their slots, so they
+    are read and ordered once. All their columns are written then, so it is for narrow rows or dear sources.
     """
-    return assign_keyed(_keyed(packets, limits), limits)
+    return assign_keyed(_keyed(packets, limits), limits, keep)
 
 
-def assign_keyed(keyed: DataFrame, limits: FlowLimits = FlowLimits()) -> DataFrame:
+def assign_keyed(keyed: DataFrame, limits: FlowLimits = FlowLimits(), keep: bool = False) -> DataFrame:
     """`assign_flows` of rows that have their key, time in microseconds, idle limit and closing flags."""
     limit_us = int(limits.max_flow_duration * 1_000_000)
     slot_us = int(min(limits.slot_seconds, limits.max_flow_duration) * 1_000_000)
@@ -95,10 +98,13 @@ def assign_keyed(keyed: DataFrame, limits: FlowLimits = FlowLimits()) -> DataFra
     size = keyed.agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("a"), F.max("ts_us").alias("b")).first()
     if size["n"] > limits.slot_packets:
         keyed = _shorter_slots(keyed, slot_us, limits.slot_packets)
+    at_once = size["n"] == 0 or size["b"] - size["a"] <= limit_us
     df = _in_slots(keyed)
-    if size["n"] == 0 or size["b"] - size["a"] <= limit_us:
+    if at_once:
         # No flow of this input can outlive the limit: one lazy plan.
         return _runs(df, _slot_rows(df)).drop("_run", "_fins")
+    if keep:
+        df = cut_lineage(df)
     slots = cut_lineage(_slot_rows(df))
     runs = _runs(df, slots)
     suspects = slots.filter(F.col("end_us") - F.col("origin_in.ts_us") > limit_us).select("flow_key").distinct()

@@ -75,17 +75,19 @@ def tunnel_handler(bundle: MO.Bundle, threshold: float = A.TUNNEL_THRESHOLD) ->
     return handle
 
 
-def chunk_handler(features: Callable[[DataFrame], DataFrame], limits: FlowLimits = FlowLimits()) -> Callable[[DataFrame], DataFrame]:
+def chunk_handler(features: Callable[[DataFrame], DataFrame], limits: FlowLimits = FlowLimits(),
+                  keep: bool = True) -> Callable[[DataFrame], DataFrame]:
     """Packet files to flow features, every file by itself: no flow crosses a file.
 
     The rows need a column `chunk` (the file's name), which joins the transaction id and the
     addresses in the key. Files number their packets from 0 each, so `flow_uid` becomes the text
-    chunk:number, which is unique over all files.
+    chunk:number, which is unique over all files. A file is read by few tasks, so its packets are spread and kept
+    (`keep`, see `assign_flows`).
     """
     def handle(packets: DataFrame) -> DataFrame:
         if "chunk" not in packets.columns:
             raise ValueError("packet rows need the column chunk")
-        return features(assign_flows(packets, limits).withColumn("flow_uid", F.concat_ws(":", "chunk", "flow_uid")))
+        return features(assign_flows(packets, limits, keep).withColumn("flow_uid", F.concat_ws(":", "chunk", "flow_uid")))
 
     return handle
 
@@ -95,7 +97,7 @@ def live_chain(bundle: MO.Bundle, limits: FlowLimits = FlowLimits(), threshold:
     """Steps for `start_chain`: packet files to flow features to tunnelling alerts. `options` are those of
     `flow_features`; the assignment feeds several aggregations, so it is kept."""
     return {
-        "flows": chunk_handler(lambda assigned: FF.flow_features(cut_lineage(assigned), **options), limits),
+        "flows": chunk_handler(lambda assigned: FF.flow_features(cut_lineage(assigned), **options), limits, False),
         "alerts": tunnel_handler(bundle, threshold),
     }
 

@@ -186,10 +186,13 @@ def stream_flow_scores(spark, d):
 
 
 def _packet_files(spark, d, where: str, files: int = 5, sections: bool = False) -> DataFrame:
-    """The packets written as some files (one per `chunk`), each numbered from 0. Returns the rows as written."""
+    """The packets written as some files (one per `chunk`), each numbered from 0. Returns the rows as written.
+
+    A file is written by a task of its own, in row groups that several tasks can read."""
     rows = X.packets(spark, d, sections=sections).withColumn("chunk", F.concat(F.lit("file"), F.col("pkt_no") % files)).withColumn(
         "pkt_no", F.expr(f"pkt_no div {files}"))
-    rows.repartition("chunk").write.partitionBy("chunk").parquet(f"{where}/in")
+    dealt = rows.repartitionById(files, F.substring_index("chunk", "file", -1).cast("int"))
+    dealt.write.partitionBy("chunk").option("parquet.block.size", 8 << 20).parquet(f"{where}/in")
     return rows
 
 

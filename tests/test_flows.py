@@ -218,3 +218,20 @@ def test_busy_key_is_spread(spark):
     assert "hashpartitioning(flow_key" in plan and "slot" in plan
     assert "partial_median" in plan or "partial_percentile" in plan or "partial_" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_kept_packets_are_read_once(spark, sf):
+    """Flows that may outlive the maximum duration take several passes; with `keep` the source has one."""
+    from dnsq.workload import tables as X
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def number(n):
+        seen.add(1)
+        return n
+
+    packets = X.packets(spark, sf, sections=False).withColumn("pkt_no", F.udf(number, "bigint")("pkt_no"))
+    want = sorted((r.pkt_no, r.flow_uid) for r in FL.assign_flows(packets, X.LIMITS).select("pkt_no", "flow_uid").collect())
+    twice, seen.value = seen.value, 0
+    got = sorted((r.pkt_no, r.flow_uid) for r in FL.assign_flows(packets, X.LIMITS, keep=True).select("pkt_no", "flow_uid").collect())
+    assert got == want and seen.value <= len(want) < twice
