@@ -62,7 +62,7 @@ def advance(open_: DataFrame, packets: DataFrame, limits: FlowLimits = FlowLimit
         "packets": F.lit(1).cast("bigint"), "_fin": F.col("fins"), "_rst": F.col("rst"), "_idle_us": F.col("idle_us")})
     rows = _carried(open_).unionByName(new.drop("fins", "rst"))
     rows = rows.withColumns({"fins": F.col("_fin"), "rst": F.col("_rst")})
-    flows = assign_keyed(rows, limits).groupBy("flow_key", "flow_uid").agg(
+    flows = assign_keyed(rows, limits, True).groupBy("flow_key", "flow_uid").agg(
         F.min("origin").alias("origin"), F.max(F.struct("ts_us", "pkt_no")).alias("last"), F.sum("packets").alias("packets"),
         F.sum("bytes").alias("bytes"), F.sum("fins").alias("fins"), F.max("rst").alias("rst"),
         F.min("protocol").alias("protocol"), F.min("idle_us").alias("idle_us"))
