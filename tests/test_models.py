@@ -183,3 +183,39 @@ def test_names_are_scored_once_and_not_per_line(spark):
     assert "Aggregate" not in over._jdf.queryExecution().optimizedPlan().toString()
     want = {r.qname for r in names.collect() if r.scores["dga"] >= 0.2}
     assert {r.qname for r in over.collect()} == want
+
+
+@pytest.mark.parametrize("repeats, distinct", [(40, 24), (1, 600)])
+def test_forests_over_many_rows(spark, tmp_path, monkeypatch, repeats, distinct):
+    """Rows that repeat are counted and drawn by their counts, others are fitted in blocks: the forest is that of the rows."""
+    rows = spark.createDataFrame(
+        [(float(i % 6), float(i), "b" if (i % 6 > 3) != (i % 11 == 0) else "a") for i in range(distinct)] * repeats,
+        "x double, y double, label string")
+    at_once = MO.fit(rows, "label", ["x", "y"], "rf", balanced=True, trees=20, depth=8)
+    monkeypatch.setattr(MO, "MANY_ROWS", 0)
+    monkeypatch.setattr(MO, "BLOCK_TREES", 8)
+    bundle = MO.fit(rows, "label", ["x", "y"], "rf", balanced=True, trees=20, depth=8)
+    other = MO.fit(rows.repartition(7), "label", ["x", "y"], "rf", balanced=True, trees=20, depth=8)
+
+    def scores(b):
+        return {r.y: r.scores["b"] for r in MO.score(rows.distinct(), b).collect()}
+
+    want, got = scores(at_once), scores(bundle)
+    assert len(bundle.classifier.trees) == 20 and sum(abs(want[y] - got[y]) for y in want) / len(want) < 0.1
+    if repeats > 1:  # the draws do not depend on partitions
+        assert scores(other) == pytest.approx(got, abs=1e-9)
+    a, b = at_once.classifier.featureImportances.toArray(), bundle.classifier.featureImportances.toArray()
+    assert sum(b) == pytest.approx(1) and abs(a[0] - b[0]) < 0.15
+    MO.save(bundle, f"{tmp_path}/forest")
+    assert scores(MO.load(f"{tmp_path}/forest")) == got
+    assert scores(MO.as_formula(bundle)) == pytest.approx(got, abs=1e-9)
+
+
+def test_equal_rows_are_drawn_by_their_counts(spark):
+    rows = spark.range(3000).select(F.array((F.col("id") % 3).cast("double")).alias("features"), F.lit(0.0).alias("code"),
+                                    F.lit(1.0).alias("weight"))
+    got = MO.drawn_counts(rows, 400, 1).collect()
+    assert [r.n for r in got] == [1000] * 3 and len({tuple(r.draws) for r in got}) == 3
+    for r in got:
+        mean = sum(r.draws) / 400
+        assert abs(mean - 1000) < 8 and 800 < sum((v - mean) ** 2 for v in r.draws) / 399 < 1250
