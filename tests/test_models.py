@@ -219,3 +219,18 @@ def test_equal_rows_are_drawn_by_their_counts(spark):
     for r in got:
         mean = sum(r.draws) / 400
         assert abs(mean - 1000) < 8 and 800 < sum((v - mean) ** 2 for v in r.draws) / 399 < 1250
+
+
+def test_tunnel_flows_are_computed_once(spark):
+    """The split reads the flow table several times; it is kept before."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def size(i):
+        read.add(1)
+        return float(i % 50)
+
+    flows = spark.range(300).repartition(2).select(F.col("id").alias("row_key"), size("id").alias("size")).withColumn(
+        "label", F.when(F.col("size") > 20, "Malicious").otherwise("Benign"))
+    TR.train_tunnel(flows, {"Random Forest": {"kind": "rf", "trees": 3}}, depth=3).reports["auc"].collect()
+    assert read.value == 300
