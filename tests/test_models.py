@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from dnsq.functions import lexical
-from dnsq.operators import alerts as A, formulas as FO, models as MO
+from dnsq.operators import alerts as A, forests as FR, formulas as FO, models as MO
 from dnsq.plans import jobs, training as TR
 
 
@@ -234,3 +235,78 @@ def test_tunnel_flows_are_computed_once(spark):
         "label", F.when(F.col("size") > 20, "Malicious").otherwise("Benign"))
     TR.train_tunnel(flows, {"Random Forest": {"kind": "rf", "trees": 3}}, depth=3).reports["auc"].collect()
     assert read.value == 300
+
+
+def test_stored_forests(spark, tmp_path, monkeypatch):
+    """A forest of more nodes than the driver may hold stays in parts, with the scores and importances of the whole."""
+    rows = spark.createDataFrame(
+        [(float(i % 97), float(i % 13), "b" if (i % 97 > 40) != (i % 7 == 0) else "a") for i in range(800)],
+        "x double, y double, label string")
+    monkeypatch.setattr(MO, "MANY_ROWS", 0)
+    whole = MO.fit(rows, "label", ["x", "y"], "rf", trees=3, depth=6)
+    monkeypatch.setattr(FR, "NODES_AT_ONCE", 50)
+    stored = MO.fit(rows, "label", ["x", "y"], "rf", trees=3, depth=6)
+    assert len(stored.model.paths) > 1 and stored.model.trees == 3
+
+    def scores(b):
+        return {(r.x, r.y): (r.predicted_label, r.scores["a"], r.scores["b"]) for r in MO.score(rows.distinct(), b).collect()}
+
+    want, got = scores(whole), scores(stored)
+    assert want.keys() == got.keys() and all(
+        want[k][0] == got[k][0] and got[k][1:] == pytest.approx(want[k][1:], abs=1e-9) for k in want)
+    assert [r.importance for r in MO.feature_importance(stored, spark).collect()] == pytest.approx(
+        sorted(whole.classifier.featureImportances.toArray(), reverse=True), abs=1e-9)
+    MO.save(stored, f"{tmp_path}/forest")
+    again = MO.load(f"{tmp_path}/forest")
+    assert scores(again) == got and again.model.importances == stored.model.importances
+    # The blocks of Spark ML are stored alike.
+    monkeypatch.setattr(MO, "TASK_ROWS", 0)
+    monkeypatch.setattr(MO, "BLOCK_TREES", 2)
+    blocks = MO.fit(rows, "label", ["x", "y"], "rf", trees=3, depth=6)
+    other = scores(blocks)
+    assert len(blocks.model.paths) > 1 and sum(p.getNumTrees for p in blocks.model.parts()) == 3
+    assert sum(abs(want[k][1] - other[k][1]) for k in want) / len(want) < 0.15
+
+
+def test_a_forest_takes_few_jobs(spark, monkeypatch):
+    """The driver notes every job: their number must not grow with the trees or their depth."""
+    rows = spark.range(3000).select((F.col("id") % 300).cast("double").alias("x"), F.when(
+        F.xxhash64("id") % 2 == 0, "a").otherwise("b").alias("label"))
+    monkeypatch.setattr(MO, "MANY_ROWS", 0)
+    sc = spark.sparkContext
+
+    def jobs(trees):
+        sc.setJobGroup(f"forest-{trees}", "")
+        MO.fit(rows, "label", ["x"], "rf", trees=trees, depth=20)
+        sc.setJobGroup(None, None)
+        return len(sc.statusTracker().getJobIdsForGroup(f"forest-{trees}"))
+
+    assert jobs(16) <= jobs(4) + 5
+
+
+def test_grown_tree_is_the_best_greedy_one():
+    """Splits, gains and pruning against brute force over the bins."""
+    rng = np.random.default_rng(3)
+    x, code = rng.integers(0, 6, (200, 3)).astype("uint8"), rng.integers(0, 2, 200)
+    w, drawn = rng.choice([0.5, 2.0], 200), rng.integers(0, 4, 200)
+    t = FR.grown(x, code, w, drawn, 2, 6, 4, 3, rng)
+
+    def gini(rows):
+        s = np.array([(w * drawn)[rows & (code == c)].sum() for c in (0, 1)])
+        return (s.sum() - (s ** 2).sum() / s.sum() if s.sum() else 0.0), s
+
+    def check(i, rows):
+        mass, s = gini(rows)
+        assert t["stats"][i] == pytest.approx(s) and t["raw"][i] == drawn[rows].sum()
+        if t["left"][i] < 0:
+            return
+        gains = [mass - gini(rows & (x[:, f] <= c))[0] - gini(rows & (x[:, f] > c))[0] for f in range(3) for c in range(5)]
+        assert t["gain"][i] == pytest.approx(max(gains) / s.sum())
+        low = x[:, t["feature"][i]] <= t["cut"][i]
+        a, b = t["left"][i], t["left"][i] + 1
+        assert t["left"][a] >= 0 or t["left"][b] >= 0 or t["prediction"][a] != t["prediction"][b]
+        check(a, rows & low)
+        check(b, rows & ~low)
+
+    check(0, np.ones(200, bool))
+    assert len(t["left"]) > 5
